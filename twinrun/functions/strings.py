@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The characters Python's str.strip() and the regex class \s treat as white space.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0 "
     "           "
     "    　"
 )

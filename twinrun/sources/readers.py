@@ -29,16 +29,12 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
     Spark lists the folder itself; for very large stores read a saved inventory with ``read_listing`` instead.
     """
+    if not root.startswith("/") and ":" not in root:
+        raise ValueError(f"give the folder as an absolute path or URI, not {root!r}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    base = root.rstrip("/") + "/"
-    inner = F.regexp_replace(base, r"^[A-Za-z][A-Za-z0-9+.\-]*:/+(?=/)|^file:", "") if False else None
-    return files.select(_below(F.col("path"), base).alias("name"))
-
-
-def _below(path, base: str):
-    """The part after the last occurrence of the folder in a full path (the scheme in front of it varies)."""
-    bare = base.split("://", 1)[-1].removeprefix("file:")
-    return F.substr(path, F.locate(bare, path) + F.lit(len(bare)))
+    bare = root.split(":", 1)[-1].lstrip("/") if ":" in root else root.strip("/")
+    start = F.locate("/" + bare.rstrip("/") + "/", F.col("path")) + F.lit(len(bare.rstrip("/")) + 2)
+    return files.select(F.substr(F.col("path"), start).alias("name"))
 
 
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
