@@ -91,10 +91,15 @@ def _field_text() -> Column:
     return F.format_string("%s: %s (nullable=%s)", "name", "type", nullable)
 
 
+def leaf_rows(spark: SparkSession, leaves: dict[str, DataFrame]) -> DataFrame:
+    """``schema_rows`` of leaves already flattened to a dict by path."""
+    rows = [row for path, df in leaves.items() for row in field_rows(df.schema, path)]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=_ROWS)).withColumn("field", _field_text())
+
+
 def schema_rows(spark: SparkSession, tree: Tree) -> DataFrame:
     """One row per column of every DataFrame in an output tree: ``path, ordinal, name, type, nullable, metadata, field``."""
-    rows = [row for path, df in frames(tree).items() for row in field_rows(df.schema, path)]
-    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=_ROWS)).withColumn("field", _field_text())
+    return leaf_rows(spark, frames(tree))
 
 
 def match_by_position(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -110,22 +115,26 @@ def match_by_position(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def match_by_name(left: DataFrame, right: DataFrame, check_metadata: bool = False) -> DataFrame:
-    """Columns joined on ``(path, name)``, both sides kept: ``path, name, left_defs, right_defs`` (NULL when absent).
+    """Columns matched on ``(path, name)``: ``path, name, left_defs, right_defs``, each a list in column order.
 
-    A name that occurs more than once keeps all its definitions, in column order.
+    A list is empty when the side lacks the column, and longer than one when the name is repeated. The two sides are
+    tagged, united and grouped: a full outer join in one shuffle, by path, that the steps on top can share.
     """
 
-    def defs(rows: DataFrame, alias: str) -> DataFrame:
+    def side(rows: DataFrame, tag: str) -> DataFrame:
         nullable = F.initcap(F.col("nullable").cast("string"))
         text = F.format_string("(%s, nullable=%s)", "type", nullable)
         if check_metadata:
-            text = F.when(F.col("metadata") == _metadata(T.StructField("", T.NullType())), text).otherwise(
-                F.format_string("(%s, nullable=%s, metadata=%s)", "type", nullable, "metadata")
-            )
-        ordered = F.array_sort(F.collect_list(F.struct("ordinal", text.alias("text"))))
-        return rows.groupBy("path", "name").agg(F.transform(ordered, lambda x: x["text"]).alias(alias))
+            plain = F.col("metadata") == _metadata(T.StructField("", T.NullType()))
+            more = F.format_string("(%s, nullable=%s, metadata=%s)", "type", nullable, "metadata")
+            text = F.when(plain, text).otherwise(more)
+        return rows.select("path", "name", F.lit(tag).alias("side"), F.struct("ordinal", text.alias("text")).alias("d"))
+
+    def defs(tag: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("side") == tag, F.col("d"))))
 
-    return defs(left, "left_defs").join(defs(right, "right_defs"), ["path", "name"], "full")
+    both = side(left, "l").union(side(right, "r")).repartition("path")
+    return both.groupBy("path", "name").agg(defs("l").alias("left_defs"), defs("r").alias("right_defs"))
 
 
 def columns_only_in_left(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -143,47 +152,46 @@ def schema_diff_rows(left: DataFrame, right: DataFrame, check_metadata: bool = F
     name. Another column order is reported only when nothing else differs.
     """
     both = match_by_name(left, right, check_metadata)
-    l, r = F.col("left_defs"), F.col("right_defs")
+    l, r = (F.transform(c, lambda x: x["text"]) for c in ("left_defs", "right_defs"))
+    one_each = (F.size(l) == 1) & (F.size(r) == 1)
     kind = (
-        F.when(r.isNull(), "left_only")
-        .when(l.isNull(), "right_only")
-        .when((F.size(l) == 1) & (F.size(r) == 1), F.when(l[0] != r[0], "changed"))
+        F.when(F.size(r) == 0, "left_only")
+        .when(F.size(l) == 0, "right_only")
+        .when(one_each & (l != r), "changed")
         .when(l != r, "duplicate")
     )
     wording = (
-        F.when(r.isNull(), F.format_string(f"column '%s' only in {LEFT_NAME}", "name"))
-        .when(l.isNull(), F.format_string(f"column '%s' only in {RIGHT_NAME}", "name"))
+        F.when(F.size(r) == 0, F.format_string(f"column '%s' only in {LEFT_NAME}", "name"))
+        .when(F.size(l) == 0, F.format_string(f"column '%s' only in {RIGHT_NAME}", "name"))
         .otherwise(
             F.format_string(
                 f"column '%s': {LEFT_NAME} %s vs {RIGHT_NAME} %s", "name", F.array_join(l, ", "), F.array_join(r, ", ")
             )
         )
     )
-    found = both.select("path", kind.alias("kind"), "name", wording.alias("difference")).where("kind is not null")
-
-    def names(rows: DataFrame, alias: str) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct("ordinal", "name")))
-        return rows.groupBy("path").agg(F.transform(ordered, lambda x: x["name"]).alias(alias))
-
-    moved = (
-        names(left, "l")
-        .join(names(right, "r"), "path")
-        .where("l <> r")
-        .join(found, "path", "left_anti")
-        .select("path", F.lit("order").alias("kind"), F.lit("").alias("name"), F.lit(ORDER_DIFFERS).alias("difference"))
+    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)
+    found = F.when(
+        kind.isNotNull(), F.struct(rank.alias("rank"), "name", kind.alias("kind"), wording.alias("difference"))
+    )
+    # With the same names on both sides, the order differs where a name stands at other positions.
+    moved = F.transform("left_defs", lambda x: x["ordinal"]) != F.transform("right_defs", lambda x: x["ordinal"])
+    per_path = both.groupBy("path").agg(
+        F.array_sort(F.collect_list(found)).alias("found"), F.bool_or(moved).alias("moved")
     )
-    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    everything = found.unionByName(moved).withColumn("rank", rank)
-    listed = everything.groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "name", "kind", "difference"))).alias("all")
+    order = F.struct(
+        F.lit(len(KINDS)).cast("bigint").alias("rank"),
+        F.lit("").alias("name"),
+        F.lit("order").alias("kind"),
+        F.lit(ORDER_DIFFERS).alias("difference"),
     )
-    return listed.select("path", F.posexplode("all").alias("pos", "d")).select(
+    listed = F.when((F.size("found") == 0) & F.col("moved"), F.array(order)).otherwise(F.col("found"))
+    return per_path.select("path", F.posexplode(listed).alias("pos", "d")).select(
         "path", "pos", "d.kind", "d.name", "d.difference"
     )
 
 
 def schema_diff(spark: SparkSession, left: Tree, right: Tree, check_metadata: bool = False) -> DataFrame:
     """``schema_diff_rows`` over the leaves two output trees have in common."""
-    common = [p for p in frames(left) if p in frames(right)]
-    pick = lambda tree: schema_rows(spark, tree).where(F.col("path").isin(common))
-    return schema_diff_rows(pick(left), pick(right), check_metadata)
+    l, r = frames(left), frames(right)
+    pick = lambda leaves: leaf_rows(spark, {p: df for p, df in leaves.items() if p in l and p in r})
+    return schema_diff_rows(pick(l), pick(r), check_metadata)

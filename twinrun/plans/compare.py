@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from twinrun.functions.runs import run_date
 from twinrun.operators.diff import NotComparable, diff_counts, diff_sample, quoted, side_counts
-from twinrun.operators.schema import same_schema, schema_diff
+from twinrun.operators.schema import leaf_rows, same_schema, schema_diff, schema_diff_rows
 from twinrun.operators.tree import MISSING_LEAF, Pair, Tree, pair_leaves
 
 PASS, FAIL, ERROR, MISSING, NO_RUNS = "PASS", "FAIL", "ERROR", "MISSING_LEAF", "NO_RUNS"
@@ -77,32 +77,46 @@ def _message(path: str) -> Column:
     return F.concat(F.lit(f"Mismatch at {path}: "), reason)
 
 
-def _schema_differences(left: DataFrame, right: DataFrame, check_metadata: bool) -> list[str]:
-    """The wording of the differences; touches schemas only, no data."""
-    rows = schema_diff(left.sparkSession, left, right, check_metadata).orderBy("pos").collect()
-    return [r.difference for r in rows]
+def _schema_differences(spark: SparkSession, pairs: Sequence[Pair], check_metadata: bool) -> dict[str, list[str]]:
+    """The wording of the differences by path, of all leaves in one go; touches schemas only, no data."""
+    frames = [p for p in pairs if isinstance(p.left, DataFrame) and isinstance(p.right, DataFrame)]
+    bad = [p for p in frames if not same_schema(p.left.schema, p.right.schema, check_metadata)]
+    out: dict[str, list[str]] = {p.path: [] for p in bad}
+    if bad:
+        left, right = (leaf_rows(spark, {p.path: getattr(p, side) for p in bad}) for side in ("left", "right"))
+        for row in schema_diff_rows(left, right, check_metadata).orderBy("path", "pos").collect():
+            out[row.path].append(row.difference)
+    return out
+
+
+def _same_types(left: DataFrame, right: DataFrame, by: Sequence[str]) -> bool:
+    """Rows can be compared as they are, without a cast of any column."""
+
+    def types(df: DataFrame) -> list[str]:
+        return [f.dataType.simpleString() for f in df.schema.fields if f.name not in by]
+
+    return types(left) == types(right)
 
 
 def _compared(
-    path: str, left: DataFrame, right: DataFrame, by: Sequence[str], runs: DataFrame | None, check_metadata: bool
+    pair: Pair, by: Sequence[str], runs: DataFrame | None, differences: dict[str, list[str]]
 ) -> DataFrame:
     """Counts and verdict on two DataFrames at one path."""
-    match = same_schema(left.schema, right.schema, check_metadata)
+    path, left, right = pair
+    match, comparable = path not in differences, _same_types(left, right, by)
     try:
-        counts, comparable = diff_counts(left, right, by), True
+        counts, known = diff_counts(left, right, by), _COUNTS
     except NotComparable:
-        counts, comparable = side_counts(left, right, by), False
+        counts, known = side_counts(left, right, by), _COUNTS[:2]
     if runs is not None:  # a run without rows on either side counts zero
-        known = _COUNTS if comparable else _COUNTS[:2]
         counts = runs.join(counts, list(by), "left").fillna(0, list(known))
-    differences = [] if match else _schema_differences(left, right, check_metadata)
-    clean = F.lit(match and comparable) & (F.col("only_in_left") == 0) & (F.col("only_in_right") == 0)
+    clean = F.lit(match) & (F.col("only_in_left") == 0) & (F.col("only_in_right") == 0)
     facts = counts.withColumns(
         {
             "path": F.lit(path),
             "schema_match": F.lit(match),
             "comparable": F.lit(comparable),
-            "schema_differences": F.array(*[F.lit(d) for d in differences]).cast("array<string>"),
+            "schema_differences": F.array(*[F.lit(d) for d in differences.get(path, [])]).cast("array<string>"),
             "status": F.when(clean, PASS).otherwise(FAIL),
         }
     )
@@ -147,11 +161,11 @@ def _report_shape(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _pair_report(
-    spark: SparkSession, pair: Pair, by: Sequence[str], runs: DataFrame | None, check_metadata: bool
+    spark: SparkSession, pair: Pair, by: Sequence[str], runs: DataFrame | None, differences: dict[str, list[str]]
 ) -> DataFrame:
     l_frame, r_frame = isinstance(pair.left, DataFrame), isinstance(pair.right, DataFrame)
     if l_frame and r_frame:
-        rows = _compared(pair.path, pair.left, pair.right, by, runs, check_metadata)
+        rows = _compared(pair, by, runs, differences)
     elif l_frame or r_frame:
         rows = _one_sided(pair.path, pair.left if l_frame else pair.right, l_frame, by, runs)
     else:
@@ -164,8 +178,9 @@ def _pair_report(
 
 def compare_outputs(spark: SparkSession, left: Tree, right: Tree, check_metadata: bool = False) -> DataFrame:
     """One report row per leaf of two output trees, in a single job."""
-    parts = [_pair_report(spark, p, (), None, check_metadata) for p in pair_leaves(left, right)]
-    return reduce(DataFrame.unionByName, parts)
+    pairs = pair_leaves(left, right)
+    differences = _schema_differences(spark, pairs, check_metadata)
+    return reduce(DataFrame.unionByName, [_pair_report(spark, p, (), None, differences) for p in pairs])
 
 
 def compare_run(
@@ -207,7 +222,8 @@ def compare_runs(
         return leaf.join(runs.select(quoted(by)), by, "left_semi").select(*[quoted(c) for c in leaf.columns])
 
     pairs = [Pair(p.path, asked(p.left), asked(p.right)) for p in pair_leaves(left, right)]
-    return reduce(DataFrame.unionByName, [_pair_report(spark, p, (by,), runs, check_metadata) for p in pairs])
+    differences = _schema_differences(spark, pairs, check_metadata)
+    return reduce(DataFrame.unionByName, [_pair_report(spark, p, (by,), runs, differences) for p in pairs])
 
 
 # ---------------------------------------------------------------- strict assertions
@@ -361,6 +377,7 @@ def _batch_report(spark: SparkSession, pipeline: Pipeline, batch: Sequence[Row],
     parts = []
     for (path, *_), members in groups.items():
         runs = _run_rows(spark, [run for run, _ in members]).withColumnRenamed("run_id", _RUN)
+        differences = _schema_differences(spark, [members[0][1]], check_metadata)
         pair = Pair(path, together("left", members), together("right", members))
-        parts.append(_pair_report(spark, pair, (_RUN,), runs, check_metadata).withColumnRenamed(_RUN, "run_id"))
+        parts.append(_pair_report(spark, pair, (_RUN,), runs, differences).withColumnRenamed(_RUN, "run_id"))
     return reduce(DataFrame.unionByName, parts)
