@@ -102,12 +102,16 @@ def _tagged(df: DataFrame, by: Sequence[str], as_text: Sequence[bool], left: boo
     flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     keys, values = _split_columns(df, by)
     types = [f.dataType for f in df.schema.fields]
-    picked = [F.col(f"c{i}").alias(f"by{n}") for n, i in enumerate(keys)]
+    picked: list[Column | str] = [f"c{i} AS by{n}" for n, i in enumerate(keys)]
     for n, i in enumerate(values):
-        value = _groupable(F.col(f"c{i}"), types[i])
-        picked.append((value.cast("string") if as_text[n] else value).alias(f"v{n}"))
-    sides = F.lit(int(left)).cast("bigint"), F.lit(int(not left)).cast("bigint")
-    return flat.select(*picked, sides[0].alias("n_left"), sides[1].alias("n_right"))
+        if _holds_variant(types[i]):
+            picked.append(_groupable(F.col(f"c{i}"), types[i]).alias(f"v{n}"))
+        else:
+            picked.append(f"CAST(c{i} AS STRING) AS v{n}" if as_text[n] else f"c{i} AS v{n}")
+    tags = [f"{int(left)}L AS n_left", f"{int(not left)}L AS n_right"]
+    if all(isinstance(c, str) for c in picked):
+        return flat.selectExpr(*picked, *tags)
+    return flat.select(*[F.expr(c) if isinstance(c, str) else c for c in (*picked, *tags)])
 
 
 def _tally(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -123,7 +127,7 @@ def _tally(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     except AnalysisException as refused:
         raise NotComparable(str(refused)) from refused
     keys = [c for c in both.columns if c not in ("n_left", "n_right")]
-    return both.groupBy(*keys).agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
+    return both.groupBy(*keys).agg(F.expr("sum(n_left) AS n_left"), F.expr("sum(n_right) AS n_right"))
 
 
 def _restore_names(df: DataFrame, left: DataFrame, by: Sequence[str], extra: Sequence[str]) -> DataFrame:
@@ -145,33 +149,29 @@ def diff_counts(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> Da
     The second aggregation is over partial sums, so a group holding most of the data is no bottleneck.
     """
     rows = _tally(left, right, by)
-    extra = F.col("n_left") - F.col("n_right")
     sums = {
-        "left_count": F.col("n_left"),
-        "right_count": F.col("n_right"),
-        "only_in_left": F.greatest(extra, F.lit(0)),
-        "only_in_right": F.greatest(-extra, F.lit(0)),
+        "left_count": "n_left",
+        "right_count": "n_right",
+        "only_in_left": "greatest(n_left - n_right, 0L)",
+        "only_in_right": "greatest(n_right - n_left, 0L)",
     }
-    groups = [f"by{i}" for i in range(len(by))]
-    counts = rows.groupBy(*groups).agg(
-        *[F.coalesce(F.sum(value), F.lit(0).cast("bigint")).alias(name) for name, value in sums.items()]
+    counts = rows.groupBy(*[f"by{i}" for i in range(len(by))]).agg(
+        *[F.expr(f"coalesce(sum({value}), 0L) AS {name}") for name, value in sums.items()]
     )
     return counts.toDF(*by, *COUNTS)
 
 
 def side_counts(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The two row counts alone, for sides whose rows cannot be compared; the differences are NULL."""
-    keys = [F.col(quoted(k)) for k in by]
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    both = left.select(*keys, one.alias("n_left"), zero.alias("n_right")).union(
-        right.select(*keys, zero.alias("n_left"), one.alias("n_right"))
+    keys = [quoted(k) for k in by]
+    both = left.selectExpr(*keys, "1L AS n_left", "0L AS n_right").union(
+        right.selectExpr(*keys, "0L AS n_left", "1L AS n_right")
     )
-    unknown = F.lit(None).cast("bigint")
     return both.groupBy(*keys).agg(
-        F.coalesce(F.sum("n_left"), zero).alias("left_count"),
-        F.coalesce(F.sum("n_right"), zero).alias("right_count"),
-        unknown.alias("only_in_left"),
-        unknown.alias("only_in_right"),
+        F.expr("coalesce(sum(n_left), 0L) AS left_count"),
+        F.expr("coalesce(sum(n_right), 0L) AS right_count"),
+        F.expr("CAST(NULL AS BIGINT) AS only_in_left"),
+        F.expr("CAST(NULL AS BIGINT) AS only_in_right"),
     )
 
 

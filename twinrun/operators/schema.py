@@ -151,40 +151,25 @@ def schema_diff_rows(left: DataFrame, right: DataFrame, check_metadata: bool = F
     ``pos`` orders a path's differences: columns only on the left, only on the right, changed, repeated names, each by
     name. Another column order is reported only when nothing else differs.
     """
-    both = match_by_name(left, right, check_metadata)
-    l, r = (F.transform(c, lambda x: x["text"]) for c in ("left_defs", "right_defs"))
-    one_each = (F.size(l) == 1) & (F.size(r) == 1)
-    kind = (
-        F.when(F.size(r) == 0, "left_only")
-        .when(F.size(l) == 0, "right_only")
-        .when(one_each & (l != r), "changed")
-        .when(l != r, "duplicate")
-    )
-    wording = (
-        F.when(F.size(r) == 0, F.format_string(f"column '%s' only in {LEFT_NAME}", "name"))
-        .when(F.size(l) == 0, F.format_string(f"column '%s' only in {RIGHT_NAME}", "name"))
-        .otherwise(
-            F.format_string(
-                f"column '%s': {LEFT_NAME} %s vs {RIGHT_NAME} %s", "name", F.array_join(l, ", "), F.array_join(r, ", ")
-            )
-        )
-    )
-    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)
-    found = F.when(
-        kind.isNotNull(), F.struct(rank.alias("rank"), "name", kind.alias("kind"), wording.alias("difference"))
+    both = match_by_name(left, right, check_metadata).selectExpr(
+        "path", "name", "left_defs.text AS l", "right_defs.text AS r", "left_defs.ordinal AS lo", "right_defs.ordinal AS ro"
     )
+    kind = """
+        CASE WHEN size(r) = 0 THEN 'left_only' WHEN size(l) = 0 THEN 'right_only'
+             WHEN l = r THEN NULL WHEN size(l) = 1 AND size(r) = 1 THEN 'changed' ELSE 'duplicate' END"""
+    wording = f"""
+        CASE WHEN size(r) = 0 THEN format_string("column '%s' only in {LEFT_NAME}", name)
+             WHEN size(l) = 0 THEN format_string("column '%s' only in {RIGHT_NAME}", name)
+             ELSE format_string("column '%s': {LEFT_NAME} %s vs {RIGHT_NAME} %s",
+                                name, array_join(l, ', '), array_join(r, ', ')) END"""
+    rank = f"array_position(array({', '.join(repr(k) for k in KINDS)}), kind)"
+    found = f"CASE WHEN kind IS NOT NULL THEN struct({rank} AS rank, name, kind, {wording} AS difference) END"
     # With the same names on both sides, the order differs where a name stands at other positions.
-    moved = F.transform("left_defs", lambda x: x["ordinal"]) != F.transform("right_defs", lambda x: x["ordinal"])
-    per_path = both.groupBy("path").agg(
-        F.array_sort(F.collect_list(found)).alias("found"), F.bool_or(moved).alias("moved")
-    )
-    order = F.struct(
-        F.lit(len(KINDS)).cast("bigint").alias("rank"),
-        F.lit("").alias("name"),
-        F.lit("order").alias("kind"),
-        F.lit(ORDER_DIFFERS).alias("difference"),
+    per_path = both.selectExpr("*", f"{kind} AS kind").groupBy("path").agg(
+        F.expr(f"array_sort(collect_list({found})) AS found"), F.expr("bool_or(lo <> ro) AS moved")
     )
-    listed = F.when((F.size("found") == 0) & F.col("moved"), F.array(order)).otherwise(F.col("found"))
+    order = f"array(struct({len(KINDS)}L AS rank, '' AS name, 'order' AS kind, '{ORDER_DIFFERS}' AS difference))"
+    listed = F.expr(f"CASE WHEN size(found) = 0 AND moved THEN {order} ELSE found END")
     return per_path.select("path", F.posexplode(listed).alias("pos", "d")).select(
         "path", "pos", "d.kind", "d.name", "d.difference"
     )

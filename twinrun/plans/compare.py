@@ -12,7 +12,7 @@ from threading import Event, Timer
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from twinrun.functions.runs import run_date
@@ -62,19 +62,13 @@ class Pipeline:
 # ---------------------------------------------------------------- one leaf
 
 
-def _message(path: str) -> Column:
-    """Why a leaf fails, the first reason that applies."""
-    schema = F.concat(F.lit("schema differs: "), F.array_join("schema_differences", "; "))
-    counts = F.format_string("row count differs: left=%d, right=%d", "left_count", "right_count")
-    rows = F.format_string(
-        "rows differ: %d only in left, %d only in right (duplicates count)", "only_in_left", "only_in_right"
-    )
-    reason = (
-        F.when(~F.col("schema_match"), schema)
-        .when(F.col("left_count") != F.col("right_count"), counts)
-        .otherwise(rows)
-    )
-    return F.concat(F.lit(f"Mismatch at {path}: "), reason)
+# Why a leaf fails, the first reason that applies; put after the path.
+_REASON = """
+CASE WHEN NOT schema_match THEN concat('schema differs: ', array_join(schema_differences, '; '))
+     WHEN left_count <> right_count THEN format_string('row count differs: left=%d, right=%d', left_count, right_count)
+     ELSE format_string('rows differ: %d only in left, %d only in right (duplicates count)', only_in_left, only_in_right)
+END"""
+_CLEAN = "schema_match AND only_in_left = 0 AND only_in_right = 0"
 
 
 def _schema_differences(spark: SparkSession, pairs: Sequence[Pair], check_metadata: bool) -> dict[str, list[str]]:
@@ -110,17 +104,16 @@ def _compared(
         counts, known = side_counts(left, right, by), _COUNTS[:2]
     if runs is not None:  # a run without rows on either side counts zero
         counts = runs.join(counts, list(by), "left").fillna(0, list(known))
-    clean = F.lit(match) & (F.col("only_in_left") == 0) & (F.col("only_in_right") == 0)
-    facts = counts.withColumns(
-        {
-            "path": F.lit(path),
-            "schema_match": F.lit(match),
-            "comparable": F.lit(comparable),
-            "schema_differences": F.array(*[F.lit(d) for d in differences.get(path, [])]).cast("array<string>"),
-            "status": F.when(clean, PASS).otherwise(FAIL),
-        }
+    facts = counts.select(
+        "*",
+        F.lit(path).alias("path"),
+        F.lit(match).alias("schema_match"),
+        F.lit(comparable).alias("comparable"),
+        F.lit(differences.get(path, [])).cast("array<string>").alias("schema_differences"),
     )
-    return facts.withColumn("error", F.when(F.col("status") != PASS, _message(path)))
+    status = f"CASE WHEN {_CLEAN} THEN '{PASS}' ELSE '{FAIL}' END AS status"
+    error = f"CASE WHEN NOT ({_CLEAN}) THEN concat('Mismatch at ', path, ': ', {_REASON}) END AS error"
+    return facts.selectExpr("*", status, error)
 
 
 def _one_sided(path: str, frame: DataFrame, left: bool, by: Sequence[str], runs: DataFrame | None) -> DataFrame:
@@ -153,11 +146,11 @@ def _plain(spark: SparkSession, pair: Pair, runs: DataFrame | None) -> DataFrame
 def _report_shape(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The report columns, after the run columns; what a row does not have is NULL."""
     there = set(rows.columns)
-    total = F.col("only_in_left") + F.col("only_in_right") if "only_in_left" in there else F.lit(None)
-    values = {name: F.col(name) if name in there else F.lit(None) for name, _ in REPORT}
-    values["differing_rows"] = total
-    runs = [F.col(quoted(k)) if k in there else F.lit(None).cast("string").alias(k) for k in keys]
-    return rows.select(*runs, *[values[name].cast(kind).alias(name) for name, kind in REPORT])
+    runs = [quoted(k) if k in there else f"CAST(NULL AS STRING) AS {quoted(k)}" for k in keys]
+    values = {name: name if name in there else "NULL" for name, _ in REPORT}
+    if "only_in_left" in there:
+        values["differing_rows"] = "only_in_left + only_in_right"
+    return rows.selectExpr(*runs, *[f"CAST({values[name]} AS {kind}) AS {name}" for name, kind in REPORT])
 
 
 def _pair_report(
