@@ -264,7 +264,7 @@ def assert_trees_equal(left: Tree, right: Tree, diff_rows: int = 20, check_metad
 @contextmanager
 def deadline(spark: SparkSession, minutes: float | None) -> Iterator[Event]:
     """Cancel the Spark jobs started inside after some minutes; the event tells whether that happened."""
-    expired = Event()
+    expired, context = Event(), spark.sparkContext
     if not minutes:
         yield expired
         return
@@ -272,17 +272,17 @@ def deadline(spark: SparkSession, minutes: float | None) -> Iterator[Event]:
 
     def stop() -> None:
         expired.set()
-        spark.interruptTag(tag)
+        context.cancelJobsWithTag(tag)
 
     timer = Timer(minutes * 60, stop)
     timer.daemon = True
-    spark.addTag(tag)
+    context.addJobTag(tag)
     timer.start()
     try:
         yield expired
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
 
 
 def compare_each_run(
