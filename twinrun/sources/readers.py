@@ -44,6 +44,6 @@ def read_listing(spark: SparkSession, path: str) -> DataFrame:
 
 def read_corpus(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """``path, content`` of every text file below a folder; one row per file."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    files = reader.text(root)
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    files = reader.text(root, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
