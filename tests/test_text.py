@@ -311,3 +311,18 @@ def test_context_document(spark):
         "# Pre-ETL Business Logic\n## q\n(No business logic section found.)\n\n"
         "# Output Table\n## q_feed\n(No definition found.)\n\n# Input Tables\n"
     )
+
+
+def test_many_hash_lines_in_one_large_page(spark):
+    """Comment-like lines open sections without ending any; only the wanted ones are cut out."""
+    lines = [f"#tag{i} x:" + "y" * 40 for i in range(20_000)]
+    text = "# top\n" + "\n".join(lines) + "\n#scope: here\nbody\n# end\n"
+    got = blocks(sections.heading_blocks(pages(spark, [text]), names_of(spark, ["scope", "end"], 1)))
+    assert got == {(0, "scope"): "here\nbody", (0, "end"): ""}
+
+
+def test_many_blocks_of_one_large_page(spark):
+    text = "\n".join(f"name{i}:\nbody {i} " + "z" * 200 for i in range(4000))
+    names = spark.range(4000).select(F.lit(0).cast("long").alias("page_id"), F.concat(F.lit("name"), "id").alias("name"))
+    got = blocks(sections.named_blocks(pages(spark, [text]), names))
+    assert len(got) == 4000 and got[(0, "name77")] == "name77:\nbody 77 " + "z" * 200

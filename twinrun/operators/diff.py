@@ -114,8 +114,12 @@ def _tagged(df: DataFrame, by: Sequence[str], as_text: Sequence[bool], left: boo
     return flat.select(*[F.expr(c) if isinstance(c, str) else c for c in (*picked, *tags)])
 
 
-def _tally(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Distinct rows as ``by0.., v0..`` with ``n_left`` and ``n_right``. One shuffle of both sides."""
+def _tally(left: DataFrame, right: DataFrame, by: Sequence[str], keyed: bool = False) -> DataFrame:
+    """Distinct rows as ``by0.., v0..`` with ``n_left`` and ``n_right``. One shuffle of both sides.
+
+    When most rows are unique (``keyed``) counting them before the shuffle finds little to merge, so the rows are
+    shuffled first and counted once. Without that knowledge copies are merged first, so a hot row stays harmless.
+    """
     l_types = [left.schema.fields[i].dataType for i in _split_columns(left, by)[1]]
     r_types = [right.schema.fields[i].dataType for i in _split_columns(right, by)[1]]
     if len(l_types) != len(r_types):
@@ -127,6 +131,8 @@ def _tally(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     except AnalysisException as refused:
         raise NotComparable(str(refused)) from refused
     keys = [c for c in both.columns if c not in ("n_left", "n_right")]
+    if keyed:
+        both = both.repartition(*keys)
     return both.groupBy(*keys).agg(F.expr("sum(n_left) AS n_left"), F.expr("sum(n_right) AS n_right"))
 
 
@@ -135,20 +141,22 @@ def _restore_names(df: DataFrame, left: DataFrame, by: Sequence[str], extra: Seq
     return df.toDF(*by, *[left.columns[i] for i in values], *extra)
 
 
-def tally(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def tally(left: DataFrame, right: DataFrame, by: Sequence[str] = (), keyed: bool = False) -> DataFrame:
     """Every distinct row with its number of copies on either side (``n_left``, ``n_right``).
 
     ``by`` columns are matched by name and come first; the others are matched by position and named as on the left.
+    ``keyed`` says that rows are mostly unique; the result is the same either way.
     """
-    return _restore_names(_tally(left, right, by), left, by, ("n_left", "n_right"))
+    return _restore_names(_tally(left, right, by, keyed), left, by, ("n_left", "n_right"))
 
 
-def diff_counts(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def diff_counts(left: DataFrame, right: DataFrame, by: Sequence[str] = (), keyed: bool = False) -> DataFrame:
     """``left_count, right_count, only_in_left, only_in_right`` - one row, or one per group of ``by``.
 
-    The second aggregation is over partial sums, so a group holding most of the data is no bottleneck.
+    The second aggregation is over partial sums, so a group holding most of the data is no bottleneck. ``keyed`` as in
+    ``tally``.
     """
-    rows = _tally(left, right, by)
+    rows = _tally(left, right, by, keyed)
     sums = {
         "left_count": "n_left",
         "right_count": "n_right",

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinrun.functions.strings import WS, WS_INLINE, column, first_group, strip
+from twinrun.functions.strings import WS, WS_INLINE, column, strip
 
 # Markers of the parts of a documentation page, and the line that separates its sections.
 INPUT_PART = rf"Input{WS}+Data{WS}+Explanations"
@@ -47,9 +47,10 @@ def _check_names(name: Column) -> Column:
 def cut_lines(docs: DataFrame, spans: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``spans`` rows (``key``, first line ``s``, line after the last ``e`` or NULL) with their stripped ``block``.
 
-    The lines of a document are split once, below the join.
+    Exploding an array of one keeps the split below the join, so the lines of a document are made once, however many
+    spans are cut from it.
     """
-    lines = docs.select(key, _lines(F.col(text)).alias("lines"))
+    lines = docs.select(key, F.explode(F.array(_lines(F.col(text)))).alias("lines"))
     size = F.coalesce(F.col("e"), F.size("lines")) - F.col("s")
     block = strip(F.array_join(F.slice("lines", F.col("s") + 1, size), "\n"))
     return spans.join(lines, key).withColumn("block", block).drop("lines", "s", "e")
@@ -101,69 +102,88 @@ def named_blocks(
 # ---------------------------------------------------------------- sections with a heading of their own
 
 
-def marker_sections(pages: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
-    """Every section between ``****`` lines that opens with ``name:``: ``key, pos, name, block``.
+# Which form a piece of text belongs to; the first is preferred.
+_MARKED, _HEADED = 1, 2
 
-    A section ends at the next such line. One without text is left out (it does not take the text of the next one).
-    """
-    mark = "".join("\\" + c for c in SECTION_MARK)
-    parts = F.split(F.col(text), rf"(?m)(?d)^{WS_INLINE}*{mark}{WS_INLINE}*\n")
-    rows = pages.select(key, F.posexplode(parts).alias("pos", "part")).where("pos > 0")
-    header = rf"(?s)^{WS}*([^:]*?){WS}*:{WS_INLINE}*\n(.*)\z"
-    named = rows.select(
-        key,
-        "pos",
-        first_group("part", header, 1).alias("name"),
-        strip(F.regexp_extract("part", header, 2)).alias("block"),
-    )
-    return named.where("name is not null and block <> ''")
+_MARK_LINE = rf"(?m)(?d)^{WS_INLINE}*{''.join(chr(92) + c for c in SECTION_MARK)}{WS_INLINE}*\n"
+_MARKED_HEADER = rf"(?s)^{WS}*([^:]*?){WS}*:{WS_INLINE}*\n(.*)\z"
+# Hash signs and a space open a piece and end the one before. A hash directly followed by its name opens a section too,
+# but ends none: it runs from inside a piece to the end of that piece.
+_HASH_LINE = rf"(?m)(?d)^(?={WS_INLINE}*#+{WS})"
+_INNER_HASH = rf"(?m)(?d)^(?={WS_INLINE}*#[^#\s])"
+_HASH_HEADER = rf"^{WS}*#{WS}*([^:\n#][^:\n]*?){WS}*[:\n]"
 
 
-def heading_sections(pages: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
-    """Every section under a ``# name`` line: ``key, pos, name, block``.
+def _pieces(pages: DataFrame, key: str, text: str, forms: Sequence[int]) -> DataFrame:
+    """The text cut at its marker or hash lines: ``key, pos, form, part, after`` (``after``: the next piece)."""
 
-    A section ends at the next line of hash signs and a space. As a quirk of the format that is kept, a bare heading
-    directly followed by another heading takes that section's text.
-    """
-    parts = F.split(F.col(text), rf"(?m)(?d)^(?={WS_INLINE}*#+{WS})")
-    numbered = F.transform(parts, lambda part, i: F.struct(i.alias("pos"), part.alias("part"), F.get(parts, i + 1).alias("next")))
-    rows = pages.select(key, F.inline(numbered))
-    # A hash directly followed by its name opens a section too, but ends none: it may stand inside another one.
-    inner = F.split("part", rf"(?m)(?d)^(?={WS_INLINE}*#[^#\s])")
-    rest = F.transform(
-        inner, lambda piece, i: F.struct(i.alias("sub"), F.array_join(F.slice(inner, i + 1, F.size(inner)), "").alias("part"))
+    def pieces_of(form: int) -> Column:
+        parts = F.split(F.col(text), _MARK_LINE if form == _MARKED else _HASH_LINE)
+        rest = F.slice(parts, 2, F.size(parts))
+        # What stands before the first marker line is no section, and a marked section never reads the next one.
+        parts, after = (rest, F.array().cast("array<string>")) if form == _MARKED else (parts, rest)
+        labelled = lambda p, n: F.struct(F.lit(form).alias("form"), p.alias("part"), n.alias("after"))
+        return F.zip_with(parts, after, labelled)
+
+    every = F.concat(*[pieces_of(form) for form in forms])
+    return pages.select(key, F.posexplode(every).alias("pos", "piece")).select(key, "pos", "piece.*")
+
+
+def _openings(pieces: DataFrame, key: str) -> DataFrame:
+    """Names that open a section, without any text: ``key, pos, sub, head`` (lower case)."""
+    marked = F.when(
+        strip(F.regexp_extract("part", _MARKED_HEADER, 2)) != "", F.regexp_extract("part", _MARKED_HEADER, 1)
     )
-    rows = rows.select(key, "pos", "next", F.inline(rest))
-    header = rf"^{WS}*#{WS}*([^:\n#][^:\n]*?){WS}*[:\n]"
-    after = F.substr(F.col("part"), F.length(F.regexp_extract("part", header, 0)) + 1)
-    bare = ~F.regexp_extract("part", header, 0).endswith(":") & (after == "")
-    block = F.when(bare, F.coalesce("next", F.lit(""))).otherwise(after)
-    named = rows.select(key, "pos", "sub", first_group("part", header, 1).alias("name"), strip(block).alias("block"))
-    return named.where("name is not null")
+    headed = F.transform(F.split("part", _INNER_HASH), lambda x: F.regexp_extract(x, _HASH_HEADER, 1))
+    names = F.when(F.col("form") == _MARKED, F.array(marked)).otherwise(headed)
+    rows = pieces.select(key, "pos", F.posexplode(names).alias("sub", "name")).where("name <> ''")
+    return rows.select(key, "pos", "sub", F.lower("name").alias("head"))
+
 
+def _section_text() -> Column:
+    """Text of the section that opens at ``sub`` of a piece."""
+    inner = F.split("part", _INNER_HASH)
+    part = F.array_join(F.slice(inner, F.col("sub") + 1, F.size(inner)), "")
+    opened = F.regexp_extract(part, _HASH_HEADER, 0)
+    body = F.substr(part, F.length(opened) + 1)
+    # A bare heading directly followed by another one takes the text of that one.
+    taken = F.when(~opened.endswith(":") & (body == ""), F.coalesce("after", F.lit(""))).otherwise(body)
+    return strip(F.when(F.col("form") == _MARKED, F.regexp_extract("part", _MARKED_HEADER, 2)).otherwise(taken))
 
-def _pick_sections(sections: DataFrame, wanted: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The first section of each wanted (key, name), names matched in either case."""
-    asked = wanted.select(key, "name", F.lower(_check_names(F.col("name"))).alias("head")).distinct()
-    found = sections.withColumn("head", F.lower("name")).drop("name")
-    first = found.join(asked, [key, "head"]).groupBy(key, "name")
-    return first.agg(F.min_by("block", F.struct(*order)).alias("block"))
+
+def _section_blocks(pages: DataFrame, names: DataFrame, key: str, text: str, forms: Sequence[int]) -> DataFrame:
+    """``key, name, block`` of every wanted ``(key, name)`` that has a section; the first one counts.
+
+    The sections are chosen on their names and positions alone; only the chosen pieces of text are joined to them.
+    """
+    asked = names.select(key, "name", F.lower(_check_names(F.col("name"))).alias("head")).distinct()
+    pieces = _pieces(pages, key, text, forms)
+    nth = F.row_number().over(Window.partitionBy(key, "name").orderBy("pos", "sub"))
+    chosen = _openings(pieces, key).join(asked, [key, "head"]).withColumn("nth", nth).where("nth = 1")
+    found = chosen.select(key, "name", "pos", "sub").join(pieces, [key, "pos"])
+    return found.select(key, "name", _section_text().alias("block"))
 
 
 def marker_blocks(pages: DataFrame, names: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
-    """The ``****`` section of every wanted ``(key, name)`` that has one: ``key, name, block``."""
-    return _pick_sections(marker_sections(pages, key, text), names, key, ["pos"])
+    """The ``****`` section of every wanted ``(key, name)`` that has one: ``key, name, block``.
+
+    A section opens with ``name:`` below a ``****`` line and ends at the next such line. One without text counts as
+    absent (it does not take the text of the next one).
+    """
+    return _section_blocks(pages, names, key, text, [_MARKED])
 
 
 def heading_blocks(pages: DataFrame, names: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
-    """The ``#`` section of every wanted ``(key, name)`` that has one: ``key, name, block``."""
-    return _pick_sections(heading_sections(pages, key, text), names, key, ["pos", "sub"])
+    """The ``# name`` section of every wanted ``(key, name)`` that has one: ``key, name, block``.
+
+    A section ends at the next line of hash signs and a space. As a quirk of the format that is kept, a bare heading
+    directly followed by another heading takes that section's text.
+    """
+    return _section_blocks(pages, names, key, text, [_HEADED])
 
 
 def logic_blocks(pages: DataFrame, names: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
     """The section of every wanted name, in ``****`` form or else in ``#`` form, else an empty text."""
-    marked = marker_blocks(pages, names, key, text).withColumnRenamed("block", "marked")
-    headed = heading_blocks(pages, names, key, text).withColumnRenamed("block", "headed")
+    found = _section_blocks(pages, names, key, text, [_MARKED, _HEADED])
     asked = names.select(key, "name").distinct()
-    both = asked.join(marked, [key, "name"], "left").join(headed, [key, "name"], "left")
-    return both.select(key, "name", F.coalesce("marked", "headed", F.lit("")).alias("block"))
+    return asked.join(found, [key, "name"], "left").select(key, "name", F.coalesce("block", F.lit("")).alias("block"))

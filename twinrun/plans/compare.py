@@ -93,13 +93,13 @@ def _same_types(left: DataFrame, right: DataFrame, by: Sequence[str]) -> bool:
 
 
 def _compared(
-    pair: Pair, by: Sequence[str], runs: DataFrame | None, differences: dict[str, list[str]]
+    pair: Pair, by: Sequence[str], runs: DataFrame | None, differences: dict[str, list[str]], keyed: bool
 ) -> DataFrame:
     """Counts and verdict on two DataFrames at one path."""
     path, left, right = pair
     match, comparable = path not in differences, _same_types(left, right, by)
     try:
-        counts, known = diff_counts(left, right, by), _COUNTS
+        counts, known = diff_counts(left, right, by, keyed), _COUNTS
     except NotComparable:
         counts, known = side_counts(left, right, by), _COUNTS[:2]
     if runs is not None:  # a run without rows on either side counts zero
@@ -154,11 +154,16 @@ def _report_shape(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _pair_report(
-    spark: SparkSession, pair: Pair, by: Sequence[str], runs: DataFrame | None, differences: dict[str, list[str]]
+    spark: SparkSession,
+    pair: Pair,
+    by: Sequence[str],
+    runs: DataFrame | None,
+    differences: dict[str, list[str]],
+    keyed: bool = False,
 ) -> DataFrame:
     l_frame, r_frame = isinstance(pair.left, DataFrame), isinstance(pair.right, DataFrame)
     if l_frame and r_frame:
-        rows = _compared(pair, by, runs, differences)
+        rows = _compared(pair, by, runs, differences, keyed)
     elif l_frame or r_frame:
         rows = _one_sided(pair.path, pair.left if l_frame else pair.right, l_frame, by, runs)
     else:
@@ -169,11 +174,13 @@ def _pair_report(
 # ---------------------------------------------------------------- whole outputs
 
 
-def compare_outputs(spark: SparkSession, left: Tree, right: Tree, check_metadata: bool = False) -> DataFrame:
-    """One report row per leaf of two output trees, in a single job."""
+def compare_outputs(
+    spark: SparkSession, left: Tree, right: Tree, check_metadata: bool = False, keyed: bool = False
+) -> DataFrame:
+    """One report row per leaf of two output trees, in a single job. ``keyed``: rows are mostly unique (see ``tally``)."""
     pairs = pair_leaves(left, right)
     differences = _schema_differences(spark, pairs, check_metadata)
-    return reduce(DataFrame.unionByName, [_pair_report(spark, p, (), None, differences) for p in pairs])
+    return reduce(DataFrame.unionByName, [_pair_report(spark, p, (), None, differences, keyed) for p in pairs])
 
 
 def compare_run(
@@ -200,6 +207,7 @@ def compare_runs(
     runs: DataFrame | None = None,
     by: str = "run_id",
     check_metadata: bool = False,
+    keyed: bool = False,
 ) -> DataFrame:
     """All runs of two outputs whose rows carry their run id, in a single job: one row per run and leaf.
 
@@ -216,7 +224,7 @@ def compare_runs(
 
     pairs = [Pair(p.path, asked(p.left), asked(p.right)) for p in pair_leaves(left, right)]
     differences = _schema_differences(spark, pairs, check_metadata)
-    return reduce(DataFrame.unionByName, [_pair_report(spark, p, (by,), runs, differences) for p in pairs])
+    return reduce(DataFrame.unionByName, [_pair_report(spark, p, (by,), runs, differences, keyed) for p in pairs])
 
 
 # ---------------------------------------------------------------- strict assertions

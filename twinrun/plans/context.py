@@ -9,6 +9,7 @@ from twinrun.functions.strings import blank_to_null
 from twinrun.functions.text import html_to_text, output_table
 from twinrun.operators.definitions import key_blocks, source_tables, tables_to_search
 from twinrun.operators.sections import INPUT_PART, LOGIC_PART, logic_blocks, named_blocks, section_between
+from twinrun.session import computed_once
 
 # Headings and placeholders of the document.
 LOGIC_HEADING = "# Pre-ETL Business Logic"
@@ -86,9 +87,11 @@ def assemble_context(parts: DataFrame) -> DataFrame:
 def build_context(config: DataFrame, pages: DataFrame, corpus: DataFrame) -> DataFrame:
     """``context_parts`` from the raw tables.
 
-    ``config``: ``pipeline, page_id, sources``; ``pages``: ``page_id, html``; ``corpus``: ``path, content``.
+    ``config``: ``pipeline, page_id, sources``; ``pages``: ``page_id, html``; ``corpus``: ``path, content``. The text of
+    the pages is needed in several places; where the session names a shared folder it is worked out once.
     """
-    halves = page_parts(pages)
+    used = pages.join(config.select("page_id"), "page_id", "left_semi")
+    halves = computed_once(page_parts(used), "pages")
     tables = tables_to_search(config).join(config.select("pipeline", "page_id"), "pipeline")
     names = tables.select("pipeline", "page_id", F.col("table").alias("name"))
     inputs = halves.where("inputs is not null")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE splits hot join keys and sizes the shuffle partitions at run time; broadcast joins happen only below
 # Spark's own size threshold, which is left at its default.
@@ -22,3 +24,21 @@ def session(app_name: str = "twinrun", master: str | None = None, **conf: object
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, str(value))
     return builder.getOrCreate()
+
+
+def scratch_dir(spark: SparkSession) -> str | None:
+    """The shared folder for intermediate results: ``spark.checkpoint.dir`` of the session, None when it is not set."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def computed_once(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several branches of a plan read to the shared folder, and go on from there.
+
+    Lost executors then cost no recomputation. Without a shared folder the plan stays as it is.
+    """
+    folder = scratch_dir(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/twinrun-{name}-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
