@@ -66,10 +66,11 @@ def _heading_lines(pages: DataFrame, key: str, text: str) -> DataFrame:
     has no end.
     """
     lines = _lines(F.col(text))
-    rows = pages.select(key, (F.size(lines) - 1).alias("last"), F.posexplode(lines).alias("ln", "line"))
+    open_end = ~F.substring_index(text, "\n", -1).contains(":")
+    closed = F.when(open_end, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    rows = pages.select(key, F.posexplode(closed).alias("ln", "line"))
     head = F.lower(strip(F.substring_index("line", ":", 1)))
-    closed = F.col("line").contains(":") | (F.col("ln") < F.col("last"))
-    return rows.where(closed).select(key, "ln", head.alias("head")).where("head <> ''")
+    return rows.select(key, "ln", head.alias("head")).where("head <> ''")
 
 
 def named_blocks(
