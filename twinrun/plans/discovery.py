@@ -109,10 +109,11 @@ def snapshot_folders(listing: DataFrame, prefix: str = HISTORY_PREFIX) -> DataFr
 
 
 def latest_snapshots(listing: DataFrame, prefix: str = HISTORY_PREFIX) -> DataFrame:
-    """The last snapshot folder of each day: ``day, folder``. Folder names sort by time, so it is a plain maximum."""
-    folders = names_below(listing, prefix).select(snapshot_folder("name", prefix).alias("folder"))
-    dated = folders.where("folder is not null").withColumn("day", snapshot_day("folder"))
-    return dated.groupBy("day").agg(F.max("folder").alias("folder"))
+    """The last snapshot folder of each day: ``day, folder``. Folder names sort by time, so it is a plain maximum.
+
+    The many files of a folder fall together by hashing first; the maximum is taken over the few folders left.
+    """
+    return snapshot_folders(listing, prefix).groupBy("day").agg(F.max("folder").alias("folder"))
 
 
 def resolve_raw_paths(
