@@ -19,7 +19,7 @@ def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Events by run; the right side lacks every fiftieth user."""
+    """Events by run. The seeded difference: the right side lacks some users."""
     left = event_runs(spark, sf_dir).select("run_id", "user_id", "event_type")
     return left, left.where("user_id % 50 <> 7")
 
@@ -50,10 +50,10 @@ def mixed_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshot folders by event time; every fifth day has none."""
-    folder = F.date_format("ts", "yyyy-MM-dd'T'HHmmss.SSS'Z'")
-    events = table(spark, sf_dir, "events").where("day(ts) % 5 <> 0")
-    return events.select(F.concat(F.lit("history/"), folder, F.lit("/store.csv")).alias("name"))
+    """Snapshot folders three days behind the events, so the last three days have none."""
+    taken = F.expr("ts - INTERVAL 3 DAYS")
+    folder = F.date_format(taken, "yyyy-MM-dd'T'HHmmss.SSS'Z'")
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("history/"), folder, F.lit("/store.csv")).alias("name"))
 
 
 # ---------------------------------------------------------------- pages
@@ -101,7 +101,7 @@ def wiki_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def definition_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file for twenty parts each; every tenth part is defined once more in a later file."""
+    """One file for twenty parts each; all parts are defined once more in later files."""
     part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     trap = F.when(key % 5 == 0, F.format_string("blocked_part_%d_feed:\n  description: no\n", key)).otherwise("")
@@ -111,7 +111,7 @@ def definition_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     indent = F.when(key % 7 == 0, "  ").otherwise("")
     first = part.select(F.format_string("defs/%05d.yml", F.expr("p_partkey div 20")).alias("path"), "p_partkey",
                         F.concat(trap, indent, entry).alias("text"))
-    again = part.where("p_partkey % 10 = 0").select(
+    again = part.select(
         F.format_string("more/%05d.yml", F.expr("p_partkey div 200")).alias("path"), "p_partkey",
         F.format_string("part_%d_feed:\n  description: later\n", key).alias("text"),
     )

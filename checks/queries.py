@@ -115,13 +115,14 @@ def filter_isin(spark, sf):
 
 @query
 def left_join_using(spark, sf):
-    customer = table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey").where("o_custkey % 3 <> 0")
+    customer = table(spark, sf, "customer").withColumn("o_custkey", F.col("c_custkey") + 100)  # some stay unmatched
     return table(spark, sf, "orders").join(customer, "o_custkey", "left").select("o_custkey", "o_orderkey", "c_name")
 
 
 @query
 def left_join_alias(spark, sf):
-    o, c = table(spark, sf, "orders").alias("o"), table(spark, sf, "customer").where("c_custkey % 3 <> 0").alias("c")
+    customer = table(spark, sf, "customer").withColumn("c_custkey", F.col("c_custkey") + 100)
+    o, c = table(spark, sf, "orders").alias("o"), customer.alias("c")
     both = o.join(c, F.col("o.o_custkey") == F.col("c.c_custkey"), "left")
     return both.select(F.col("o.o_orderkey"), F.col("o.o_custkey"), F.col("c.c_custkey"), F.col("c.c_name"))
 
@@ -152,17 +153,18 @@ def row_counts(spark, sf):
 
 
 def _order_pair(spark, sf):
+    """Two columns with many equal rows. The seeded difference: the right side lacks some orders."""
     orders = table(spark, sf, "orders")
     pick = ("o_custkey", "o_orderstatus")
     return orders.select(*pick), orders.where("o_orderkey % 10 <> 3").select(*pick)
 
 
 def _line_pair(spark, sf):
-    """All columns of lineitem; the right side has one changed discount in 97 lines and every 101st line twice."""
+    """All columns of lineitem. The seeded difference: other discounts in some orders, and some orders twice."""
     left = table(spark, sf, "lineitem")
     changed = F.when(F.col("l_orderkey") % 97 == 0, 0.5).otherwise(F.col("l_discount"))
-    right = left.withColumn("l_discount", changed)
-    return left, right.union(right.where("l_orderkey % 101 = 0"))
+    copies = F.explode(F.expr("sequence(1, CASE WHEN l_orderkey % 101 = 0 THEN 2 ELSE 1 END)")).alias("copy")
+    return left, left.withColumn("l_discount", changed).select("*", copies).drop("copy")
 
 
 @query
@@ -202,9 +204,10 @@ def wide_parity(spark, sf):
 
 @query
 def text_parity(spark, sf):
-    """Whole documents as rows, long texts included."""
+    """Whole documents as rows, long texts included. The seeded difference: a character more in some texts."""
     left = table(spark, sf, "documents")
-    return diff.diff_counts(left, left.where("doc_id % 11 <> 0"), by=["lang"])
+    longer = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return diff.diff_counts(left, left.withColumn("text", longer), by=["lang"])
 
 
 @query

@@ -30,8 +30,9 @@ dated AS (
 
 _HISTORY = """
 history AS (
-  SELECT DISTINCT strftime(ts, '%Y-%m-%dT%H%M%S.%gZ') AS folder, strftime(ts, '%Y-%m-%d') AS day
-  FROM events WHERE day(ts) % 5 <> 0)"""
+  SELECT DISTINCT strftime(ts - INTERVAL 3 DAY, '%Y-%m-%dT%H%M%S.%gZ') AS folder,
+    strftime(ts - INTERVAL 3 DAY, '%Y-%m-%d') AS day
+  FROM events)"""
 
 _RUNS = f"runs AS (SELECT DISTINCT {_RUN} AS run_id, CAST(ts AS DATE) AS run_date FROM events)"
 
@@ -252,10 +253,10 @@ FROM pages""",
     "filter_isin": "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 2, 3, 4)",
     "left_join_using": """
 SELECT o_custkey, o_orderkey, c_name FROM orders
-LEFT JOIN (SELECT c_custkey AS o_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0) USING (o_custkey)""",
+LEFT JOIN (SELECT c_custkey + 100 AS o_custkey, c_name FROM customer) USING (o_custkey)""",
     "left_join_alias": """
 SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders
-LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o_custkey = c_custkey""",
+LEFT JOIN (SELECT c_custkey + 100 AS c_custkey, c_name FROM customer) c ON o_custkey = c_custkey""",
     "left_join_chain": """
 SELECT c_name, n_name, r_name FROM customer
 LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
@@ -274,7 +275,8 @@ SELECT o_custkey % 50, o_orderstatus, o_orderpriority FROM orders WHERE o_orderk
     "diff_counts": f"WITH {_EVENTS} SELECT {_counts()}",
     "wide_parity": f"WITH {_LINES} SELECT {_counts()}",
     "text_parity": f"""
-WITH a AS (SELECT * FROM documents), b AS (SELECT * FROM documents WHERE doc_id % 11 <> 0), {_counts("lang")}
+WITH a AS (SELECT * FROM documents),
+b AS (SELECT * REPLACE (CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END AS text) FROM documents), {_counts("lang")}
 SELECT * FROM counts""",
     "row_tally": f"""
 WITH {_ORDERS}

@@ -28,6 +28,22 @@ def test_counts_equal_except_all(spark, a, b):
     left, right = spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA)
     expected = (len(a), len(b), left.exceptAll(right).count(), right.exceptAll(left).count())
     assert counts(left, right) == [expected]
+    assert counts(left, right, keyed=True) == [expected]
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_equal_values_with_other_bits(spark, keyed):
+    """Zeros, NaNs, maps and collated text that are equal must meet in one task, at any depth."""
+    n = "CAST('NaN' AS DOUBLE)"
+    left = spark.sql(
+        f"SELECT id, 0.0D AS z, {n} AS n, array(0.0D, {n}) AS a, struct(map('x', 0.0D, 'y', 1.0D) AS m) AS s, "
+        "array(map('k', 0.0F)) AS am, 'ABC' COLLATE UTF8_LCASE AS t FROM range(50)"
+    )
+    right = spark.sql(
+        f"SELECT id, -0.0D AS z, sqrt(-1.0D) AS n, array(-0.0D, -({n})) AS a, struct(map('y', 1.0D, 'x', -0.0D) AS m) AS s, "
+        "array(map('k', -0.0F)) AS am, 'abc' COLLATE UTF8_LCASE AS t FROM range(50)"
+    )
+    assert counts(left, right, keyed=keyed) == [(50, 50, 0, 0)]
 
 
 def test_null_nan_and_zero_are_equal_to_themselves(spark):

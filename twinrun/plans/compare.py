@@ -216,6 +216,9 @@ def compare_runs(
     up in the report, such as ``run_date`` and ``raw_path``) exactly those are reported, a run without rows on either
     side as equal ones; other runs are dropped before any shuffle.
     """
+    clash = {name for name, _ in REPORT} & set(runs.columns if runs is not None else [by])
+    if clash:
+        raise ValueError(f"the report has columns of its own named {sorted(clash)}")
 
     def asked(leaf: Any) -> Any:
         if runs is None or not isinstance(leaf, DataFrame):
@@ -302,6 +305,7 @@ def compare_each_run(
     fail_fast: bool = False,
     timeout_minutes: float | None = 20,
     check_metadata: bool = False,
+    keyed: bool = False,
 ) -> DataFrame:
     """For pipelines whose data does not carry a run id: a plan per run, ``batch_size`` runs to a job.
 
@@ -314,7 +318,7 @@ def compare_each_run(
     seen = False
     with deadline(spark, timeout_minutes) as expired:
         while batch := list(islice(listed, batch_size)):
-            _compare_batch(spark, pipeline, batch, report_path, check_metadata, expired, first=not seen)
+            _compare_batch(spark, pipeline, batch, report_path, (check_metadata, keyed), expired, first=not seen)
             seen = True
             if fail_fast:
                 ids = [r.run_id for r in batch]
@@ -342,25 +346,35 @@ def _error_rows(spark: SparkSession, batch: Sequence[Row], status: str, error: s
     return _report_shape(rows, ("run_id", "run_date", "raw_path"))
 
 
-def _compare_batch(spark, pipeline, batch, report_path, check_metadata, expired, first) -> None:
+def _compare_batch(
+    spark: SparkSession,
+    pipeline: Pipeline,
+    batch: Sequence[Row],
+    report_path: str,
+    settings: tuple[bool, bool],
+    expired: Event,
+    first: bool,
+) -> None:
     mode = "error" if first else "append"
     try:
         if expired.is_set():
             raise TimeoutError
-        _batch_report(spark, pipeline, batch, check_metadata).write.mode(mode).parquet(report_path)
+        _batch_report(spark, pipeline, batch, *settings).write.mode(mode).parquet(report_path)
     except Exception as problem:  # noqa: BLE001 - whatever a pipeline raises belongs into the report
         if expired.is_set():
             raise TimeoutError("the comparison ran out of time; the report holds the batches done so far") from problem
         if len(batch) > 1:
             half = len(batch) // 2
-            _compare_batch(spark, pipeline, batch[:half], report_path, check_metadata, expired, first)
-            _compare_batch(spark, pipeline, batch[half:], report_path, check_metadata, expired, False)
+            _compare_batch(spark, pipeline, batch[:half], report_path, settings, expired, first)
+            _compare_batch(spark, pipeline, batch[half:], report_path, settings, expired, False)
         else:
             text = f"{type(problem).__name__}: {problem}".split("\n\nJVM stacktrace")[0]
             _error_rows(spark, batch, ERROR, text).write.mode(mode).parquet(report_path)
 
 
-def _batch_report(spark: SparkSession, pipeline: Pipeline, batch: Sequence[Row], check_metadata: bool) -> DataFrame:
+def _batch_report(
+    spark: SparkSession, pipeline: Pipeline, batch: Sequence[Row], check_metadata: bool, keyed: bool
+) -> DataFrame:
     """One report plan for a batch: per path, runs whose outputs have the same two schemas are compared together."""
     groups: dict[tuple, list[tuple[Row, Pair]]] = {}
     for run in batch:
@@ -380,5 +394,6 @@ def _batch_report(spark: SparkSession, pipeline: Pipeline, batch: Sequence[Row],
         runs = _run_rows(spark, [run for run, _ in members]).withColumnRenamed("run_id", _RUN)
         differences = _schema_differences(spark, [members[0][1]], check_metadata)
         pair = Pair(path, together("left", members), together("right", members))
-        parts.append(_pair_report(spark, pair, (_RUN,), runs, differences).withColumnRenamed(_RUN, "run_id"))
+        report = _pair_report(spark, pair, (_RUN,), runs, differences, keyed)
+        parts.append(report.withColumnRenamed(_RUN, "run_id"))
     return reduce(DataFrame.unionByName, parts)
