@@ -321,6 +321,21 @@ def schema_side_by_side(spark, sf):
     return report.schema_table(both).join(counts, "path")
 
 
+@query
+def schema_columns(spark, sf):
+    """Columns of each leaf that are on both sides, or on one only, next to the row count of the leaf."""
+    left, right = _schema_trees(spark, sf)
+    l, r = schema.schema_rows(spark, left), schema.schema_rows(spark, right)
+    kinds = {
+        "both": schema.columns_in_both(l, r),
+        "left": schema.columns_only_in_left(l, r),
+        "right": schema.columns_only_in_left(r, l),
+    }
+    parts = [rows.select("path", "name", F.lit(kind).alias("side")) for kind, rows in kinds.items()]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.join(diff.row_counts({f"$.{k}": v for k, v in left.items()}), "path")
+
+
 def _pair(spark, sf, pipeline, *names):
     tables = {n: table(spark, sf, n) for n in names}
     left, right = (side(tables, None, **pipeline.options) for side in (pipeline.left, pipeline.right))

@@ -360,6 +360,12 @@ FROM found f JOIN leaf_rows l USING (path)""",
     "schema_side_by_side": f"""
 WITH {_side_values()}, {_LEAF_ROWS}
 SELECT path, ordinal, '  ' || rpad(l, 52, ' ') || ' | ' || r AS line, rows FROM fields JOIN leaf_rows USING (path)""",
+    "schema_columns": f"""
+WITH {_schema_values()}, {_LEAF_ROWS},
+sides(path, name, side) AS (
+  SELECT path, name, CASE WHEN name = 'o_orderstatus' THEN 'left' ELSE 'both' END FROM fields
+  UNION ALL SELECT '$.orders', 'o_status', 'right')
+SELECT * FROM sides JOIN leaf_rows USING (path)""",
     "pair_unused": f"""
 WITH a AS (SELECT '2024-01-01' AS start_date, 21 AS solution_id FROM orders), b AS (SELECT * FROM a),
 n AS (SELECT {_counts()}) SELECT {_verdict("$")} FROM n""",

@@ -8,9 +8,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from twinrun.session import session
+    from twinrun.session import get_session
 
-    s = session(
+    s = get_session(
         "tests",
         "local[8]",
         **{

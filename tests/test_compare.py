@@ -222,3 +222,26 @@ def test_report_table_and_text(spark):
     assert lines[:4] == ["comparison report", "=" * 60, "run_ids: 2", ""]
     assert lines[-1] == "Passed: 1 / 2"
     assert lines.index("run_id:     b-2024-01-02") < lines.index("run_id:     a-2024-01-01")
+
+
+def test_an_existing_report_is_not_touched(spark):
+    path = fresh()
+    spark.range(1).write.parquet(path)
+    with pytest.raises(ValueError, match="already"):
+        compare.compare_each_run(spark, pipeline(), runs_of(spark, "a"), path)
+
+
+def test_report_column_names_are_reserved(spark):
+    df = spark.sql("SELECT 'a' AS run_id, 1 AS x")
+    with pytest.raises(ValueError, match="status"):
+        compare.compare_runs(spark, df, df, df.select("run_id").withColumn("status", F.lit("x")))
+
+
+def test_fixed_inputs_are_read_once(spark, monkeypatch):
+    """Random input differs from read to read; written once to the shared folder it is the same for both versions."""
+    folder = tempfile.mkdtemp(prefix="twinrun-")
+    monkeypatch.setattr("twinrun.session.scratch_dir", lambda spark: folder)
+    same = lambda inputs, run: inputs["in"]
+    read = lambda spark, run: {"in": spark.range(100).select(F.expr("uuid()").alias("x"))}
+    left, right = Pipeline(read, same, same, fixed_inputs=True).outputs(spark)
+    compare.assert_equal(left, right)

@@ -326,3 +326,27 @@ def test_many_blocks_of_one_large_page(spark):
     names = spark.range(4000).select(F.lit(0).cast("long").alias("page_id"), F.concat(F.lit("name"), "id").alias("name"))
     got = blocks(sections.named_blocks(pages(spark, [text]), names))
     assert len(got) == 4000 and got[(0, "name77")] == "name77:\nbody 77 " + "z" * 200
+
+
+def test_one_page_shared_by_many_pipelines(spark):
+    text = "\n".join(f"name{i}:\nbody {i}" for i in range(300))
+    names = spark.range(20_000).select(
+        F.concat(F.lit("p"), "id").alias("pipeline"), F.lit(0).cast("long").alias("page_id"),
+        F.explode(F.array(F.concat(F.lit("name"), F.col("id") % 299), F.concat(F.lit("name"), F.col("id") % 299 + 1))).alias("name"),
+    )
+    got = sections.named_blocks(pages(spark, [text]), names, groups=["pipeline"])
+    first = got.where("pipeline = 'p5'").orderBy("name").collect()
+    assert got.count() == 40_000
+    assert first[0].block == "name5:\nbody 5" and first[1].block.startswith("name6:\nbody 6\nname7:")
+
+
+def test_context_goes_through_the_shared_folder(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("twinrun.session.scratch_dir", lambda spark: str(tmp_path))
+    config = spark.sql("SELECT 'p' AS pipeline, 1L AS page_id, map('a', named_struct('table_name', 't1')) AS sources")
+    html = "<h1>Input Data Explanations</h1><p>t1:</p><p>from page</p>"
+    pages_ = spark.createDataFrame([(1, html), (2, html)], "page_id long, html string")
+    corpus = spark.createDataFrame([], "path string, content string")
+    docs = context.assemble_context(context.build_context(config, pages_, corpus)).collect()
+    assert "## t1\n\nt1:\nfrom page\n" in docs[0].document
+    (written,) = tmp_path.glob("twinrun-pages-*")
+    assert spark.read.parquet(str(written)).count() == 1  # pages nobody refers to are left out

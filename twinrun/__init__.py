@@ -13,7 +13,7 @@ from twinrun.plans.compare import (
 )
 from twinrun.plans.discovery import discover_runs, latest_snapshots, resolve_raw_paths
 from twinrun.plans.report import failed_runs, passed_runs, summarise
-from twinrun.session import session
+from twinrun.session import get_session
 
 __all__ = [
     "Pipeline",
@@ -29,12 +29,12 @@ __all__ = [
     "discover_runs",
     "except_all",
     "failed_runs",
+    "get_session",
     "latest_snapshots",
     "passed_runs",
     "resolve_raw_paths",
     "schema_diff",
     "schema_rows",
-    "session",
     "summarise",
     "tally",
 ]

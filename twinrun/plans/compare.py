@@ -12,6 +12,7 @@ from threading import Event, Timer
 from typing import Any
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from twinrun.functions.runs import run_date
 from twinrun.operators.diff import NotComparable, diff_counts, diff_sample, quoted, side_counts
 from twinrun.operators.schema import leaf_rows, same_schema, schema_diff, schema_diff_rows
 from twinrun.operators.tree import MISSING_LEAF, Pair, Tree, pair_leaves
+from twinrun.session import computed_once
 
 PASS, FAIL, ERROR, MISSING, NO_RUNS = "PASS", "FAIL", "ERROR", "MISSING_LEAF", "NO_RUNS"
 
@@ -46,16 +48,21 @@ class Pipeline:
 
     ``read(spark, run)`` returns a dict of DataFrames, ``left(inputs, run, **options)`` and
     ``right(inputs, run, **options)`` an output tree. ``run`` is a Row with ``run_id``, ``run_date`` and ``raw_path``,
-    or None when all runs are compared in one plan and the data carries its run id.
+    or None when all runs are compared in one plan and the data carries its run id. With ``fixed_inputs`` the inputs are
+    written once to the session's shared folder, so that both versions see the same rows even where reading them is not
+    deterministic; without such a folder each version reads for itself.
     """
 
     read: Callable[[SparkSession, Row | None], dict[str, DataFrame]]
     left: Callable[..., Tree]
     right: Callable[..., Tree]
     options: dict[str, Any] = field(default_factory=dict)
+    fixed_inputs: bool = False
 
     def outputs(self, spark: SparkSession, run: Row | None = None) -> tuple[Tree, Tree]:
         inputs = self.read(spark, run)
+        if self.fixed_inputs:
+            inputs = {name: computed_once(df, name) for name, df in inputs.items()}
         return self.left(inputs, run, **self.options), self.right(inputs, run, **self.options)
 
 
@@ -314,6 +321,8 @@ def compare_each_run(
     and the others are still compared. ``fail_fast`` raises after the first batch with a run that does not pass,
     once its rows are written; so does an empty list of runs, which proves nothing.
     """
+    if _is_table(spark, report_path):
+        raise ValueError(f"there is a report at {report_path} already")
     listed = runs.select("run_id", "run_date", "raw_path").toLocalIterator()
     seen = False
     with deadline(spark, timeout_minutes) as expired:
@@ -335,6 +344,14 @@ def compare_each_run(
     return spark.read.parquet(report_path)
 
 
+def _is_table(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
 def _run_rows(spark: SparkSession, batch: Sequence[Row]) -> DataFrame:
     rows = [r.asDict() for r in batch]
     kinds = pa.schema([("run_id", pa.string()), ("run_date", pa.date32()), ("raw_path", pa.string())])

@@ -16,7 +16,7 @@ SETTINGS = {
 }
 
 
-def session(app_name: str = "twinrun", master: str | None = None, **conf: object) -> SparkSession:
+def get_session(app_name: str = "twinrun", master: str | None = None, **conf: object) -> SparkSession:
     """A session with the settings above; further ones go in as ``**{"spark.key": value}``."""
     builder = SparkSession.builder.appName(app_name)
     if master:

@@ -37,9 +37,13 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.substr(F.col("path"), start).alias("name"))
 
 
-def read_listing(spark: SparkSession, path: str) -> DataFrame:
-    """A saved listing: JSON array (or lines) of objects, of which only ``name`` is used."""
-    return spark.read.schema("name string").option("multiLine", True).json(path)
+def read_listing(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A saved listing: objects of which only ``name`` is used.
+
+    One JSON array per file by default, each read by one task; ``multi_line=False`` reads one object per line, which
+    Spark splits at will.
+    """
+    return spark.read.schema("name string").option("multiLine", multi_line).json(path)
 
 
 def read_corpus(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
