@@ -290,7 +290,9 @@ def _schema_trees(spark, sf):
     orders, customer, line = (table(spark, sf, n) for n in ("orders", "customer", "lineitem"))
     left = {"orders": orders, "customer": customer, "lines": line}
     right = {
-        "orders": orders.withColumnRenamed("o_orderstatus", "o_status").withColumn("o_custkey", F.col("o_custkey").cast("int")),
+        "orders": orders.withColumnsRenamed({"o_orderstatus": "o_status"}).withColumn(
+            "o_custkey", F.col("o_custkey").cast("int")
+        ),
         "customer": customer.select(*reversed(customer.columns)),
         "lines": line.withColumn("l_tax", F.coalesce("l_tax", F.lit(0.0))),
     }
@@ -481,7 +483,8 @@ def merge_definitions(spark, sf):
     """Definition of every source of every pipeline: from a file, else from its page, else a placeholder."""
     config = src.pipeline_config(spark, sf)
     blocks = definitions.key_blocks(src.definition_files(spark, sf), src.definition_keys(spark, sf))
-    explained = config.select("pipeline", F.col("pipeline").alias("table"), F.concat(F.lit("page of "), "pipeline").alias("block"))
+    block = F.concat(F.lit("page of "), "pipeline").alias("block")
+    explained = config.select("pipeline", F.col("pipeline").alias("table"), block)
     merged = context.merge_definitions(
         definitions.source_tables(config), blocks.withColumnRenamed("key", "table"), explained
     )

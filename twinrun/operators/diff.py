@@ -125,15 +125,13 @@ def _tally(left: DataFrame, right: DataFrame, by: Sequence[str], keyed: bool = F
     if len(l_types) != len(r_types):
         raise NotComparable(f"{len(l_types)} columns against {len(r_types)}")
     as_text = [_needs_text(a, b) for a, b in zip(l_types, r_types)]
-    try:
+    try:  # analysis only: types without a common one, or without equality, are refused here
         both = _tagged(left, by, as_text, True).union(_tagged(right, by, as_text, False))
-        both.schema  # analysis only: types without a common one are refused here
+        keys = [c for c in both.columns if c not in ("n_left", "n_right")]
+        both = both.repartition(*keys) if keyed else both
+        return both.groupBy(*keys).agg(F.expr("sum(n_left) AS n_left"), F.expr("sum(n_right) AS n_right"))
     except AnalysisException as refused:
         raise NotComparable(str(refused)) from refused
-    keys = [c for c in both.columns if c not in ("n_left", "n_right")]
-    if keyed:
-        both = both.repartition(*keys)
-    return both.groupBy(*keys).agg(F.expr("sum(n_left) AS n_left"), F.expr("sum(n_right) AS n_right"))
 
 
 def _restore_names(df: DataFrame, left: DataFrame, by: Sequence[str], extra: Sequence[str]) -> DataFrame:
@@ -225,7 +223,8 @@ def _repeat(rows: DataFrame, keep: Sequence[str], step: int = 10_000) -> DataFra
         rows = rows.select(*keep, "copies", blocks.alias("blocks"), part)
         one_more = F.when(F.col("block") < F.col("copies") % F.col("blocks"), 1).otherwise(0)
         rows = rows.select(*keep, (F.expr("copies div blocks") + one_more).alias("copies"))
-    return rows.select(*keep, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copies")).select(*keep)
+    last = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")
+    return rows.select(*keep, last).select(*keep)
 
 
 def differing_rows(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:

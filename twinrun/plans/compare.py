@@ -72,10 +72,11 @@ class Pipeline:
 # Why a leaf fails, the first reason that applies; put after the path.
 _REASON = """
 CASE WHEN NOT schema_match THEN concat('schema differs: ', array_join(schema_differences, '; '))
+     WHEN only_in_left IS NULL THEN 'the rows are of a type that cannot be compared'
      WHEN left_count <> right_count THEN format_string('row count differs: left=%d, right=%d', left_count, right_count)
      ELSE format_string('rows differ: %d only in left, %d only in right (duplicates count)', only_in_left, only_in_right)
 END"""
-_CLEAN = "schema_match AND only_in_left = 0 AND only_in_right = 0"
+_CLEAN = "coalesce(schema_match AND only_in_left = 0 AND only_in_right = 0, false)"
 
 
 def _schema_differences(spark: SparkSession, pairs: Sequence[Pair], check_metadata: bool) -> dict[str, list[str]]:

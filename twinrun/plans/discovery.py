@@ -21,6 +21,8 @@ from twinrun.functions.runs import (
 
 FOUND, MISSING_SNAPSHOT = "FOUND", "MISSING"
 
+Day = Column | str | date | datetime
+
 
 def _normal(prefix: str) -> str:
     bare = prefix.strip("/")
@@ -35,7 +37,7 @@ def names_below(listing: DataFrame, prefix: str) -> DataFrame:
     )
 
 
-def in_window(day: Column, start: Column | str | date | datetime | None, end: Column | str | date | datetime | None) -> Column:
+def in_window(day: Column, start: Day | None, end: Day | None) -> Column:
     """Both ends belong to the window; an end that is None is open."""
     keep = F.lit(True)
     if start is not None:
@@ -48,8 +50,8 @@ def in_window(day: Column, start: Column | str | date | datetime | None, end: Co
 def runs_from_listing(
     listing: DataFrame,
     prefix: str = DISCOVERY_PREFIX,
-    start: str | date | datetime | None = None,
-    end: str | date | datetime | None = None,
+    start: Day | None = None,
+    end: Day | None = None,
 ) -> DataFrame:
     """Distinct ``run_id, run_date`` of the objects below a prefix, within a date window.
 
@@ -95,8 +97,8 @@ def discover_runs(
     listing: DataFrame,
     prefix: str = DISCOVERY_PREFIX,
     max_runs: int | None = None,
-    start: str | date | datetime | None = None,
-    end: str | date | datetime | None = None,
+    start: Day | None = None,
+    end: Day | None = None,
 ) -> DataFrame:
     """The ``max_runs`` most recent runs of a listing: ``run_id, run_date``, newest first."""
     return newest_runs(runs_from_listing(listing, prefix, start, end), max_runs)

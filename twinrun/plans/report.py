@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinrun.plans.compare import FAIL, NO_RUNS, PASS
@@ -66,7 +66,10 @@ def schema_table(matched: DataFrame) -> DataFrame:
 def report_blocks(report: DataFrame) -> DataFrame:
     """The text block of every run and leaf, line by line: ``run_date, run_id, path, pos, line``."""
     text = count_text(report)
-    label = lambda name, value: F.concat(F.rpad(F.lit(name + ":"), 12, " "), F.coalesce(value.cast("string"), F.lit("-")))
+
+    def label(name: str, value: Column) -> Column:
+        return F.concat(F.rpad(F.lit(name + ":"), 12, " "), F.coalesce(value.cast("string"), F.lit("-")))
+
     raw = F.col("raw_path") if "raw_path" in report.columns else F.lit(None)
     lines = F.array(
         F.lit("-" * RULE_WIDTH),
@@ -90,12 +93,10 @@ def report_lines(report: DataFrame) -> DataFrame:
     """The whole text report, newest run first: ``section, run_date, run_id, path, pos, line`` (not yet sorted)."""
     totals = summarise(report)
     rule = F.lit("=" * RULE_WIDTH)
-    head = F.array(
-        F.lit("comparison report"), rule, F.format_string("run_ids: %d", "total"), F.lit("")
-    )
+    head = F.array(F.lit("comparison report"), rule, F.format_string("run_ids: %d", "total"), F.lit(""))
     foot = F.array(F.lit(""), rule, F.format_string("Passed: %d / %d", "passed", "total"))
 
-    def framed(section: int, lines) -> DataFrame:
+    def framed(section: int, lines: Column) -> DataFrame:
         none = F.lit(None).cast("string")
         rows = totals.select(F.posexplode(lines).alias("pos", "line"))
         return rows.select(
