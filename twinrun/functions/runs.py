@@ -30,6 +30,11 @@ def run_date(run_id: Column | str) -> Column:
     return F.try_to_date(run_date_text(run_id), "yyyy-MM-dd")
 
 
+def _first_segment(path: Column) -> Column:
+    """First path segment that is not empty; plain string work, no regex."""
+    return blank_to_null(F.substring_index(F.ltrim(path, F.lit("/")), "/", 1))
+
+
 def run_id(name: Column | str, prefix: str = "") -> Column:
     """Run id of an object name below ``prefix``.
 
@@ -37,14 +42,14 @@ def run_id(name: Column | str, prefix: str = "") -> Column:
     """
     relative = F.substr(column(name), F.lit(len(prefix) + 1))
     tagged = first_group(relative, rf"(?:^|/){RUN_ID_SEGMENT}([^/]+)")
-    return F.coalesce(tagged, first_group(relative, r"^/*([^/]+)"))
+    return F.coalesce(tagged, _first_segment(relative))
 
 
 def snapshot_folder(name: Column | str, prefix: str = HISTORY_PREFIX) -> Column:
     """First path segment below the history prefix, NULL for other names."""
     name = column(name)
     relative = F.substr(name, F.lit(len(prefix) + 1))
-    return F.when(name.startswith(prefix), first_group(relative, r"^/*([^/]+)"))
+    return F.when(name.startswith(prefix), _first_segment(relative))
 
 
 def snapshot_day(folder: Column | str) -> Column:
