@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from twinrun.llm import lines, quality
+from twinrun.llm import bpe, counts, lines, packing, quality
 
 QUERIES = {
+    "op1_byte_bpe": bpe.op1_byte_bpe,
     "op3_line_dedup": lines.op3_line_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op8_token_counts": counts.op8_token_counts,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 SQL = {
