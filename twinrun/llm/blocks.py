@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinrun.llm.common import row_key, shuffle_partitions
 
@@ -78,11 +79,13 @@ def answered(questions: DataFrame, kind: int, answer: Callable[[list[bytes], lis
     return questions.groupBy("bucket").applyInArrow(of_bucket, ANSWER)
 
 
-def finished(blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def finished(blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType) -> DataFrame:
     """The blocks with all their answers: ``finish`` gives the rows of the result."""
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
 
 
 def by_bucket(known: pa.Table, kind: int) -> dict[int, bytes]:
+    if not len(known):
+        return {}
     kinds, buckets, payloads = (known[c].to_pylist() for c in ("kind", "bucket", "payload"))
     return {b: p for k, b, p in zip(kinds, buckets, payloads) if k == kind}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from twinrun.llm import bpe, counts, lines, packing, quality
+from twinrun.llm import bpe, counts, lines, packing, quality, substrings
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op3_line_dedup": lines.op3_line_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_token_counts": counts.op8_token_counts,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
@@ -15,4 +16,5 @@ QUERIES = {
 SQL = {
     "op3_line_dedup": lines.SQL,
     "op5_quality_rules": quality.SQL,
+    "op7_substring_dedup": substrings.SQL,
 }
