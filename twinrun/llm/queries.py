@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from twinrun.llm import bpe, counts, lines, packing, quality, substrings
+from twinrun.llm import bpe, counts, lines, ngrams, packing, quality, substrings
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op3_line_dedup": lines.op3_line_dedup,
+    "op4_ngram_jaccard_join": ngrams.op4_ngram_jaccard_join,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_token_counts": counts.op8_token_counts,
