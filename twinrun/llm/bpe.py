@@ -16,6 +16,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinrun.llm.chunks import Memo, ids_by_chunk, packed, slices
 from twinrun.llm.common import table
@@ -64,19 +65,19 @@ class PerfectHash:
         return self.ranks[slot] if self.keys[slot] == key else -1
 
 
-def merged(piece: bytes, rank) -> list[int]:
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a piece: its bytes are linked, and the pair of neighbours of least rank (leftmost of equals) merges next.
 
     A heap holds the pairs, so n bytes take O(n log n). A pair is outdated when its left part is gone or its right
     part ends elsewhere now.
     """
-    n = len(piece)
-    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n))
+    n, rank = len(piece), ranks.get
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
     alive = bytearray(b"\1") * n
     heap = []
     for i in range(n - 1):
         r = rank(piece[i : i + 2])
-        if r >= 0:
+        if r is not None:
             heap.append((r, i, i + 2))
     heapq.heapify(heap)
     while heap:
@@ -85,21 +86,21 @@ def merged(piece: bytes, rank) -> list[int]:
         if not alive[i] or j >= n or end[j] != stop:
             continue
         alive[j] = 0
-        end[i], after[i] = stop, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-            r = rank(piece[i : end[after[i]]])
-            if r >= 0:
-                heapq.heappush(heap, (r, i, end[after[i]]))
-        if before[i] >= 0:
-            p = before[i]
+        k, p = after[j], before[i]
+        end[i], after[i] = stop, k
+        if k < n:
+            before[k] = i
+            r = rank(piece[i : end[k]])
+            if r is not None:
+                heapq.heappush(heap, (r, i, end[k]))
+        if p >= 0:
             r = rank(piece[p:stop])
-            if r >= 0:
+            if r is not None:
                 heapq.heappush(heap, (r, p, stop))
     out, i = [], 0
     while i < n:
         r = rank(piece[i : end[i]])
-        if r < 0:
+        if r is None:
             raise ValueError(f"byte {piece[i]} is not in the vocabulary")
         out.append(r)
         i = after[i]
@@ -125,10 +126,18 @@ class _Tables:
             out[r] = key
         return out
 
+    def text_of(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
     def ids_of_pretoken(self, pretoken: str) -> bytes:
         piece = pretoken.encode("utf-8", "surrogatepass")
         r = self.hash.rank(piece)
-        return packed([r] if r >= 0 else merged(piece, self.hash.rank))
+        return packed([r] if r >= 0 else merged(piece, self.ranks))
+
+    @cached_property
+    def ranks(self) -> dict[bytes, int]:
+        """Ranks of what merges: the second tier looks up every pair of neighbours."""
+        return dict(zip(self.hash.keys, self.hash.ranks))
 
     @cached_property
     def pretokens(self) -> Memo:
@@ -156,21 +165,32 @@ class ByteBpe:
         lines = (line.split() for line in Path(path).read_bytes().splitlines() if line.strip())
         return cls(spark, {base64.b64decode(token): int(rank) for token, rank in lines})
 
-    def encode(self, text: Column) -> Column:
-        """Ids of whole texts as one binary value each, little-endian unsigned 32-bit. NULL and empty texts: no ids.
+    def encode(self, docs: DataFrame, text: str = "text", decoded: bool = False) -> DataFrame:
+        """Ids of whole texts: ``row`` (the input row without its text) and ``ids``, one binary value of little-endian
+        unsigned 32-bit integers; with ``decoded`` also the bytes that the ids stand for, made from the ids.
 
         Each match of the pattern is looked up in the perfect hash first; a miss is merged byte by byte. Answers for
-        short chunks are remembered in a bounded memo. Long texts and long words take linear memory, O(n log n) time.
+        short chunks are remembered in a bounded memo. NULL and empty texts have no ids. Long texts and long words take
+        linear memory and O(n log n) time. Repeated rows are encoded each; other columns stay inside ``row``.
         """
         tables = self.tables
+        others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+        given = docs.select(F.struct(*others or [F.lit(None).alias("none")]).alias("row"), F.col(text).cast("string").alias("text"))
 
-        @F.arrow_udf("binary")
-        def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = tables.value
             for batch in batches:
-                yield pa.array([x for part in slices(batch) for x in ids_by_chunk(part, t.chunks, t.whole)], pa.binary())
-
-        return ids(text)
+                done = 0
+                for part in slices(batch["text"]):
+                    ids = ids_by_chunk(part, t.chunks, t.whole)
+                    columns = [batch["row"].slice(done, len(ids)), pa.array(ids, pa.binary())]
+                    if decoded:
+                        columns.append(pa.array(map(t.text_of, ids), pa.binary()))
+                    done += len(ids)
+                    yield pa.record_batch(columns, names=["row", "ids", "decoded"][: len(columns)])
+
+        added = [T.StructField(name, T.BinaryType()) for name in ["ids", "decoded"][: 1 + decoded]]
+        return given.mapInArrow(encode, T.StructType([given.schema["row"], *added]))
 
     def decode(self, ids: Column) -> Column:
         """The bytes that packed ids stand for; NULL: empty. Bytes need not be valid UTF-8, so the column is binary."""
@@ -178,19 +198,17 @@ class ByteBpe:
 
         @F.arrow_udf("binary")
         def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            piece = tables.value.bytes_of.__getitem__
             for batch in batches:
-                rows = (np.frombuffer(x.as_buffer() or b"", "<u4").tolist() for x in batch)
-                yield pa.array([b"".join(map(piece, row)) for row in rows], pa.binary())
+                yield pa.array([tables.value.text_of(x.as_py() or b"") for x in batch], pa.binary())
 
         return text(ids)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     bpe = ByteBpe.load(spark, public_tokenizers.path(ranks))
-    encoded = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text")).alias("ids"))
-    return encoded.withColumn("decoded", bpe.decode(F.col("ids"))).select(
-        "doc_id",
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
+    return encoded.select(
+        "row.doc_id",
         F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
