@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import cached_property
 from pathlib import Path
 
@@ -20,6 +21,8 @@ from twinrun.llm.chunks import Memo, slices
 from twinrun.llm.common import table
 
 LIMIT = 2048
+#: Larger blocks than elsewhere: the more text shares a list of distinct pre-tokens, the fewer of them move.
+COUNT_BLOCK_BYTES = 16 << 20
 
 # The pattern of the vocabulary file that splits normalised text, and what begins a special token.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -94,7 +97,7 @@ class _Block:
 
     def questions(self) -> list[tuple[int, bytes]]:
         found, of = self._runs()
-        return [(int(b), b" ".join([self.raw[i] for i in run])) for b, run in zip(found, of)]
+        return [(int(b), zlib.compress(b" ".join([self.raw[i] for i in run]), 1)) for b, run in zip(found, of)]
 
     def _runs(self):
         ordered = self.buckets[self.order]
@@ -116,7 +119,7 @@ class _Block:
         return out
 
 
-def token_counts(docs: DataFrame, path: str, text: str = "text", **blocks: int) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, text: str = "text", block_bytes: int = COUNT_BLOCK_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` (long) of whole texts, one row for each row of the input.
 
     Blocks of documents send each distinct pre-token once to its bucket, the bucket counts the pieces of each distinct
@@ -125,7 +128,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", **blocks: int)
     """
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(WordVocabulary(Path(path).read_text()))
-    dealt, n = in_blocks(docs, text, **blocks)
+    dealt, n = in_blocks(docs, text, block_bytes=block_bytes)
     id_type = dealt.schema["doc_id"].dataType.simpleString()
 
     def keys_of(rows: pa.Table) -> list[tuple[int, bytes]]:
@@ -135,7 +138,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", **blocks: int)
         v, known = vocabulary.value, {}
         out = []
         for payload in payloads:
-            tokens = payload.split(b" ")
+            tokens = zlib.decompress(payload).split(b" ")
             for t in tokens:
                 if t not in known:
                     known[t] = v.count(t.decode())
