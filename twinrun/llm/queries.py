@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinrun.llm import bpe, counts, lines, ngrams, packing, quality, substrings, vectors, warc
+from twinrun.llm import bpe, counts, licenses, lines, ngrams, packing, quality, substrings, vectors, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_nearest_neighbours": vectors.op6_nearest_neighbours,
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_token_counts": counts.op8_token_counts,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
