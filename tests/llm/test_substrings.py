@@ -64,3 +64,11 @@ def test_repeated_rows_nulls_and_empty_table(spark):
     got = sorted((x.doc_id is None, x.n_words, x.n_removed) for x in drop_repeated_spans(df).collect())
     assert got == [(False, 30, 30), (False, 30, 30), (True, 0, 0), (True, 30, 0)]
     assert drop_repeated_spans(df.limit(0)).count() == 0
+
+
+def test_layout_is_kept(spark):
+    passage = " ".join(f"p{k}" for k in range(25))
+    rows = [(1, f" a\n{passage}\t b "), (2, f"c  d\n\n{passage}\ne\tf \n"), (3, " no\n  passage\there "), (4, passage)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.kept for r in drop_repeated_spans(df, layout=True).collect()}
+    assert got == {1: rows[0][1], 2: "c  d\n\ne\tf \n", 3: rows[2][1], 4: ""}

@@ -31,7 +31,7 @@ def line_bitmaps(docs: DataFrame, text: str = "text", min_docs: int = 10, keep_f
     """Bitmaps of the lines to drop: ``k1, k2`` (key of the row), ``n_dropped``, ``bitmap``.
 
     A line goes when its key stands in at least ``min_docs`` documents; with ``keep_first`` the first occurrence of
-    the key (smallest document key, then position) stays. ``bitmap`` is an array of (word, mask) in order, one long
+    the key stays (smallest doc_id, NULL and missing ids before all, then document key, then position). ``bitmap`` is an array of (word, mask) in order, one long
     for each 64 lines with a dropped one among them; a set bit is a line to drop. Documents without such lines have
     no row.
 
@@ -42,7 +42,9 @@ def line_bitmaps(docs: DataFrame, text: str = "text", min_docs: int = 10, keep_f
     3. Or the bits of the dropped lines together by document. No text moves.
     """
     spark = docs.sparkSession
-    keyed = docs.select(*[k.alias(n) for k, n in zip(_document_key(docs, text), ("k1", "k2"))], line_keys(text_of(text)).alias("keys"))
+    ident = (F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("bigint")).alias("ident")
+    keyed = docs.select(ident, *[k.alias(n) for k, n in zip(_document_key(docs, text), ("k1", "k2"))], line_keys(text_of(text)).alias("keys"))
+    id_type = keyed.schema["ident"].dataType
     each = keyed.select(F.explode(F.array_distinct("keys")).alias("h")).where("h IS NOT NULL")
     frequent = each.groupBy(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2")).count().where(F.col("count") >= min_docs)
     marks = frequent.select(
@@ -50,27 +52,28 @@ def line_bitmaps(docs: DataFrame, text: str = "text", min_docs: int = 10, keep_f
         "h2",
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
         F.lit(True).alias("mark"),
-        *[F.lit(None).cast(t).alias(n) for n, t in (("k1", "bigint"), ("k2", "bigint"), ("pos", "int"))],
+        *[F.lit(None).cast(t).alias(n) for n, t in (("ident", id_type), ("k1", "bigint"), ("k2", "bigint"), ("pos", "int"))],
     )
-    lines = keyed.select("k1", "k2", F.posexplode("keys").alias("pos", "h")).where("h IS NOT NULL")
+    lines = keyed.select("ident", "k1", "k2", F.posexplode("keys").alias("pos", "h")).where("h IS NOT NULL")
     lines = lines.select(
         F.col("h.h1").alias("h1"),
         F.col("h.h2").alias("h2"),
         F.pmod("k1", F.lit(SALTS)).cast("int").alias("salt"),
         F.lit(None).cast("boolean").alias("mark"),
+        "ident",
         "k1",
         "k2",
         "pos",
     )
     ranged = marks.union(lines).repartitionByRange(shuffle_partitions(spark), "h1", "h2", "salt")
-    stream = Window.partitionBy("h1", "h2", "salt").orderBy(F.col("mark").desc_nulls_last(), "k1", "k2", "pos")
+    stream = Window.partitionBy("h1", "h2", "salt").orderBy(F.col("mark").desc_nulls_last(), "ident", "k1", "k2", "pos")
     seen = ranged.withColumn("drop", F.first("mark").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
     seen = seen.withColumn("nth", F.row_number().over(stream))
     dropped = seen.where("mark IS NULL AND drop")
     if keep_first:
         # The first line of each range stands right behind the mark; the least of them over all ranges stays.
-        heads = dropped.where("nth = 2").select("h1", "h2", "k1", "k2", "pos")
-        least = heads.groupBy("h1", "h2").agg(F.min(F.struct("k1", "k2", "pos")).alias("at"))
+        heads = dropped.where("nth = 2").select("h1", "h2", "ident", "k1", "k2", "pos")
+        least = heads.groupBy("h1", "h2").agg(F.min(F.struct("ident", "k1", "k2", "pos")).alias("at"))
         least = least.select(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), F.col("at.pos").alias("pos"))
         dropped = dropped.select("k1", "k2", "pos").join(least, ["k1", "k2", "pos"], "left_anti")
     dealt = dropped.select("k1", "k2", "pos").repartition(shuffle_partitions(spark), "k1", "k2")

@@ -8,6 +8,8 @@ are looked at in full.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -149,13 +151,23 @@ def _earliest(payloads: list[bytes], blocks: list[int]) -> list[bytes]:
     return [np.packbits(k).tobytes() for k in np.split(keeps, np.cumsum([len(e) for e in entries])[:-1])]
 
 
-def drop_repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, **blocks: int) -> DataFrame:
+def _without(text: str, spans: list[list[int]]) -> str:
+    """A text without spans of words and without the white space behind each."""
+    if not spans:
+        return text
+    starts = [m.start() for m in re.finditer(r"[^ \t-\r]+", text)] + [len(text)]
+    cuts = [0, *[starts[w] for span in spans for w in span], len(text)]
+    return "".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
+
+
+def drop_repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, layout: bool = False, **blocks: int) -> DataFrame:
     """``doc_id, n_words, n_removed, removed, kept, doc``: what is left of whole texts, one row for each input row.
 
     Words are runs of characters other than [\\x20\\x09-\\x0D]. A word goes when a window of ``window`` (at least 14)
     words over it has the words of a window that starts earlier: in a document of smaller doc_id, or earlier in the
     same one. Windows are judged on the input. ``removed`` lists the spans (start, end) of words that go, ``kept`` is
-    the words left, joined by one space, ``doc`` the input row without its text.
+    the words left, joined by one space, ``doc`` the input row without its text. With ``layout`` the text keeps its white
+    space: a span that goes takes along what stands behind it, and a text without such spans stays as it is.
 
     doc_id is an integer; NULL comes before all. Rows with the same doc_id follow each other by their block (a hash of
     id and text), then by their text. NULL, empty and short texts have no window and lose nothing; other columns are
@@ -184,12 +196,16 @@ def drop_repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDO
         block.find_windows(known)
         gone = block.removed(known)
         rows = rows.take(pa.array(block.order, pa.int64()))
+        texts = rows["text"].to_pylist() if layout else []
         kept, spans, n_removed = [], [], []
-        for words, a, b in zip(block.words, block.starts[:-1], block.starts[1:]):
+        for k, (words, a, b) in enumerate(zip(block.words, block.starts[:-1], block.starts[1:])):
             lost = gone[a:b]
             n_removed.append(int(lost.sum()))
             edges = np.flatnonzero(np.diff(lost.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
             spans.append([{"start": s, "end": e} for s, e in edges.tolist()])
+            if layout:
+                kept.append(_without(texts[k], edges.tolist()))
+                continue
             if len(edges):
                 words = [w for w, x in zip(words, lost.tolist()) if not x]
             kept.append(b" ".join(words).decode())
