@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +19,12 @@ from twinrun.functions import (
     page_ref_id,
     pipeline_name,
     redact,
+    redact_map,
     repo_slug,
 )
 from twinrun.operators import definitions, diff, schema, sections
 from twinrun.plans import compare, context, discovery, examples, report
+from twinrun.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,9 +102,7 @@ def norm_paths(spark, sf):
 @query
 def lit_columns(spark, sf):
     orders = table(spark, sf, "orders")
-    return orders.withColumns({"start_date": F.lit("2024-01-01"), "solution_id": F.lit(21)}).select(
-        "o_orderkey", "start_date", "solution_id"
-    )
+    return orders.withColumns({"unit": F.lit("box"), "factor": F.lit(12)}).select("o_orderkey", "unit", "factor")
 
 
 @query
@@ -110,7 +112,7 @@ def project(spark, sf):
 
 @query
 def filter_isin(spark, sf):
-    return table(spark, sf, "part").filter(F.col("p_size").isin([1, 2, 3, 4])).select("p_partkey", "p_size")
+    return table(spark, sf, "part").filter(F.col("p_size").isin([7, 14, 28, 42])).select("p_partkey", "p_size")
 
 
 @query
@@ -217,7 +219,7 @@ def row_tally(spark, sf):
 
 @query
 def differing_rows(spark, sf):
-    return diff.differing_rows(*_line_pair(spark, sf)).select("l_orderkey", "l_linenumber", "l_discount", "side", "copies")
+    return diff.differing_rows(*_line_pair(spark, sf))
 
 
 @query
@@ -234,6 +236,14 @@ def sample_by_group(spark, sf):
 # ---------------------------------------------------------------- comparison of outputs
 
 
+@query
+def sample_of_clashing_names(spark, sf):
+    """Data columns and a group named like the columns of the sample."""
+    left, right = _order_pair(spark, sf)
+    named = lambda df: df.toDF("copies", "side").withColumn("rank", F.col("copies") % 3)
+    return diff.sample_by_group(named(left), named(right), by=["rank"], n=2)
+
+
 @query
 def run_parity(spark, sf):
     left, right = src.run_pair(spark, sf)
@@ -286,6 +296,58 @@ def tree_parity(spark, sf):
     return flat(compare.compare_outputs(spark, left, right))
 
 
+@query
+def tree_shapes(spark, sf):
+    """Trees that differ in their shape alone, and trees whose keys look alike."""
+    orders, part = table(spark, sf, "orders"), table(spark, sf, "part")
+    left = {"extra": {}, "kind": {}, "a.b": orders, "a": {"b": part}, "keys": {1: 5, "1": 6}, "both": [], "list": [part]}
+    right = {"kind": [], "a.b": orders.where("o_orderkey % 10 <> 3"), "a": {"b": part}, "keys": {1: 5, "1": 7}, "both": [], "list": [part, []]}
+    return flat(compare.compare_outputs(spark, left, right))
+
+
+@query
+def broken_leaf(spark, sf):
+    """Of three leaves one does not name its runs, and one names a column twice: the others are compared."""
+    left, right = src.run_pair(spark, sf)
+    runs = left.select("run_id").distinct()
+    twice = lambda df: df.toDF("run_id", "x", "x")
+    a = {"users": left, "lost": left.drop("run_id"), "twice": twice(left)}
+    b = {"users": right, "lost": right.drop("run_id"), "twice": twice(left)}
+    return flat(compare.compare_runs(spark, a, b, runs=runs), "run_id")
+
+
+@query
+def each_run_report(spark, sf):
+    """A plan per run: one run without outputs, one that fails, one that differs, and equal ones."""
+    events = src.event_runs(spark, sf)
+    listed = events.groupBy("run_id").agg(F.to_date(F.min("ts")).alias("run_date"), F.lit("/raw").alias("raw_path"))
+    runs = listed.where("run_date < DATE'2024-01-06'")
+
+    def read(_, run):
+        return {"events": events.where(F.col("run_id") == run.run_id).select("user_id", "event_type")}
+
+    def old(inputs, run):
+        return {} if run.run_id.endswith("01") else {"users": inputs["events"]}
+
+    def new(inputs, run):
+        if run.run_id.endswith("02"):
+            raise ValueError("no such version")
+        out = old(inputs, run)
+        return {k: df.where("user_id % 50 <> 7") for k, df in out.items()} if run.run_id.endswith("03") else out
+
+    folder = f"{scratch_dir(spark) or tempfile.mkdtemp()}/each-run-{uuid.uuid4()}"
+    found = compare.compare_each_run(spark, compare.Pipeline(read, old, new), runs, folder, batch_size=3)
+    return flat(found, "run_id", "run_date", "raw_path")
+
+
+@query
+def empty_differences(spark, sf):
+    """Whether a difference has any rows, for an equal and an unequal pair."""
+    left, right = _order_pair(spark, sf)
+    pairs = {"unequal": (left, right), "equal": (left, left.where("true"))}
+    return spark.createDataFrame([(k, diff.is_empty(diff.except_all(*p))) for k, p in pairs.items()], "pair string, empty boolean")
+
+
 def _schema_trees(spark, sf):
     orders, customer, line = (table(spark, sf, n) for n in ("orders", "customer", "lineitem"))
     left = {"orders": orders, "customer": customer, "lines": line}
@@ -346,7 +408,7 @@ def _pair(spark, sf, pipeline, *names):
 
 @query
 def pair_unused(spark, sf):
-    return _pair(spark, sf, examples.unused_columns("2024-01-01"), "orders")
+    return _pair(spark, sf, examples.unused_columns("EUR"), "orders")
 
 
 @query
@@ -408,6 +470,21 @@ def redacted_settings(spark, sf):
     return src.settings(spark, sf).select("s_suppkey", "key", redact("key", "value").alias("value"))
 
 
+@query
+def redacted_whole_words(spark, sf):
+    keys = ["authToken", "dbPassword", "API_KEYS", "PASSWORDS", "author", "monkey", "keyboard", "my.key", "APIKey", "tokenizer"]
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.explode(F.array(*[F.lit(k) for k in keys])).alias("key"))
+    value = redact("key", F.col("s_suppkey").cast("string"), whole_words=True)
+    return rows.select("s_suppkey", "key", value.alias("value"))
+
+
+@query
+def redacted_map(spark, sf):
+    settings = F.create_map(F.lit("db_token"), F.col("s_name"), F.lit("region"), F.col("s_suppkey").cast("string"))
+    hidden = redact_map(settings)
+    return table(spark, sf, "supplier").select("s_suppkey", F.explode(hidden).alias("key", "value"))
+
+
 # ---------------------------------------------------------------- text sections
 
 
@@ -420,7 +497,7 @@ def section_between(spark, sf):
 
 @query
 def page_parts(spark, sf):
-    return context.page_parts(src.wiki_pages(spark, sf)).select("page_id", "inputs")
+    return context.page_parts(src.wiki_pages(spark, sf))
 
 
 def _half(spark, sf, part):
@@ -488,8 +565,19 @@ def merge_definitions(spark, sf):
     merged = context.merge_definitions(
         definitions.source_tables(config), blocks.withColumnRenamed("key", "table"), explained
     )
-    first_line = F.substring_index("text", "\n", 1)
-    return merged.select("pipeline", "pos", "table", first_line.alias("first_line"))
+    return merged
+
+
+@query
+def strip_definition_text(spark, sf):
+    """Definitions as text, with attributes that go and columns with and without a description."""
+    text = F.format_string(
+        "part_%d_feed:\n  description: %s\n  path: /x\n  primary_key:\n  - p_partkey\n  - x: y\n  storage_type: parquet\n"
+        "  schema:\n    p_size:\n      type: int\n      description: size of\n        %s\n    p_brand:\n      type: string\n"
+        "      format: %s\n\n  control_params: {a: 1}\n  owner: team",
+        F.col("p_partkey"), F.col("p_name"), F.col("p_name"), F.col("p_brand"),
+    )
+    return table(spark, sf, "part").select("p_partkey", definitions.strip_definition_text(text).alias("text"))
 
 
 @query

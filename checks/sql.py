@@ -248,9 +248,9 @@ WITH {_RUNS} SELECT run_id, run_date, '/data/' || run_id || '/raw/' AS raw_path,
 SELECT page_id, 'p/' || page_id || '/' AS prefix, repeat('/', CAST(page_id % 3 AS INT)) || 'p/' || page_id || '/' AS dir
 FROM pages""",
     # ------------------------------------------------------------ relational steps
-    "lit_columns": "SELECT o_orderkey, '2024-01-01' AS start_date, 21 AS solution_id FROM orders",
+    "lit_columns": "SELECT o_orderkey, 'box' AS unit, 12 AS factor FROM orders",
     "project": "SELECT l_orderkey, l_quantity FROM lineitem",
-    "filter_isin": "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 2, 3, 4)",
+    "filter_isin": "SELECT p_partkey, p_size FROM part WHERE p_size IN (7, 14, 28, 42)",
     "left_join_using": """
 SELECT o_custkey, o_orderkey, c_name FROM orders
 LEFT JOIN (SELECT c_custkey + 100 AS o_custkey, c_name FROM customer) USING (o_custkey)""",
@@ -285,9 +285,17 @@ FROM (SELECT 1 AS side, * FROM a UNION ALL SELECT 2, * FROM b) GROUP BY 1, 2""",
     "differing_rows": f"""
 WITH {_LINES},
 l AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b), r AS (SELECT * FROM b EXCEPT ALL SELECT * FROM a)
-SELECT l_orderkey, l_linenumber, l_discount, side, count(*) AS copies
-FROM (SELECT *, 'left' AS side FROM l UNION ALL SELECT *, 'right' FROM r) GROUP BY l_orderkey, l_linenumber, l_discount,
-  side, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_tax, l_returnflag, l_linestatus, l_shipdate""",
+SELECT *, count(*) AS copies FROM (SELECT *, 'left' AS side FROM l UNION ALL SELECT *, 'right' FROM r) GROUP BY ALL""",
+    "sample_of_clashing_names": f"""
+WITH {_ORDERS},
+d AS (SELECT o_custkey % 3 AS rank, 'left' AS side,
+             '{{"copies":' || o_custkey || ',"side":"' || o_orderstatus || '"}}' AS row, count(*) AS copies
+      FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY 1, 2, 3)
+SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY rank, side ORDER BY row) <= 2""",
+    "empty_differences": f"""
+WITH {_ORDERS}
+SELECT 'unequal' AS pair, count(*) = 0 AS empty FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
+UNION ALL SELECT 'equal', count(*) < 0 OR true FROM a""",
     "diff_sample": f"WITH {_ORDERS} SELECT * FROM a EXCEPT ALL SELECT * FROM b ORDER BY ALL LIMIT 20",
     "sample_by_group": f"""
 WITH {_EVENTS},
@@ -343,6 +351,38 @@ UNION ALL SELECT '$.list[1]', 'FAIL', l, l, x, x, x, false, false, 'column ''l_t
   'Mismatch at $.list[1]: schema differs: column ''l_tax'' only in legacy' FROM n, none
 UNION ALL SELECT '$.gone', 'MISSING_LEAF', o, x, x, x, x, b, b, t, 'Mismatch at $.gone: only in left' FROM n, none
 UNION ALL SELECT '$.flag', 'FAIL', x, x, x, x, x, b, b, t, 'Mismatch at $.flag: value left=1, right=2' FROM none""",
+    "tree_shapes": f"""
+WITH n AS (SELECT (SELECT count(*) FROM orders) AS o, (SELECT count(*) FROM orders WHERE o_orderkey % 10 <> 3) AS o2,
+  (SELECT count(*) FROM part) AS p),
+none AS (SELECT CAST(NULL AS BIGINT) AS x, CAST(NULL AS BOOLEAN) AS b, CAST(NULL AS VARCHAR) AS t)
+SELECT '$.extra' AS path, 'MISSING_LEAF' AS status, x AS left_count, x AS right_count, x AS only_in_left, x AS only_in_right,
+  x AS differing_rows, b AS schema_match, b AS comparable, t AS schema_differences,
+  'Mismatch at $.extra: left={{}}, right=(missing)' AS error FROM none
+UNION ALL SELECT '$.kind', 'FAIL', x, x, x, x, x, b, b, t, 'Mismatch at $.kind: value left={{}}, right=[]' FROM none
+UNION ALL SELECT '$[''a.b'']', 'FAIL', o, o2, o - o2, 0, o - o2, true, true, '',
+  'Mismatch at $[''a.b'']: row count differs: left=' || o || ', right=' || o2 FROM n
+UNION ALL SELECT '$.a.b', 'PASS', p, p, 0, 0, 0, true, true, '', t FROM n, none
+UNION ALL SELECT '$.keys{{1}}', 'PASS', x, x, x, x, x, b, b, t, t FROM none
+UNION ALL SELECT '$.keys[''1'']', 'FAIL', x, x, x, x, x, b, b, t, 'Mismatch at $.keys[''1'']: value left=6, right=7' FROM none
+UNION ALL SELECT '$.both', 'PASS', x, x, x, x, x, b, b, t, t FROM none
+UNION ALL SELECT '$.list[0]', 'PASS', p, p, 0, 0, 0, true, true, '', t FROM n, none
+UNION ALL SELECT '$.list[1]', 'MISSING_LEAF', x, x, x, x, x, b, b, t, 'Mismatch at $.list[1]: left=(missing), right=[]' FROM none""",
+    "broken_leaf": f"""
+WITH {_EVENTS}, {_counts('run_id')},
+same AS (SELECT run_id, left_count, left_count AS right_count, 0 AS only_in_left, 0 AS only_in_right FROM counts),
+none AS (SELECT CAST(NULL AS BIGINT) AS x, CAST(NULL AS BOOLEAN) AS b, CAST(NULL AS VARCHAR) AS t)
+SELECT run_id, {_verdict('$.users')} FROM counts UNION ALL SELECT run_id, {_verdict('$.twice')} FROM same
+UNION ALL SELECT run_id, '$.lost', 'ERROR', x, x, x, x, x, b, b, t,
+  'Mismatch at $.lost: ValueError: column ''run_id'' must occur once in [''user_id'', ''event_type'']' FROM counts, none""",
+    "each_run_report": f"""
+WITH a AS (SELECT {_RUN} AS run_id, user_id, event_type FROM events WHERE ts < DATE '2024-01-06'),
+b AS (SELECT * FROM a WHERE NOT (user_id % 50 = 7 AND run_id LIKE '%03')), {_counts('run_id')},
+d AS (SELECT *, CAST(substr(run_id, 5) AS DATE) AS run_date, '/raw' AS raw_path FROM counts),
+none AS (SELECT CAST(NULL AS BIGINT) AS x, CAST(NULL AS BOOLEAN) AS b, CAST(NULL AS VARCHAR) AS t)
+SELECT run_id, run_date, raw_path, {_verdict('$.users')} FROM d WHERE right(run_id, 2) NOT IN ('01', '02')
+UNION ALL SELECT run_id, run_date, raw_path, '$', 'PASS', x, x, x, x, x, b, b, t, t FROM d, none WHERE right(run_id, 2) = '01'
+UNION ALL SELECT run_id, run_date, raw_path, '$', 'ERROR', x, x, x, x, x, b, b, t, 'ValueError: no such version'
+FROM d, none WHERE right(run_id, 2) = '02'""",
     "schema_rows": f"WITH {_schema_values()}, {_LEAF_ROWS} SELECT * FROM fields JOIN leaf_rows USING (path)",
     "schema_diff": f"""
 WITH found(path, pos, kind, name, difference) AS (VALUES
@@ -367,7 +407,7 @@ sides(path, name, side) AS (
   UNION ALL SELECT '$.orders', 'o_status', 'right')
 SELECT * FROM sides JOIN leaf_rows USING (path)""",
     "pair_unused": f"""
-WITH a AS (SELECT '2024-01-01' AS start_date, 21 AS solution_id FROM orders), b AS (SELECT * FROM a),
+WITH a AS (SELECT o_orderkey, o_orderpriority, o_totalprice, 'EUR' AS currency FROM orders), b AS (SELECT * FROM a),
 n AS (SELECT {_counts()}) SELECT {_verdict("$")} FROM n""",
     "pair_dead": f"""
 WITH a AS (SELECT o_orderkey, c_name, o_totalprice FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
@@ -397,6 +437,13 @@ SELECT s_suppkey, key,
   CASE WHEN regexp_matches(upper(key), 'SECRET|PASSWORD|TOKEN|KEY|CREDENTIAL|AUTH|PRIVATE')
        THEN CASE WHEN v = '' THEN '(not set)' ELSE '(redacted)' END ELSE v END AS value
 FROM k""",
+    "redacted_whole_words": """
+SELECT s_suppkey, key, CASE WHEN hidden THEN '(redacted)' ELSE CAST(s_suppkey AS VARCHAR) END AS value FROM supplier,
+  (VALUES ('authToken', true), ('dbPassword', true), ('API_KEYS', true), ('PASSWORDS', true), ('author', false),
+          ('monkey', false), ('keyboard', false), ('my.key', true), ('APIKey', true), ('tokenizer', false)) AS k(key, hidden)""",
+    "redacted_map": """
+SELECT s_suppkey, 'db_token' AS key, '(redacted)' AS value FROM supplier
+UNION ALL SELECT s_suppkey, 'region', CAST(s_suppkey AS VARCHAR) FROM supplier""",
     # ------------------------------------------------------------ text sections
     "section_between": """
 SELECT page_id, CASE WHEN contains(html, '<article>')
@@ -404,7 +451,14 @@ SELECT page_id, CASE WHEN contains(html, '<article>')
 FROM pages""",
     "page_parts": f"""
 WITH {_WIKI}
-SELECT page_id, chr(10) || string_agg(about || chr(10), '' ORDER BY k) AS inputs FROM wiki GROUP BY page_id""",
+SELECT page_id, chr(10) || string_agg(about || chr(10), '' ORDER BY k) AS inputs,
+  rtrim(chr(10)
+    || coalesce(string_agg('****' || chr(10) || name || ':' || chr(10) || 'logic of ' || seg || chr(10), '' ORDER BY k)
+                FILTER (WHERE k % 2 = 0), '')
+    || '****' || chr(10)
+    || coalesce(string_agg('# ' || name || chr(10) || 'rule of ' || seg || chr(10), '' ORDER BY k)
+                FILTER (WHERE k % 2 = 1), ''), chr(10)) AS logic
+FROM wiki GROUP BY page_id""",
     "named_blocks": f"WITH {_WIKI} SELECT page_id, name, trim(about) AS block FROM wiki",
     "marker_blocks": f"WITH {_WIKI} SELECT page_id, name, 'logic of ' || seg AS block FROM wiki WHERE k % 2 = 0",
     "heading_blocks": f"WITH {_WIKI} SELECT page_id, name, 'rule of ' || seg AS block FROM wiki WHERE k % 2 = 1",
@@ -431,9 +485,16 @@ SELECT c_name AS pipeline, -1 AS pos, c_name || '_feed' AS "table" FROM customer
 UNION ALL SELECT c_name, 0, 'part_' || (c_custkey % 50) || '_feed' FROM customer
 UNION ALL SELECT c_name, 3, c_name FROM customer
 UNION ALL SELECT c_name, 4, 'ghost_feed' FROM customer""",
-    "merge_definitions": """
-SELECT c_name AS pipeline, 0 AS pos, 'part_' || (c_custkey % 50) || '_feed' AS "table",
-       'part_' || (c_custkey % 50) || '_feed:' AS first_line FROM customer
+    "strip_definition_text": """
+SELECT p_partkey, 'part_' || p_partkey || '_feed:' || chr(10) || '  description: ' || p_name || chr(10) || '  schema:' || chr(10)
+  || '    p_size:' || chr(10) || '      description: size of' || chr(10) || '        ' || p_name || chr(10)
+  || '    p_brand:' || chr(10) || '      type: string' || chr(10) || '      format: ' || p_brand || chr(10)
+  || '  owner: team' AS text
+FROM part""",
+    "merge_definitions": f"""
+WITH {_DEFS}
+SELECT c_name AS pipeline, 0 AS pos, d.key AS "table", d.block AS text
+FROM customer JOIN defs d ON d.key = 'part_' || (c_custkey % 50) || '_feed'
 UNION ALL SELECT c_name, 2, c_name || '_feed', '(No definition found.)' FROM customer
 UNION ALL SELECT c_name, 3, c_name, 'page of ' || c_name FROM customer
 UNION ALL SELECT c_name, 4, 'ghost_feed', '(No definition found.)' FROM customer""",
@@ -448,7 +509,7 @@ SELECT name AS pipeline,
   || CASE WHEN k % 2 = 0 THEN 'logic of ' ELSE 'rule of ' END || seg || chr(10) || chr(10)
   || '# Output Table' || chr(10) || '## ' || name || '_feed' || chr(10) || '(No definition found.)' || chr(10) || chr(10)
   || '# Input Tables' || chr(10)
-  || '## part_' || (k % 50) || '_feed' || chr(10) || chr(10) || d.block || chr(10) || chr(10)
+  || '## part_' || (k % 50) || '_feed' || chr(10) || chr(10) || replace(d.block, chr(10) || chr(10), chr(10)) || chr(10) || chr(10)
   || '## ' || name || chr(10) || chr(10) || below || chr(10) || chr(10)
   || '## ghost_feed' || chr(10) || chr(10) || '(No definition found.)' || chr(10) || chr(10) AS document
 FROM page JOIN defs d ON d.key = 'part_' || (k % 50) || '_feed'""",

@@ -56,5 +56,5 @@ def test_written_context_equals_the_assembled_document(spark, tmp_path):
     sinks.write_context(parts, str(tmp_path / "ctx"))
     want = {r.pipeline: r.document for r in assemble_context(parts).collect()}
     for pipeline, document in want.items():
-        files = list((tmp_path / "ctx" / f"pipeline={pipeline}" / "volume=0").glob("part-*.txt"))
+        files = list((tmp_path / "ctx" / f"pipeline={pipeline}").glob("part-*.txt"))
         assert len(files) == 1 and files[0].read_text() == document

@@ -14,10 +14,16 @@ NOT_SET = "(not set)"
 
 
 def is_secret(key: Column | str, whole_words: bool = False) -> Column:
-    """Whether a key names a secret. Any substring counts (``AUTHOR`` and ``MONKEY`` too) unless ``whole_words``."""
+    """Whether a key names a secret. Any substring counts (``AUTHOR`` and ``MONKEY`` too) unless ``whole_words``.
+
+    Whole words end at anything but a letter and where camel case begins a word; a plural counts as its word.
+    """
     words = "|".join(SECRET_WORDS)
-    pattern = rf"(?<![A-Z])(?:{words})(?![A-Z])" if whole_words else words
-    return F.upper(column(key)).rlike(pattern)
+    if not whole_words:
+        return F.upper(column(key)).rlike(words)
+    # authToken -> auth_Token, APIKey -> API_Key
+    split = F.regexp_replace(column(key), r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})", "_")
+    return F.upper(split).rlike(rf"(?<!\p{{L}})(?:{words})S?(?!\p{{L}})")
 
 
 def redact(key: Column | str, value: Column | str, whole_words: bool = False) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +31,9 @@ def _key_lines(corpus: DataFrame) -> DataFrame:
 
 
 def _first_place(corpus: DataFrame, keys: DataFrame) -> DataFrame:
-    wanted = keys.select("key").distinct()
-    places = _key_lines(corpus).join(wanted, "key").groupBy("key")
-    place = places.agg(F.min(F.struct("path", "ln", "e")).alias("at"))
+    # Least first: a key that stands in every file leaves each task as one row.
+    place = _key_lines(corpus).groupBy("key").agg(F.min(F.struct("path", "ln", "e")).alias("at"))
+    place = place.join(keys.select("key").distinct(), "key")
     return place.select("key", "at.path", F.col("at.ln").alias("s"), F.col("at.e").alias("e"))
 
 
@@ -65,14 +67,81 @@ def strip_keys(definitions: DataFrame) -> DataFrame:
     )
 
 
+def strip_definition_text(block: Column | str) -> Column:
+    """The same on the text of a definition, by its lines and their indentation: no parser is needed, and what stays
+    stands as it was written.
+
+    The first indented line gives the depth of the table's attributes. Below ``schema:`` the next depth holds columns,
+    the one after it their attributes. List items at the depth of their key belong to it; blank lines go. The lines of
+    one definition are folded in one pass, so this is for definitions, not for long files.
+    """
+    lines = F.split(column(block), "\n")
+    none = F.array().cast("array<string>")
+    start = F.struct(
+        none.alias("out"),
+        *[F.lit(-1).alias(n) for n in ("attr", "col", "cattr")],
+        *[F.lit(False).alias(n) for n in ("drop", "schema", "described")],
+        *[none.alias(n) for n in ("every", "told")],
+    )
+
+    def update(acc: Column, **new: Column) -> Column:
+        names = ("out", "attr", "col", "cattr", "drop", "schema", "described", "every", "told")
+        return F.struct(*[new.get(n, acc[n]).alias(n) for n in names])
+
+    def flushed(acc: Column) -> Column:
+        """The output with the column that is being read: its name and description, or all of it."""
+        short = F.concat(F.slice(acc["every"], 1, 1), acc["told"])
+        return F.concat(acc["out"], F.when(F.size(acc["told"]) > 0, short).otherwise(acc["every"]))
+
+    def step(acc: Column, line: Column) -> Column:
+        indent = F.length(line) - F.length(F.ltrim(line))
+        name = F.trim(F.regexp_extract(line, r"^\s*([^:]+?)\s*:", 1), F.lit("'\""))
+        one, item = F.array(line), F.ltrim(line).startswith("-")
+        attr = F.when(acc["attr"] < 0, indent).otherwise(acc["attr"])
+        top = update(
+            acc, out=F.concat(flushed(acc), F.when(name.isin(*DROPPED_ATTRIBUTES), none).otherwise(one)), attr=attr,
+            drop=name.isin(*DROPPED_ATTRIBUTES), schema=name == "schema", col=F.lit(-1), every=none, told=none,
+        )
+        new_column = update(
+            acc, out=flushed(acc), col=F.when(acc["col"] < 0, indent).otherwise(acc["col"]), cattr=F.lit(-1),
+            described=F.lit(False), every=one, told=none,
+        )
+        cattr = F.when(acc["cattr"] < 0, indent).otherwise(acc["cattr"])
+        tells = F.when((indent <= cattr) & ~item, name == KEPT_ATTRIBUTE).otherwise(acc["described"])
+        inside = update(
+            acc, cattr=cattr, described=tells, every=F.concat(acc["every"], one),
+            told=F.concat(acc["told"], F.when(tells, one).otherwise(none)),
+        )
+        starts = (acc["attr"] < 0) | (indent < acc["attr"]) | ((indent == acc["attr"]) & ~item)
+        return (
+            F.when(F.trim(line) == "", acc)
+            .when(starts, top)
+            .when(acc["drop"], acc)
+            .when(acc["schema"] & ((acc["col"] < 0) | ((indent <= acc["col"]) & ~item)), new_column)
+            .when(acc["schema"], inside)
+            .otherwise(update(acc, out=F.concat(acc["out"], one)))
+        )
+
+    body = F.aggregate(F.slice(lines, F.lit(2), F.size(lines)), start, step, flushed)
+    return F.array_join(F.concat(F.slice(lines, 1, 1), body), "\n")
+
+
 def source_tables(config: DataFrame) -> DataFrame:
     """Input tables of each pipeline in order of its ``sources`` map: ``pipeline, pos, table``."""
     entries = config.select("pipeline", F.posexplode("sources").alias("pos", "source", "spec"))
     return entries.select("pipeline", "pos", F.col("spec.table_name").alias("table")).where("table is not null")
 
 
-def tables_to_search(config: DataFrame) -> DataFrame:
-    """Tables to look up for each pipeline: the output table first (``pos`` -1), then its inputs without it."""
-    output = config.select("pipeline", F.lit(-1).alias("pos"), output_table("pipeline").alias("table"))
-    inputs = source_tables(config).where(F.col("table") != output_table("pipeline"))
-    return output.unionByName(inputs)
+def tables_to_search(config: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Tables to look up for each pipeline: the output table first (``pos`` -1), then its inputs without it.
+
+    ``pipeline, *carry, pos, table``; one scan of the configuration.
+    """
+    own = output_table("pipeline")
+    none = F.lit(None).cast("string")
+    output = F.array(F.struct(F.lit(-1).alias("pos"), own.alias("table")))
+    specs = F.map_values("sources")
+    inputs = F.transform(specs, lambda s, i: F.struct(i.alias("pos"), F.coalesce(s["table_name"], none).alias("table")))
+    wanted = F.filter(inputs, lambda t: t["table"].isNotNull() & (t["table"] != own))
+    every = F.concat(output, F.coalesce(wanted, F.slice(output, 1, 0)))
+    return config.select("pipeline", *carry, F.explode(every).alias("t")).select("pipeline", *carry, "t.pos", "t.table")

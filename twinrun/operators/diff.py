@@ -88,13 +88,16 @@ def _needs_text(left: T.DataType, right: T.DataType) -> bool:
 # ---------------------------------------------------------------- row counts per side
 
 
+def position(df: DataFrame, name: str) -> int:
+    """Where a column stands; a name that is not there or stands twice is an error."""
+    found = [i for i, other in enumerate(df.columns) if other == name]
+    if len(found) != 1:
+        raise ValueError(f"column {name!r} must occur once in {df.columns}")
+    return found[0]
+
+
 def _split_columns(df: DataFrame, by: Sequence[str]) -> tuple[list[int], list[int]]:
-    positions = []
-    for key in by:
-        found = [i for i, name in enumerate(df.columns) if name == key]
-        if len(found) != 1:
-            raise ValueError(f"column {key!r} must occur once in {df.columns}")
-        positions.append(found[0])
+    positions = [position(df, key) for key in by]
     return positions, [i for i in range(len(df.columns)) if i not in positions]
 
 
@@ -217,12 +220,15 @@ def except_all(left: DataFrame, right: DataFrame) -> DataFrame:
 def _repeat(rows: DataFrame, keep: Sequence[str], step: int = 10_000) -> DataFrame:
     """Each row ``copies`` times. The copies are generated block by block, so no array holds more than ``step`` items."""
     rows = rows.select(*keep, "copies")
-    for _ in range(3):  # step ** 4 copies of one row are within reach
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for turn in range(3):  # step ** 4 copies of one row are within reach
         blocks = F.least(F.lit(step).cast("bigint"), F.col("copies"))
         part = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block")
         rows = rows.select(*keep, "copies", blocks.alias("blocks"), part)
         one_more = F.when(F.col("block") < F.col("copies") % F.col("blocks"), 1).otherwise(0)
         rows = rows.select(*keep, (F.expr("copies div blocks") + one_more).alias("copies"))
+        if turn == 0:  # the blocks of one row go to different tasks
+            rows = rows.repartition(spread)
     last = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")
     return rows.select(*keep, last).select(*keep)
 
@@ -267,11 +273,12 @@ def sample_by_group(left: DataFrame, right: DataFrame, by: Sequence[str] = (), n
     The rank filter is pushed below the shuffle by Spark, so each task sends on at most ``n`` rows per group and side.
     """
     rows = differing_rows(left, right, by)
-    keys = [*by, "side"]
-    values = [c for c in rows.columns if c not in (*keys, "copies")]
-    flat = rows.toDF(*by, *[f"v{i}" for i in range(len(rows.columns) - len(by) - 2)], "side", "copies")
-    shown = [F.col(f"v{i}").alias(name) for i, name in enumerate(values)]
+    groups, values = [f"by{i}" for i in range(len(by))], [f"v{i}" for i in range(len(rows.columns) - len(by) - 2)]
+    names = rows.columns[len(by) : -2]
+    flat = rows.toDF(*groups, *values, "side", "copies")  # names of the data come back at the very end
+    shown = [F.col(v).alias(name) for v, name in zip(values, names)]
     text = F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}) if shown else F.lit("{}")
-    flat = flat.select(*[quoted(k) for k in keys], text.alias("row"), "copies")
-    rank = F.row_number().over(Window.partitionBy(*[quoted(k) for k in keys]).orderBy("row"))
-    return flat.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
+    flat = flat.select(*groups, "side", text.alias("row"), "copies")
+    rank = F.row_number().over(Window.partitionBy(*groups, "side").orderBy("row"))
+    top = flat.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
+    return top.toDF(*by, "side", "row", "copies")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame
@@ -25,19 +26,32 @@ class Pair(NamedTuple):
     right: Any
 
 
+_PLAIN_KEY = re.compile(r"[A-Za-z_]\w*", re.ASCII)
+
+
+def _step(key: Any) -> str:
+    """One step of a path. Keys that are no plain names are quoted, and keys that are no text stand in braces, so that
+    no two trees share a path by accident: ``.a``, ``['a.b']``, ``['1']``, ``{1}``."""
+    if not isinstance(key, str):
+        return f"{{{key!r}}}"
+    return f".{key}" if _PLAIN_KEY.fullmatch(key) else f"[{key!r}]"
+
+
 def _children(tree: Tree) -> dict[str, Tree] | None:
     if isinstance(tree, dict):
-        return {f".{key}": value for key, value in tree.items()}
+        return {_step(key): value for key, value in tree.items()}
     if isinstance(tree, (list, tuple)):
         return {f"[{i}]": value for i, value in enumerate(tree)}
     return None
 
 
 def flatten(tree: Tree, path: str = "$") -> dict[str, Any]:
-    """Leaves by path: ``$``, ``$.key``, ``$[0]``."""
+    """Leaves by path: ``$``, ``$.key``, ``$[0]``. An empty dict or list is a leaf of its own: ``{}`` or ``[]``."""
     children = _children(tree)
     if children is None:
         return {path: tree}
+    if not children:
+        return {path: {} if isinstance(tree, dict) else []}
     return {p: leaf for step, child in children.items() for p, leaf in flatten(child, path + step).items()}
 
 

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from twinrun.functions.runs import run_date
-from twinrun.operators.diff import NotComparable, diff_counts, diff_sample, quoted, side_counts
+from twinrun.operators.diff import NotComparable, diff_counts, diff_sample, position, quoted, side_counts
 from twinrun.operators.schema import leaf_rows, same_schema, schema_diff, schema_diff_rows
 from twinrun.operators.tree import MISSING_LEAF, Pair, Tree, pair_leaves
-from twinrun.session import computed_once
+from twinrun.session import computed_once, remove
 
 PASS, FAIL, ERROR, MISSING, NO_RUNS = "PASS", "FAIL", "ERROR", "MISSING_LEAF", "NO_RUNS"
 
@@ -39,6 +39,7 @@ REPORT = (
     ("error", "string"),
 )
 _RUN = "__run"
+OUT_OF_TIME = "not compared: out of time"
 _COUNTS = ("left_count", "right_count", "only_in_left", "only_in_right")
 
 
@@ -59,10 +60,11 @@ class Pipeline:
     options: dict[str, Any] = field(default_factory=dict)
     fixed_inputs: bool = False
 
-    def outputs(self, spark: SparkSession, run: Row | None = None) -> tuple[Tree, Tree]:
+    def outputs(self, spark: SparkSession, run: Row | None = None, written: list[str] | None = None) -> tuple[Tree, Tree]:
+        """Both output trees; the folders of fixed inputs are added to ``written``, for whoever removes them."""
         inputs = self.read(spark, run)
         if self.fixed_inputs:
-            inputs = {name: computed_once(df, name) for name, df in inputs.items()}
+            inputs = {name: computed_once(df, name, written) for name, df in inputs.items()}
         return self.left(inputs, run, **self.options), self.right(inputs, run, **self.options)
 
 
@@ -151,6 +153,16 @@ def _plain(spark: SparkSession, pair: Pair, runs: DataFrame | None) -> DataFrame
     return rows.withColumns({"path": F.lit(pair.path), "status": F.lit(status), "error": F.lit(error)})
 
 
+def _leaf_error(
+    spark: SparkSession, path: str, error: Exception, by: Sequence[str], runs: DataFrame | None
+) -> DataFrame:
+    """The row (one for each run asked for) of a leaf that cannot be compared at all; other leaves go on."""
+    rows = spark.range(1, numPartitions=1).drop("id") if runs is None else runs
+    text = f"Mismatch at {path}: {type(error).__name__}: {error}"
+    rows = rows.withColumns({"path": F.lit(path), "status": F.lit(ERROR), "error": F.lit(text)})
+    return _report_shape(rows, by if runs is None else runs.columns)
+
+
 def _report_shape(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The report columns, after the run columns; what a row does not have is NULL."""
     there = set(rows.columns)
@@ -222,20 +234,36 @@ def compare_runs(
     The run id is part of the grouping key next to the row itself, so the rows of a run that holds most of the data are
     spread over all tasks. With ``runs`` (a DataFrame with the ``by`` column once per run, and whatever else is to show
     up in the report, such as ``run_date`` and ``raw_path``) exactly those are reported, a run without rows on either
-    side as equal ones; other runs are dropped before any shuffle.
+    side as equal ones; other runs are dropped before any shuffle. The list is worked out once, where the session names
+    a shared folder. A leaf whose rows do not name their run gets ERROR rows; the other leaves are compared.
     """
     clash = {name for name, _ in REPORT} & set(runs.columns if runs is not None else [by])
     if clash:
         raise ValueError(f"the report has columns of its own named {sorted(clash)}")
 
+    if runs is not None:
+        runs = computed_once(runs, "runs")
+
     def asked(leaf: Any) -> Any:
         if runs is None or not isinstance(leaf, DataFrame):
             return leaf
-        return leaf.join(runs.select(quoted(by)), by, "left_semi").select(*[quoted(c) for c in leaf.columns])
+        flat, at = leaf.toDF(*[f"c{i}" for i in range(len(leaf.columns))]), f"c{position(leaf, by)}"
+        kept = flat.join(runs.select(F.col(quoted(by)).alias(at)), at, "left_semi").select(*flat.columns)
+        return kept.toDF(*leaf.columns)
 
-    pairs = [Pair(p.path, asked(p.left), asked(p.right)) for p in pair_leaves(left, right)]
+    pairs, broken = [], {}
+    for pair in pair_leaves(left, right):
+        try:
+            for leaf in (pair.left, pair.right):
+                if isinstance(leaf, DataFrame):
+                    position(leaf, by)
+            pairs.append(Pair(pair.path, asked(pair.left), asked(pair.right)))
+        except ValueError as problem:
+            broken[pair.path] = problem
     differences = _schema_differences(spark, pairs, check_metadata)
-    return reduce(DataFrame.unionByName, [_pair_report(spark, p, (by,), runs, differences, keyed) for p in pairs])
+    parts = [_pair_report(spark, p, (by,), runs, differences, keyed) for p in pairs]
+    parts += [_leaf_error(spark, path, problem, (by,), runs) for path, problem in broken.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # ---------------------------------------------------------------- strict assertions
@@ -311,24 +339,35 @@ def compare_each_run(
     report_path: str,
     batch_size: int = 50,
     fail_fast: bool = False,
-    timeout_minutes: float | None = 20,
+    timeout_minutes: float | None = None,
     check_metadata: bool = False,
     keyed: bool = False,
+    resume: bool = False,
 ) -> DataFrame:
     """For pipelines whose data does not carry a run id: a plan per run, ``batch_size`` runs to a job.
 
     Equal leaves of a batch share one grouped comparison. Each batch is appended to the report table at ``report_path``
-    (which must not exist yet). A job that fails is split until the run at fault is alone; that run gets an ERROR row
-    and the others are still compared. ``fail_fast`` raises after the first batch with a run that does not pass,
-    once its rows are written; so does an empty list of runs, which proves nothing.
+    (which must not exist yet, unless ``resume`` asks for the runs that have no rows there). Every run gets at least one
+    row. A run whose plan cannot be built gets an ERROR row at once; a job that fails is split, with the plans it has,
+    until the run at fault is alone. Inputs that were fixed are removed when their batch is done. With
+    ``timeout_minutes`` running jobs are then cancelled, and the runs not compared get ERROR rows that say so.
+    ``fail_fast`` raises after the first batch with a run that does not pass, once its rows are written; so does an
+    empty list of runs, which proves nothing.
     """
-    if _is_table(spark, report_path):
+    there = _is_table(spark, report_path)
+    if there and not resume:
         raise ValueError(f"there is a report at {report_path} already")
-    listed = runs.select("run_id", "run_date", "raw_path").toLocalIterator()
-    seen = False
+    asked = runs.select("run_id", "run_date", "raw_path")
+    if there:
+        done = spark.read.parquet(report_path).where(F.col("status") != NO_RUNS).select("run_id").distinct()
+        asked = asked.join(done, "run_id", "left_anti")
+    listed, seen = asked.toLocalIterator(), there
     with deadline(spark, timeout_minutes) as expired:
         while batch := list(islice(listed, batch_size)):
-            _compare_batch(spark, pipeline, batch, report_path, (check_metadata, keyed), expired, first=not seen)
+            if expired.is_set():
+                _error_rows(spark, batch, ERROR, OUT_OF_TIME).write.mode("append").parquet(report_path)
+            else:
+                _compare_batch(spark, pipeline, batch, report_path, (check_metadata, keyed), expired)
             seen = True
             if fail_fast:
                 ids = [r.run_id for r in batch]
@@ -364,6 +403,10 @@ def _error_rows(spark: SparkSession, batch: Sequence[Row], status: str, error: s
     return _report_shape(rows, ("run_id", "run_date", "raw_path"))
 
 
+def _reason(problem: Exception) -> str:
+    return f"{type(problem).__name__}: {problem}".split("\n\nJVM stacktrace")[0]
+
+
 def _compare_batch(
     spark: SparkSession,
     pipeline: Pipeline,
@@ -371,32 +414,51 @@ def _compare_batch(
     report_path: str,
     settings: tuple[bool, bool],
     expired: Event,
-    first: bool,
 ) -> None:
-    mode = "error" if first else "append"
+    planned: list[tuple[Row, list[Pair]]] = []
+    written: list[str] = []
     try:
+        for run in batch:
+            try:
+                planned.append((run, pair_leaves(*pipeline.outputs(spark, run, written))))
+            except Exception as problem:  # noqa: BLE001 - whatever a pipeline raises belongs into the report
+                text = OUT_OF_TIME if expired.is_set() else _reason(problem)
+                _error_rows(spark, [run], ERROR, text).write.mode("append").parquet(report_path)
+        if planned:
+            _write_planned(spark, planned, report_path, settings, expired)
+    finally:
+        for path in written:
+            remove(spark, path)
+
+
+def _write_planned(
+    spark: SparkSession,
+    planned: Sequence[tuple[Row, list[Pair]]],
+    report_path: str,
+    settings: tuple[bool, bool],
+    expired: Event,
+) -> None:
+    runs = [run for run, _ in planned]
+    try:
+        _batch_report(spark, planned, *settings).write.mode("append").parquet(report_path)
+    except Exception as problem:  # noqa: BLE001
         if expired.is_set():
-            raise TimeoutError
-        _batch_report(spark, pipeline, batch, *settings).write.mode(mode).parquet(report_path)
-    except Exception as problem:  # noqa: BLE001 - whatever a pipeline raises belongs into the report
-        if expired.is_set():
-            raise TimeoutError("the comparison ran out of time; the report holds the batches done so far") from problem
-        if len(batch) > 1:
-            half = len(batch) // 2
-            _compare_batch(spark, pipeline, batch[:half], report_path, settings, expired, first)
-            _compare_batch(spark, pipeline, batch[half:], report_path, settings, expired, False)
+            _error_rows(spark, runs, ERROR, OUT_OF_TIME).write.mode("append").parquet(report_path)
+        elif len(planned) > 1:
+            half = len(planned) // 2
+            _write_planned(spark, planned[:half], report_path, settings, expired)
+            _write_planned(spark, planned[half:], report_path, settings, expired)
         else:
-            text = f"{type(problem).__name__}: {problem}".split("\n\nJVM stacktrace")[0]
-            _error_rows(spark, batch, ERROR, text).write.mode(mode).parquet(report_path)
+            _error_rows(spark, runs, ERROR, _reason(problem)).write.mode("append").parquet(report_path)
 
 
 def _batch_report(
-    spark: SparkSession, pipeline: Pipeline, batch: Sequence[Row], check_metadata: bool, keyed: bool
+    spark: SparkSession, planned: Sequence[tuple[Row, list[Pair]]], check_metadata: bool, keyed: bool
 ) -> DataFrame:
     """One report plan for a batch: per path, runs whose outputs have the same two schemas are compared together."""
     groups: dict[tuple, list[tuple[Row, Pair]]] = {}
-    for run in batch:
-        for pair in pair_leaves(*pipeline.outputs(spark, run)):
+    for run, pairs in planned:
+        for pair in pairs:
             both = isinstance(pair.left, DataFrame) and isinstance(pair.right, DataFrame)
             key = (pair.path, pair.left.schema.json(), pair.right.schema.json()) if both else (pair.path, run.run_id)
             groups.setdefault(key, []).append((run, pair))
@@ -407,10 +469,13 @@ def _batch_report(
             return leaves[0][1]
         return reduce(DataFrame.union, [df.select("*", F.lit(run.run_id).alias(_RUN)) for run, df in leaves])
 
+    # The schemas of all groups are compared in one go; paths repeat among groups, so their numbers stand for them.
+    first = [Pair(str(n), *members[0][1][1:]) for n, members in enumerate(groups.values())]
+    by_number = _schema_differences(spark, first, check_metadata)
     parts = []
-    for (path, *_), members in groups.items():
+    for n, ((path, *_), members) in enumerate(groups.items()):
         runs = _run_rows(spark, [run for run, _ in members]).withColumnRenamed("run_id", _RUN)
-        differences = _schema_differences(spark, [members[0][1]], check_metadata)
+        differences = {path: by_number[str(n)]} if str(n) in by_number else {}
         pair = Pair(path, together("left", members), together("right", members))
         report = _pair_report(spark, pair, (_RUN,), runs, differences, keyed)
         parts.append(report.withColumnRenamed(_RUN, "run_id"))

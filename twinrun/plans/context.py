@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinrun.functions.strings import blank_to_null
-from twinrun.functions.text import html_to_text, output_table
-from twinrun.operators.definitions import key_blocks, source_tables, tables_to_search
+from twinrun.functions.text import html_to_text
+from twinrun.operators.definitions import key_blocks, strip_definition_text, tables_to_search
 from twinrun.operators.sections import INPUT_PART, LOGIC_PART, logic_blocks, named_blocks, section_between
 from twinrun.session import computed_once
 
@@ -55,15 +55,13 @@ def context_parts(
     ``config`` holds ``pipeline, sources``; ``logic`` ``pipeline, block``; the others as in ``merge_definitions``.
     """
     pipelines = config.select("pipeline")
-    own = output_table("pipeline")
     logic_text = first_value(F.col("block"), default=NO_LOGIC)
     intro = pipelines.join(logic, "pipeline", "left").select(
         "pipeline",
         F.lit(-3).alias("pos"),
         F.concat(F.lit(LOGIC_HEADING + "\n## "), "pipeline", F.lit("\n"), logic_text, F.lit("\n")).alias("text"),
     )
-    asked = tables_to_search(config).where("pos = -1").unionByName(source_tables(config).where(F.col("table") != own))
-    merged = merge_definitions(asked, definitions, explanations)
+    merged = merge_definitions(tables_to_search(config), definitions, explanations)
     is_output = F.col("pos") == -1
     tables = merged.select(
         "pipeline",
@@ -92,7 +90,7 @@ def build_context(config: DataFrame, pages: DataFrame, corpus: DataFrame) -> Dat
     """
     used = pages.join(config.select("page_id"), "page_id", "left_semi")
     halves = computed_once(page_parts(used), "pages")
-    tables = tables_to_search(config).join(config.select("pipeline", "page_id"), "pipeline")
+    tables = tables_to_search(config, ["page_id"])
     names = tables.select("pipeline", "page_id", F.col("table").alias("name"))
     inputs = halves.where("inputs is not null")
     blocks = named_blocks(inputs, names, "page_id", "inputs", groups=["pipeline"])
@@ -100,5 +98,6 @@ def build_context(config: DataFrame, pages: DataFrame, corpus: DataFrame) -> Dat
     asked = config.select("page_id", F.col("pipeline").alias("name"))
     found = logic_blocks(halves.where("logic is not null"), asked, "page_id", "logic")
     logic = config.join(found.withColumnRenamed("name", "pipeline"), ["page_id", "pipeline"]).select("pipeline", "block")
-    definitions = key_blocks(corpus, tables.select(F.col("table").alias("key"))).withColumnRenamed("key", "table")
+    found_blocks = key_blocks(corpus, tables.select(F.col("table").alias("key")))
+    definitions = found_blocks.select(F.col("key").alias("table"), strip_definition_text("block").alias("block"))
     return context_parts(config, logic, definitions, explanations)

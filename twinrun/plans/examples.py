@@ -14,8 +14,7 @@ from twinrun.plans.compare import Pipeline
 from twinrun.sources.readers import read_named
 
 # Fixed values of the pairs.
-SOLUTION_ID = 21
-SIZES = [1, 2, 3, 4]
+SIZES = [7, 14, 28, 42]
 
 Inputs = dict[str, DataFrame]
 
@@ -42,13 +41,17 @@ def status_counts(orders: DataFrame) -> DataFrame:
 # ---- constants that never reach the output
 
 
-def constants_left(inputs: Inputs, run: Row | None, start_date: str) -> DataFrame:
-    wide = inputs["orders"].withColumn("start_date", F.lit(start_date)).withColumn("solution_id", F.lit(SOLUTION_ID))
-    return wide.withColumns({"kind": F.lit(0), "level": F.lit("HIGH")}).select("start_date", "solution_id")
+def constants_left(inputs: Inputs, run: Row | None, currency: str) -> DataFrame:
+    """Prices with their currency; a rounding rule and a rate are set up, used for a total, and the total is dropped."""
+    orders = inputs["orders"].select("*", F.lit(currency).alias("currency"), F.lit(1.19).alias("rate"))
+    priced = orders.withColumn("digits", F.length("currency")).withColumn("gross", F.col("o_totalprice") * F.col("rate"))
+    rounded = priced.withColumn("gross", F.round("gross", 2))
+    return rounded.select("o_orderkey", "o_orderpriority", "o_totalprice", "currency")
 
 
-def constants_right(inputs: Inputs, run: Row | None, start_date: str) -> DataFrame:
-    return inputs["orders"].select(F.lit(start_date).alias("start_date"), F.lit(SOLUTION_ID).alias("solution_id"))
+def constants_right(inputs: Inputs, run: Row | None, currency: str) -> DataFrame:
+    orders = inputs["orders"].select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return orders.withColumn("currency", F.lit(currency))
 
 
 # ---- branches that lead nowhere, next to a left join
@@ -83,8 +86,8 @@ def aliases_right(inputs: Inputs, run: Row | None) -> DataFrame:
     return placed.join(inputs["region"], "r_regionkey", "left").select("c_name", "n_name", "r_name")
 
 
-def unused_columns(start_date: str, read=from_catalog("orders")) -> Pipeline:
-    return Pipeline(read, constants_left, constants_right, {"start_date": start_date})
+def unused_columns(currency: str, read=from_catalog("orders")) -> Pipeline:
+    return Pipeline(read, constants_left, constants_right, {"currency": currency})
 
 
 def dead_branches(read=from_catalog("orders", "customer", "part")) -> Pipeline:

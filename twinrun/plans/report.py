@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from twinrun.plans.compare import FAIL, NO_RUNS, PASS
 # Layout of the text report.
 RULE_WIDTH = 60
 SCHEMA_COLUMN_WIDTH = 52
+# Lines of a block before its schema differences, with room to spare.
+SCHEMA_BELOW = 20
 
 
 def run_status(report: DataFrame, key: str = "run_id") -> DataFrame:
@@ -55,12 +59,12 @@ def count_text(report: DataFrame) -> DataFrame:
     return report.withColumns({"counts": counts, "details": details, "total": total})
 
 
-def schema_table(matched: DataFrame) -> DataFrame:
-    """Side-by-side schema as text: ``path, ordinal, line`` from ``match_by_position`` rows, padded, never cut."""
+def schema_table(matched: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """Side-by-side schema as text: ``*keys, ordinal, line`` from ``match_by_position`` rows, padded, never cut."""
     left = F.col("left_field")
     padded = F.when(F.length(left) < SCHEMA_COLUMN_WIDTH, F.rpad(left, SCHEMA_COLUMN_WIDTH, " ")).otherwise(left)
     line = F.concat(F.lit("  "), padded, F.lit(" | "), F.col("right_field"))
-    return matched.select("path", "ordinal", line.alias("line"))
+    return matched.select(*keys, "ordinal", line.alias("line"))
 
 
 def report_blocks(report: DataFrame) -> DataFrame:
@@ -89,8 +93,13 @@ def report_blocks(report: DataFrame) -> DataFrame:
     return text.select("run_date", "run_id", "path", F.posexplode(lines).alias("pos", "line"))
 
 
-def report_lines(report: DataFrame) -> DataFrame:
-    """The whole text report, newest run first: ``section, run_date, run_id, path, pos, line`` (not yet sorted)."""
+def report_lines(report: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
+    """The whole text report, newest run first: ``section, run_date, run_id, path, pos, line`` (not yet sorted).
+
+    ``report`` is read three times: give a stored one, as ``write_report`` leaves it. ``schemas`` are rows of
+    ``match_by_position`` (``path, ordinal, left_field, right_field``, and ``run_id`` where runs differ); their lines
+    stand below each block, side by side.
+    """
     totals = summarise(report)
     rule = F.lit("=" * RULE_WIDTH)
     head = F.array(F.lit("comparison report"), rule, F.format_string("run_ids: %d", "total"), F.lit(""))
@@ -108,5 +117,14 @@ def report_lines(report: DataFrame) -> DataFrame:
             "line",
         )
 
-    blocks = report_blocks(report.where(F.col("status") != NO_RUNS)).select(F.lit(1).alias("section"), "*")
+    real = report.where(F.col("status") != NO_RUNS)
+    blocks = report_blocks(real)
+    if schemas is not None:
+        keys = [k for k in ("run_id", "path") if k in schemas.columns]
+        table = schema_table(schemas, keys)
+        # A block has fewer lines of its own than this, or a line for each schema difference more.
+        below = F.lit(SCHEMA_BELOW) + F.coalesce(F.size("schema_differences"), F.lit(0)) + F.col("ordinal")
+        placed = real.join(table, keys).select("run_date", "run_id", "path", below.cast("int").alias("pos"), "line")
+        blocks = blocks.unionByName(placed)
+    blocks = blocks.select(F.lit(1).alias("section"), "*")
     return framed(0, head).unionByName(blocks).unionByName(framed(2, foot))

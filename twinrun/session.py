@@ -27,18 +27,34 @@ def get_session(app_name: str = "twinrun", master: str | None = None, **conf: ob
 
 
 def scratch_dir(spark: SparkSession) -> str | None:
-    """The shared folder for intermediate results: ``spark.checkpoint.dir`` of the session, None when it is not set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-
-
-def computed_once(df: DataFrame, name: str) -> DataFrame:
+    """The shared folder for intermediate results: ``spark.checkpoint.dir`` of the session, else the context's own
+    checkpoint folder, None when neither is set. Off a single machine a folder without a scheme is refused: every
+    executor would write to its own disk. (Of ``file:`` the caller knows whether all machines mount it.)"""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    folder = folder or context.getCheckpointDir()
+    if folder and ":" not in folder and not context.master.startswith("local"):
+        raise ValueError(f"spark.checkpoint.dir has to name a shared folder by its full address, not {folder!r}")
+    return folder
+
+
+def computed_once(df: DataFrame, name: str, written: list[str] | None = None) -> DataFrame:
     """Write a result that several branches of a plan read to the shared folder, and go on from there.
 
-    Lost executors then cost no recomputation. Without a shared folder the plan stays as it is.
+    Lost executors then cost no recomputation. Without a shared folder the plan stays as it is. The folder's path is
+    added to ``written``; ``remove`` deletes it when nothing reads it any more.
     """
     folder = scratch_dir(df.sparkSession)
     if folder is None:
         return df
     path = f"{folder.rstrip('/')}/twinrun-{name}-{uuid.uuid4()}"
+    if written is not None:
+        written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate result through the file system it was written to."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

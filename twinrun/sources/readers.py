@@ -25,9 +25,11 @@ def read_delimited(
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``name`` of every file below a folder, relative to it. The content column is pruned: no file is opened.
+    """``name`` of the files below a folder, relative to it. The content column is pruned: no file is opened.
 
-    Spark lists the folder itself; for very large stores read a saved inventory with ``read_listing`` instead.
+    Spark lists the folder itself, and its readers never see files below a name that begins with ``_`` or ``.`` (such as
+    ``_SUCCESS`` or ``_tmp/``): those are not listed. Where such names matter, and for very large stores, a saved
+    inventory is the source to use: ``read_listing`` takes every name that it holds.
     """
     if not root.startswith("/") and ":" not in root:
         raise ValueError(f"give the folder as an absolute path or URI, not {root!r}")
@@ -37,17 +39,17 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.substr(F.col("path"), start).alias("name"))
 
 
-def read_listing(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_listing(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A saved listing: objects of which only ``name`` is used.
 
-    One JSON array per file by default, each read by one task; ``multi_line=False`` reads one object per line, which
-    Spark splits at will.
+    One JSON object per line, which Spark splits at will; ``multi_line=True`` reads one JSON array per file, each by one
+    task.
     """
     return spark.read.schema("name string").option("multiLine", multi_line).json(path)
 
 
 def read_corpus(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``path, content`` of every text file below a folder; one row per file."""
+    """``path, content`` of the text files below a folder, one row per file; hidden names as in ``list_files``."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     files = reader.text(root, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))

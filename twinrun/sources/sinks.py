@@ -7,27 +7,27 @@ from pyspark.sql import functions as F
 
 from twinrun.plans.report import report_lines
 
-# A document longer than this many parts is written as several volumes, so that no single task writes it all.
-PARTS_PER_VOLUME = 1_000_000
-
-
 def write_report(report: DataFrame, path: str, mode: str = "error") -> None:
     """The report table as parquet."""
     report.write.mode(mode).parquet(path)
 
 
-def write_report_text(report: DataFrame, path: str, mode: str = "error") -> None:
-    """The text report. The lines are range-sorted, so the part files in name order read from top to bottom."""
-    lines = report_lines(report).orderBy("section", F.desc("run_date"), F.desc("run_id"), "path", "pos")
+def write_report_text(report: DataFrame, path: str, mode: str = "error", schemas: DataFrame | None = None) -> None:
+    """The text report of a stored report. Its lines are range-sorted, so the part files in name order read from top to
+    bottom; a report that is not stored would be computed for each of the readings."""
+    lines = report_lines(report, schemas).orderBy("section", F.desc("run_date"), F.desc("run_id"), "path", "pos")
     lines.select("line").write.mode(mode).text(path)
 
 
-def write_context(parts: DataFrame, path: str, mode: str = "error") -> None:
-    """Documents as ``pipeline=<name>/volume=<n>/`` text folders from ``context_parts`` rows.
+def write_context(parts: DataFrame, path: str, mode: str = "error", parts_per_volume: int | None = None) -> None:
+    """Documents as ``pipeline=<name>/`` text folders from ``context_parts`` rows.
 
-    The rows of a document are streamed to its file in order; the file equals the text ``assemble_context`` builds.
+    The rows of a document are streamed to its file in order; the file equals the text ``assemble_context`` builds. With
+    ``parts_per_volume`` every document, short or long, lies in ``pipeline=<name>/volume=<n>/`` folders of so many parts
+    each, which different tasks write.
     """
-    volume = F.floor(F.col("pos") / PARTS_PER_VOLUME).alias("volume")
-    rows = parts.select("pipeline", volume, "pos", "text").repartition("pipeline", "volume")
-    rows = rows.sortWithinPartitions("pipeline", "volume", "pos").drop("pos")
-    rows.write.mode(mode).partitionBy("pipeline", "volume").text(path)
+    keys = ["pipeline"] if parts_per_volume is None else ["pipeline", "volume"]
+    if parts_per_volume is not None:
+        parts = parts.withColumn("volume", F.floor(F.col("pos") / parts_per_volume))
+    rows = parts.select(*keys, "pos", "text").repartition(*keys).sortWithinPartitions(*keys, "pos").drop("pos")
+    rows.write.mode(mode).partitionBy(*keys).text(path)
