@@ -179,6 +179,8 @@ def jaccard_join(docs: DataFrame, text: str = "text", n: int = NGRAM, threshold:
     found = found.select(
         "node", F.coalesce("label", "node").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
+    # Stored, so that the join with the rows is one of its own, in which Spark splits a node with very many copies.
+    found = stored(found, "found")
     rows_ = signed.drop("bands").join(found, "node", "left")
     rows_ = stored(rows_, "labelled")
     named = rows_.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"))
