@@ -35,10 +35,24 @@ def test_list_files_gives_names_below_the_root(spark, tmp_path):
 
 def test_saved_listing(spark, tmp_path):
     (tmp_path / "l.json").write_text(json.dumps([{"name": "a", "size": 1}, {"name": None}, {"size": 2}, {"name": "b"}], indent=1))
-    names = readers.read_listing(spark, str(tmp_path / "l.json"))
+    names = readers.read_listing(spark, str(tmp_path / "l.json"), multi_line=True)
     assert names.columns == ["name"] and [r.name for r in names.collect()] == ["a", None, None, "b"]
 
 
+def test_saved_listing_by_line_holds_every_name(spark, tmp_path):
+    held = ["feed/run_id=a/_SUCCESS", "feed/_tmp/x", ".hidden/y"]
+    (tmp_path / "l.json").write_text("\n".join(json.dumps({"name": n, "size": 1}) for n in held))
+    assert [r.name for r in readers.read_listing(spark, str(tmp_path / "l.json")).collect()] == held
+
+
+def test_hidden_names_are_not_listed(spark, tmp_path):
+    """What Spark's readers do, and what the docstring says: such names need a saved inventory."""
+    for name in ("a/x.csv", "a/_SUCCESS", "_tmp/y.csv"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("1")
+    assert [r.name for r in readers.list_files(spark, str(tmp_path)).collect()] == ["a/x.csv"]
+
+
 def test_corpus_is_one_row_per_file(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.yml").write_text("x:\n  y: 1\n")
@@ -58,3 +72,7 @@ def test_written_context_equals_the_assembled_document(spark, tmp_path):
     for pipeline, document in want.items():
         files = list((tmp_path / "ctx" / f"pipeline={pipeline}").glob("part-*.txt"))
         assert len(files) == 1 and files[0].read_text() == document
+    sinks.write_context(parts, str(tmp_path / "volumes"), parts_per_volume=500)
+    for pipeline, document in want.items():
+        folders = sorted((tmp_path / "volumes" / f"pipeline={pipeline}").glob("volume=*"), key=lambda f: int(f.name[7:]))
+        assert len(folders) == 3 and "".join(next(f.glob("part-*.txt")).read_text() for f in folders) == document

@@ -187,9 +187,13 @@ def test_named_blocks_groups_know_only_their_own_names(spark):
     }
 
 
-def test_names_with_a_colon_are_refused(spark):
-    with pytest.raises(Exception, match="cannot hold a colon"):
-        sections.named_blocks(pages(spark, ["a:b"]), names_of(spark, ["a:b"], 1)).collect()
+def test_names_with_colons(spark):
+    pages = spark.createDataFrame([(1, "a:\nfirst\na: b:\nsecond\nc: d\nthird\nnot a: b\nA: B : c\nlast")], "page_id int, text string")
+    names = spark.createDataFrame([("a",), ("a: b",), ("c: d",), ("x\ny",)], "name string")
+    got = {r.name: r.block for r in sections.named_blocks(pages, names).collect()}
+    assert got == {"a": "a:\nfirst", "a: b": "a: b:\nsecond", "c: d": "c: d\nthird\nnot a: b"}
+    asked = names.select(F.lit(1).alias("page_id"), "name")
+    assert sections.marker_blocks(pages, asked).count() == 0 and sections.heading_blocks(pages, asked).count() == 0
 
 
 def model_marked(text, name):
@@ -350,3 +354,19 @@ def test_context_goes_through_the_shared_folder(spark, monkeypatch, tmp_path):
     assert "## t1\n\nt1:\nfrom page\n" in docs[0].document
     (written,) = tmp_path.glob("twinrun-pages-*")
     assert spark.read.parquet(str(written)).count() == 1  # pages nobody refers to are left out
+
+
+def test_definition_text_is_stripped_by_its_lines(spark):
+    from twinrun.operators.definitions import strip_definition_text
+
+    text = (
+        "t:\n    path: /x\n    description: of t\n    primary_key:\n    - a\n    - b: c\n    control_params:\n        path: kept with its parent: no\n"
+        "    schema:\n        a:\n            type: int\n            description: |\n                two\n                lines\n            more: 1\n"
+        "        b: string\n\n        c:\n            type: int\n            tags:\n            - x\n    storage_type: s\n    path_note: stays"
+    )
+    want = (
+        "t:\n    description: of t\n    schema:\n        a:\n            description: |\n                two\n                lines\n"
+        "        b: string\n        c:\n            type: int\n            tags:\n            - x\n    path_note: stays"
+    )
+    rows = spark.createDataFrame([(text, want), ("t:", "t:"), ("", ""), (None, None), ("t: {path: 1}", "t: {path: 1}")], "text string, want string")
+    assert [r for r in rows.select(strip_definition_text("text").alias("got"), "want").collect() if r.got != r.want] == []

@@ -38,12 +38,6 @@ def _lines(text: Column) -> Column:
     return F.split(text, _SPLIT_LINES)
 
 
-def _check_names(name: Column) -> Column:
-    """Names end at a colon or at the line end, so they cannot hold either."""
-    refused = F.raise_error(F.concat(F.lit("a section name cannot hold a colon or a line end: "), name))
-    return F.when(name.rlike("[:\n]"), refused).otherwise(name)
-
-
 def cut_lines(docs: DataFrame, spans: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``spans`` rows (``key``, first line ``s``, line after the last ``e`` or NULL) with their stripped ``block``.
 
@@ -60,17 +54,19 @@ def cut_lines(docs: DataFrame, spans: DataFrame, key: str, text: str = "text") -
 
 
 def _heading_lines(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines that may be headings: ``key, ln, head`` (lower case).
+    """Lines that may be headings: ``key, ln, head`` (lower case), one row for each colon that may end the name.
 
-    A heading is a line of its own, or followed by a colon. A bare name on the very last line does not count: its line
-    has no end.
+    A heading is a line of its own, or followed by a colon; the name may hold colons itself. A bare name on the very
+    last line does not count: its line has no end.
     """
     lines = _lines(F.col(text))
-    open_end = ~F.substring_index(text, "\n", -1).contains(":")
-    closed = F.when(open_end, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    rows = pages.select(key, F.posexplode(closed).alias("ln", "line"))
-    head = F.lower(strip(F.substring_index("line", ":", 1)))
-    return rows.select(key, "ln", head.alias("head")).where("head <> ''")
+    rows = pages.select(key, F.size(lines).alias("n"), F.posexplode(lines).alias("ln", "line"))
+    colons = F.size(F.split("line", ":")) - 1
+    ends = F.explode(F.sequence(F.lit(1), colons + 1)).alias("k")
+    rows = rows.select(key, "n", "ln", "line", colons.alias("colons"), ends)
+    bare_at_the_end = (F.col("ln") == F.col("n") - 1) & (F.col("k") > F.col("colons"))
+    head = F.lower(strip(F.call_function("substring_index", F.col("line"), F.lit(":"), F.col("k"))))
+    return rows.where(~bare_at_the_end).select(key, "ln", head.alias("head")).where("head <> ''")
 
 
 def named_blocks(
@@ -80,13 +76,17 @@ def named_blocks(
 
     ``names`` holds ``name``, and may hold ``key`` (names of one page) and ``groups`` columns (names that belong
     together, such as the tables of one pipeline). A block starts at the first line headed by its name, in either case,
-    and ends before the next line headed by another name of the same group; its own name repeated does not end it.
+    and ends before the next line headed by another name of the same group; its own name repeated does not end it. A
+    name may hold colons; one with a line end never has a block.
     """
     per_page = [key] if key in names.columns else []
-    known = names.select(*groups, *per_page, "name", F.lower(_check_names(F.col("name"))).alias("head")).distinct()
+    known = names.select(*groups, *per_page, "name", F.lower("name").alias("head")).distinct()
     heads = _heading_lines(pages, key, text).join(known, [*per_page, "head"])
-    # Walking up from the bottom, each heading remembers the closest line below it that is headed by another name.
-    page = Window.partitionBy(*groups, key).orderBy(F.desc("ln"))
+    # Walking up from the bottom, each heading remembers the closest line below it that is headed by another name. Of
+    # names that a line may be headed by, one going on after the colon of another, the longest counts.
+    page = Window.partitionBy(*groups, key).orderBy(F.desc("ln"), F.desc(F.length("head")))
+    of_line = (F.lag("ln").over(page) == F.col("ln")) & (F.lag("head").over(page) != F.col("head"))
+    heads = heads.withColumn("shorter", F.coalesce(of_line, F.lit(False))).where("NOT shorter").drop("shorter")
     below = F.lag("head").over(page)
     other = F.when(below != F.col("head"), F.lag("ln").over(page))
     upward = page.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -155,9 +155,10 @@ def _section_text() -> Column:
 def _section_blocks(pages: DataFrame, names: DataFrame, key: str, text: str, forms: Sequence[int]) -> DataFrame:
     """``key, name, block`` of every wanted ``(key, name)`` that has a section; the first one counts.
 
-    The sections are chosen on their names and positions alone; only the chosen pieces of text are joined to them.
+    The sections are chosen on their names and positions alone; the chosen pieces of text are joined to them. A name
+    ends at a colon or at the line end here, so one that holds either has no section.
     """
-    asked = names.select(key, "name", F.lower(_check_names(F.col("name"))).alias("head")).distinct()
+    asked = names.select(key, "name", F.lower("name").alias("head")).distinct()
     pieces = _pieces(pages, key, text, forms)
     nth = F.row_number().over(Window.partitionBy(key, "name").orderBy("pos", "sub"))
     chosen = _openings(pieces, key).join(asked, [key, "head"]).withColumn("nth", nth).where("nth = 1")
