@@ -36,7 +36,7 @@ def test_recall_and_scores(spark):
 def test_graph_finds_the_nearest_centroids():
     r = np.random.default_rng(1)
     x = r.normal(size=(3000, 16))
-    graph = vectors.CentroidGraph.of(vectors.balanced_centroids(x, 300))
+    graph = vectors.CentroidGraph.of(vectors.balanced_centroids(x, 300), x)
     at, d = graph.search(x[:200], 40)
     true = np.argsort(vectors._squares(x[:200], graph.centers), axis=1)[:, :10]
     assert np.mean([len(set(a[:10]) & set(t)) for a, t in zip(at.tolist(), true.tolist())]) > 9.5

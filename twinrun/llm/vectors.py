@@ -71,9 +71,12 @@ class CentroidGraph:
 
     centers: np.ndarray
     links: np.ndarray
+    #: Usual distance of a vector to its nearest centroid. Ratios are taken of no less, so that a vector that lies on a
+    #: centroid still looks around itself.
+    spread: float
 
     @classmethod
-    def of(cls, centers: np.ndarray) -> CentroidGraph:
+    def of(cls, centers: np.ndarray, sample: np.ndarray) -> CentroidGraph:
         k, random = len(centers), np.random.default_rng(12)
         near = min(NEAR, k - 1)
         links = np.empty((k, near + RANDOM), np.int64)
@@ -88,7 +91,8 @@ class CentroidGraph:
             again = np.ones(len(row), bool)
             again[first] = False
             row[again] = own
-        return cls(centers, links)
+        near = [np.sqrt(_squares(sample[a : a + 2048], centers).min(1)) for a in range(0, len(sample), 2048)]
+        return cls(centers, links, float(np.mean(np.concatenate(near))))
 
     def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``width`` nearest centroids found for each vector, nearest first: numbers and distances."""
@@ -126,12 +130,12 @@ class CentroidGraph:
         boundary stands on all its sides."""
         at, d = self.search(x, HOME_BEAM)
         at, d = at[:, :COPIES], d[:, :COPIES]
-        return np.where(d <= REACH * d[:, :1], at, -1)
+        return np.where(d <= REACH * np.maximum(d[:, :1], self.spread), at, -1)
 
     def probes(self, x: np.ndarray) -> np.ndarray:
         """Lists a query reads, -1 where there is none: those found whose centroid is within PRUNE of the nearest."""
         at, d = self.search(x, max(LEAST_BEAM, len(self.centers) // BEAM_SHARE))
-        return np.where(d <= PRUNE * d[:, :1], at, -1)
+        return np.where(d <= PRUNE * np.maximum(d[:, :1], self.spread), at, -1)
 
 
 @dataclass
@@ -156,7 +160,8 @@ class VectorIndex:
             return None
         lists = min(MOST_LISTS, max(1, n // list_size))
         first = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(n, SAMPLE_PER_LIST * lists)).select("vector")
-        graph = CentroidGraph.of(balanced_centroids(matrix(first.toArrow()["vector"]), lists))
+        sample = matrix(first.toArrow()["vector"])
+        graph = CentroidGraph.of(balanced_centroids(sample, lists), sample)
         shared = spark.sparkContext.broadcast(graph)
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
