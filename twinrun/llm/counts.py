@@ -22,7 +22,7 @@ from twinrun.llm.common import table
 
 LIMIT = 2048
 #: Larger blocks than elsewhere: the more text shares a list of distinct pre-tokens, the fewer of them move.
-COUNT_BLOCK_BYTES = 16 << 20
+COUNT_BLOCK_BYTES = 8 << 20
 
 # The pattern of the vocabulary file that splits normalised text, and what begins a special token.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
