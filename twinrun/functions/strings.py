@@ -30,10 +30,6 @@ def strip(value: Column | str) -> Column:
     return F.trim(column(value), F.lit(WHITESPACE))
 
 
-def rstrip(value: Column | str) -> Column:
-    return F.rtrim(column(value), F.lit(WHITESPACE))
-
-
 def blank_to_null(value: Column | str) -> Column:
     return F.nullif(column(value), F.lit(""))
 

@@ -18,6 +18,9 @@ from twinrun.operators.tree import Tree, frames
 # Names of the sides and the wording of a difference.
 LEFT_NAME, RIGHT_NAME = "legacy", "refactored"
 MISSING = "(missing)"
+FIELD_TEXT = "%s: %s (nullable=%s)"
+TYPE_TEXT = "(%s, nullable=%s)"
+TYPE_METADATA_TEXT = "(%s, nullable=%s, metadata=%s)"
 ORDER_DIFFERS = f"column order differs: {LEFT_NAME} order vs {RIGHT_NAME} order"
 
 # Difference kinds in report order.
@@ -88,7 +91,7 @@ def same_schema(left: T.StructType, right: T.StructType, check_metadata: bool =
 
 def _field_text() -> Column:
     nullable = F.initcap(F.col("nullable").cast("string"))
-    return F.format_string("%s: %s (nullable=%s)", "name", "type", nullable)
+    return F.format_string(FIELD_TEXT, "name", "type", nullable)
 
 
 def leaf_rows(spark: SparkSession, leaves: dict[str, DataFrame]) -> DataFrame:
@@ -123,10 +126,10 @@ def match_by_name(left: DataFrame, right: DataFrame, check_metadata: bool = Fals
 
     def side(rows: DataFrame, tag: str) -> DataFrame:
         nullable = F.initcap(F.col("nullable").cast("string"))
-        text = F.format_string("(%s, nullable=%s)", "type", nullable)
+        text = F.format_string(TYPE_TEXT, "type", nullable)
         if check_metadata:
             plain = F.col("metadata") == _metadata(T.StructField("", T.NullType()))
-            more = F.format_string("(%s, nullable=%s, metadata=%s)", "type", nullable, "metadata")
+            more = F.format_string(TYPE_METADATA_TEXT, "type", nullable, "metadata")
             text = F.when(plain, text).otherwise(more)
         return rows.select("path", "name", F.lit(tag).alias("side"), F.struct("ordinal", text.alias("text")).alias("d"))
 

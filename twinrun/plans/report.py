@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 
 from twinrun.plans.compare import FAIL, NO_RUNS, PASS
 
-# Layout of the text report.
+# Layout and wording of the text report.
 RULE_WIDTH = 60
 SCHEMA_COLUMN_WIDTH = 52
+COUNTS_TEXT = "%s: %s | %s"
+DETAILS_TEXT = "left_count=%s, right_count=%s, only_in_left=%s, only_in_right=%s"
+TOTAL_TEXT = "rows only in legacy: %s, only in refactored: %s, total differing rows: %s"
+ROW_COUNTS_LABEL = "row counts (legacy | refactored): "
+DIFFERENCES_LABEL = "row difference counts: "
+DETAILS_LABEL = "  details: "
+SCHEMA_LABEL = "schema match: "
+RUNS_TEXT = "run_ids: %d"
+PASSED_TEXT = "Passed: %d / %d"
 # Lines of a block before its schema differences, with room to spare.
 SCHEMA_BELOW = 20
 
@@ -48,14 +57,14 @@ def count_text(report: DataFrame) -> DataFrame:
     """The report with its counts and differences as text: ``counts``, ``details`` and the one-line ``total``."""
     shown = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("?"))
     details = F.format_string(
-        "left_count=%s, right_count=%s, only_in_left=%s, only_in_right=%s",
+        DETAILS_TEXT,
         *[shown(c) for c in ("left_count", "right_count", "only_in_left", "only_in_right")],
     )
     total = F.format_string(
-        "rows only in legacy: %s, only in refactored: %s, total differing rows: %s",
+        TOTAL_TEXT,
         *[shown(c) for c in ("only_in_left", "only_in_right", "differing_rows")],
     )
-    counts = F.format_string("%s: %s | %s", "path", shown("left_count"), shown("right_count"))
+    counts = F.format_string(COUNTS_TEXT, "path", shown("left_count"), shown("right_count"))
     return report.withColumns({"counts": counts, "details": details, "total": total})
 
 
@@ -82,10 +91,10 @@ def report_blocks(report: DataFrame) -> DataFrame:
         label("raw_data", raw),
         label("path", F.col("path")),
         label("status", F.col("status")),
-        F.concat(F.lit("row counts (legacy | refactored): "), F.col("counts")),
-        F.concat(F.lit("row difference counts: "), F.col("total")),
-        F.concat(F.lit("  details: "), F.col("details")),
-        F.concat(F.lit("schema match: "), F.coalesce(F.col("schema_match").cast("string"), F.lit("?"))),
+        F.concat(F.lit(ROW_COUNTS_LABEL), F.col("counts")),
+        F.concat(F.lit(DIFFERENCES_LABEL), F.col("total")),
+        F.concat(F.lit(DETAILS_LABEL), F.col("details")),
+        F.concat(F.lit(SCHEMA_LABEL), F.coalesce(F.col("schema_match").cast("string"), F.lit("?"))),
     )
     differences = F.coalesce("schema_differences", F.array().cast("array<string>"))
     lines = F.concat(lines, F.transform(differences, lambda d: F.concat(F.lit("    - "), d)))
@@ -102,8 +111,8 @@ def report_lines(report: DataFrame, schemas: DataFrame | None = None) -> DataFra
     """
     totals = summarise(report)
     rule = F.lit("=" * RULE_WIDTH)
-    head = F.array(F.lit("comparison report"), rule, F.format_string("run_ids: %d", "total"), F.lit(""))
-    foot = F.array(F.lit(""), rule, F.format_string("Passed: %d / %d", "passed", "total"))
+    head = F.array(F.lit("comparison report"), rule, F.format_string(RUNS_TEXT, "total"), F.lit(""))
+    foot = F.array(F.lit(""), rule, F.format_string(PASSED_TEXT, "passed", "total"))
 
     def framed(section: int, lines: Column) -> DataFrame:
         none = F.lit(None).cast("string")
