@@ -90,9 +90,10 @@ def resolve_raw_path_template(spark, sf):
 
 @query
 def norm_paths(spark, sf):
+    """Paths of the page addresses, with one slash, several or none at their end."""
     pages = table(spark, sf, "pages")
-    path = F.concat(F.repeat(F.lit("/"), F.expr("cast(page_id % 3 as int)")), F.lit("p/"), F.col("page_id").cast("string"),
-                    F.repeat(F.lit("/"), F.expr("cast(page_id % 4 as int)")))
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]*(.*)$", 1)
+    path = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("//"), path, F.lit("//"))).otherwise(path)
     return pages.select("page_id", norm_prefix(path).alias("prefix"), norm_dir(path).alias("dir"))
 
 
@@ -431,9 +432,9 @@ def html_text(spark, sf):
 
 @query
 def page_ref(spark, sf):
-    pid = F.col("page_id").cast("string")
-    url = F.concat(F.lit(" https://wiki.example.org/spaces/X/pages/"), pid, F.lit("/Title"))
-    ref = F.when(F.col("page_id") % 3 == 0, pid).when(F.col("page_id") % 7 == 0, "nope").otherwise(url)
+    """References in the form of the page addresses, their language read as the folder of pages; some are bare ids."""
+    bare = F.concat(F.lit(" "), F.col("page_id").cast("string"), F.lit(" "))
+    ref = F.when(F.col("page_id") % 9 == 0, bare).otherwise(F.regexp_replace("url", "/(en|fr|de|es)/", "/pages/"))
     return table(spark, sf, "pages").select("page_id", page_ref_id(ref).alias("ref_id"))
 
 

@@ -245,8 +245,9 @@ FROM runs LEFT JOIN latest ON day = CAST(run_date AS VARCHAR)""",
     "resolve_raw_path_template": f"""
 WITH {_RUNS} SELECT run_id, run_date, '/data/' || run_id || '/raw/' AS raw_path, 'FOUND' AS raw_status FROM runs""",
     "norm_paths": """
-SELECT page_id, 'p/' || page_id || '/' AS prefix, repeat('/', CAST(page_id % 3 AS INT)) || 'p/' || page_id || '/' AS dir
-FROM pages""",
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) AS x FROM pages),
+q AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '//' || x || '//' ELSE x END AS x FROM p)
+SELECT page_id, CASE WHEN trim(x, '/') = '' THEN '' ELSE trim(x, '/') || '/' END AS prefix, rtrim(x, '/') || '/' AS dir FROM q""",
     # ------------------------------------------------------------ relational steps
     "lit_columns": "SELECT o_orderkey, 'box' AS unit, 12 AS factor FROM orders",
     "project": "SELECT l_orderkey, l_quantity FROM lineitem",
@@ -422,8 +423,8 @@ n AS (SELECT {_counts()}) SELECT {_verdict("$")} FROM n""",
     # ------------------------------------------------------------ scalar functions over tables
     "html_text": f"SELECT page_id, {_HTML_TEXT} AS text FROM pages",
     "page_ref": """
-SELECT page_id, CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS VARCHAR) WHEN page_id % 7 = 0 THEN NULL
-                     ELSE CAST(page_id AS VARCHAR) END AS ref_id
+SELECT page_id, CASE WHEN page_id % 9 = 0 THEN CAST(page_id AS VARCHAR)
+  ELSE nullif(regexp_extract(regexp_replace(url, '/(en|fr|de|es)/', '/pages/'), '/pages/([0-9]+)(/|$)', 1), '') END AS ref_id
 FROM pages""",
     "repo_slugs": """
 SELECT page_id, CASE WHEN page_id % 6 < 3 THEN 'acme/r' || page_id END AS slug FROM pages""",
