@@ -8,6 +8,7 @@ once, next to the sections asked for, and never once per name.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,30 +116,30 @@ _INNER_HASH = rf"(?m)(?d)^(?={WS_INLINE}*#[^#\s])"
 _HASH_HEADER = rf"^{WS}*#{WS}*([^:\n#][^:\n]*?){WS}*[:\n]"
 
 
-def _pieces(pages: DataFrame, key: str, text: str, forms: Sequence[int]) -> DataFrame:
-    """The text cut at its marker or hash lines: ``key, pos, form, part, after`` (``after``: the next piece)."""
+def _parts(text: Column, form: int) -> Column:
+    """The text cut at its marker or hash lines. What stands before the first marker line is no section."""
+    parts = F.split(text, _MARK_LINE if form == _MARKED else _HASH_LINE)
+    return F.slice(parts, 2, F.size(parts)) if form == _MARKED else parts
 
-    def pieces_of(form: int) -> Column:
-        parts = F.split(F.col(text), _MARK_LINE if form == _MARKED else _HASH_LINE)
-        rest = F.slice(parts, 2, F.size(parts))
-        # What stands before the first marker line is no section, and a marked section never reads the next one.
-        parts, after = (rest, F.array().cast("array<string>")) if form == _MARKED else (parts, rest)
-        labelled = lambda p, n: F.struct(F.lit(form).alias("form"), p.alias("part"), n.alias("after"))
-        return F.zip_with(parts, after, labelled)
 
-    every = F.concat(*[pieces_of(form) for form in forms])
-    return pages.select(key, F.posexplode(every).alias("pos", "piece")).select(key, "pos", "piece.*")
+def _pieces(pages: DataFrame, key: str, text: str, forms: Sequence[int]) -> DataFrame:
+    """Pieces of all forms one after the other: ``key, pos, form, part``; ``pos`` starts anew with each form."""
+    found = [
+        pages.select(key, F.lit(form).alias("form"), F.posexplode(_parts(F.col(text), form)).alias("pos", "part"))
+        for form in forms
+    ]
+    return reduce(DataFrame.union, found)
 
 
 def _openings(pieces: DataFrame, key: str) -> DataFrame:
-    """Names that open a section, without any text: ``key, pos, sub, head`` (lower case)."""
+    """Names that open a section, without any text: ``key, form, pos, sub, head`` (lower case)."""
     marked = F.when(
         strip(F.regexp_extract("part", _MARKED_HEADER, 2)) != "", F.regexp_extract("part", _MARKED_HEADER, 1)
     )
     headed = F.transform(F.split("part", _INNER_HASH), lambda x: F.regexp_extract(x, _HASH_HEADER, 1))
     names = F.when(F.col("form") == _MARKED, F.array(marked)).otherwise(headed)
-    rows = pieces.select(key, "pos", F.posexplode(names).alias("sub", "name")).where("name <> ''")
-    return rows.select(key, "pos", "sub", F.lower("name").alias("head"))
+    rows = pieces.select(key, "form", "pos", F.posexplode(names).alias("sub", "name")).where("name <> ''")
+    return rows.select(key, "form", "pos", "sub", F.lower("name").alias("head"))
 
 
 def _section_text() -> Column:
@@ -155,14 +156,20 @@ def _section_text() -> Column:
 def _section_blocks(pages: DataFrame, names: DataFrame, key: str, text: str, forms: Sequence[int]) -> DataFrame:
     """``key, name, block`` of every wanted ``(key, name)`` that has a section; the first one counts.
 
-    The sections are chosen on their names and positions alone; the chosen pieces of text are joined to them. A name
-    ends at a colon or at the line end here, so one that holds either has no section.
+    The sections are chosen on their names and positions alone; then each page meets its choices, once, and is cut in
+    its own row (the explode of an array of one keeps the split below the join, as in ``cut_lines``). A name ends at a
+    colon or at the line end here, so one that holds either has no section.
     """
     asked = names.select(key, "name", F.lower("name").alias("head")).distinct()
     pieces = _pieces(pages, key, text, forms)
-    nth = F.row_number().over(Window.partitionBy(key, "name").orderBy("pos", "sub"))
-    chosen = _openings(pieces, key).join(asked, [key, "head"]).withColumn("nth", nth).where("nth = 1")
-    found = chosen.select(key, "name", "pos", "sub").join(pieces, [key, "pos"])
+    first = F.min(F.struct("form", "pos", "sub")).alias("at")
+    chosen = _openings(pieces, key).join(asked, [key, "head"]).groupBy(key, "name").agg(first).select(key, "name", "at.*")
+    cut = F.struct(*[_parts(F.col(text), form).alias(f"f{form}") for form in forms])
+    pages = pages.select(key, F.explode(F.array(cut)).alias("parts"))
+    of_form = F.coalesce(*[F.when(F.col("form") == form, F.col(f"parts.f{form}")) for form in forms])
+    # A marked section never reads the next piece.
+    after = F.when(F.col("form") == _HEADED, F.get(of_form, F.col("pos") + 1))
+    found = chosen.join(pages, key).select(key, "name", "form", "sub", F.get(of_form, "pos").alias("part"), after.alias("after"))
     return found.select(key, "name", _section_text().alias("block"))
 
 
