@@ -70,3 +70,27 @@ def test_few_rows_and_empty_tables(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(nearest_neighbours(df, df).collect())] == [(1, 1, 2), (2, 1, 1)]
     assert nearest_neighbours(df.limit(0), df).count() == 0 and nearest_neighbours(df, df.limit(0)).count() == 0
     assert VectorIndex.build(spark.createDataFrame([(1, None, "")], SCHEMA)) is None
+
+
+def _brute(rows, query, k):
+    """The k nearest other ids of a query: the least distance over all rows of an id, ties to the smaller id."""
+    far = {}
+    for q in (np.float32(v).astype(float) for i, v, _ in rows if i == query):
+        for i, v, _ in rows:
+            if i != query:
+                d = float(np.sqrt(((np.float32(v).astype(float) - q) ** 2).sum()))
+                far[i] = min(far.get(i, d), d)
+    return [i for _, i in sorted((d, i) for i, d in far.items())[:k]]
+
+
+def test_repeated_rows_count_once(spark):
+    r = np.random.default_rng(5)
+    own = [(k, r.normal(size=4).tolist(), "x") for k in range(60)]
+    moved = [(k, (np.asarray(own[k][1]) + 1e-3 * r.normal(size=4)).tolist(), "y") for k in range(20) for _ in range(15)]
+    for rows in (own * 2, own * 5, own[:3] * 30 + own, own + moved):
+        df = spark.createDataFrame(rows, SCHEMA)
+        index = VectorIndex.build(df, list_size=10**6)  # one list, so nothing but the merging of copies decides
+        found = defaultdict(list)
+        for x in sorted(index.search(df.where("vec_id % 3 = 0"), k=10).collect(), key=lambda x: x["rank"]):
+            found[x.query_id].append(x.vec_id)
+        assert found == {q: _brute(rows, q, 10) for q in range(0, 60, 3)}

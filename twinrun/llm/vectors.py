@@ -148,14 +148,17 @@ class VectorIndex:
 
     @classmethod
     def build(cls, rows: DataFrame, vector: str = "embedding", list_size: int = LIST_SIZE) -> VectorIndex | None:
-        """Every usable vector is indexed. Centroids are fitted on SAMPLE_PER_LIST * lists vectors, the first by a hash
-        of their id. The dimension is the most frequent length (of equals the smallest). None: no vector is usable."""
+        """Every usable vector is indexed, rows with the same id and vector as one. Centroids are fitted on
+        SAMPLE_PER_LIST * lists vectors, the first by a hash of their id. The dimension is the most frequent length (of
+        equals the smallest). None: no vector is usable."""
         spark = rows.sparkSession
         given = rows.select("vec_id", F.col(vector).alias("vector")).where("vec_id IS NOT NULL AND vector IS NOT NULL")
         sizes = given.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").head(1)
-        dimension = sizes[0]["n"] if sizes else 0
-        good = given.where(usable(F.col("vector"), dimension))
-        n = good.count() if dimension else 0
+        if not sizes:
+            return None
+        dimension = sizes[0]["n"]
+        good = stored(given.where(usable(F.col("vector"), dimension)).distinct(), "vectors")
+        n = good.count()
         if not n:
             return None
         lists = min(MOST_LISTS, max(1, n // list_size))
@@ -183,7 +186,7 @@ class VectorIndex:
         spark = queries.sparkSession
         shared = spark.sparkContext.broadcast(self.graph)
         asked = queries.select(F.col("vec_id").alias("query_id"), F.col(vector).alias("q")).where("query_id IS NOT NULL")
-        asked = asked.where(usable(F.col("q"), self.dimension))
+        asked = asked.where(usable(F.col("q"), self.dimension)).distinct()
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -212,14 +215,16 @@ class VectorIndex:
         def nearest(found: pa.Table, wanted: pa.Table) -> pa.Table:
             out = [], [], []
             if len(found) and len(wanted):
-                ids, x = found["vec_id"].to_numpy(), matrix(found["vector"])
+                rows = found.sort_by("vec_id")
+                ids, starts = np.unique(rows["vec_id"].to_numpy(), return_index=True)
+                x = matrix(rows["vector"])
                 for query, q in zip(wanted["query_id"].to_pylist(), matrix(wanted["q"])):
                     gap = x - q
-                    far = np.sqrt((gap * gap).sum(1))
+                    far = np.minimum.reduceat(np.sqrt((gap * gap).sum(1)), starts)  # of each id its nearest row
                     other = np.flatnonzero(ids != query)
                     if len(other) > k:  # nothing beyond the k-th distance; ties with it stay
                         other = other[far[other] <= np.partition(far[other], k - 1)[k - 1]]
-                    best = other[np.lexsort((ids[other], far[other]))][: 2 * k]
+                    best = other[np.lexsort((ids[other], far[other]))][:k]
                     out[0].extend([query] * len(best))
                     out[1].extend(ids[best].tolist())
                     out[2].extend(far[best].tolist())
