@@ -94,3 +94,22 @@ def test_repeated_rows_count_once(spark):
         for x in sorted(index.search(df.where("vec_id % 3 = 0"), k=10).collect(), key=lambda x: x["rank"]):
             found[x.query_id].append(x.vec_id)
         assert found == {q: _brute(rows, q, 10) for q in range(0, 60, 3)}
+
+
+def test_every_query_gets_k(spark):
+    r = np.random.default_rng(6)
+    rows = [(k, (1e-3 * r.normal(size=8) + 1).tolist(), "hot") for k in range(1500)]
+    rows += [(2000 + k, r.normal(size=8).tolist(), "cloud") for k in range(1500)]
+    for g in range(40):  # small groups far from everything
+        c = r.normal(size=8)
+        rows += [(4000 + 3 * g + j, (100 * c / np.linalg.norm(c) + 0.01 * r.normal(size=8)).tolist(), "far") for j in range(3)]
+    rows += [(9000, (50 + 0.01 * r.normal(size=8)).tolist(), "one id, many vectors") for _ in range(1500)]
+    rows += [(9001 + k, (50 + 0.01 * r.normal(size=8)).tolist(), "its only neighbours") for k in range(2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    asked = [*range(0, 1500, 150), *range(2000, 3500, 150), *range(4000, 4120, 3), 9001, 9002]
+    found = defaultdict(list)
+    for x in nearest_neighbours(df, df.where(df.vec_id.isin(asked)), k=10).collect():
+        found[x.query_id].append((x["rank"], x.vec_id))
+    assert all(sorted(n for n, _ in found[q]) == list(range(1, 11)) and len({i for _, i in found[q]}) == 10 for q in asked)
+    for q in (4000, 4060, 9001):  # the whole group, and then the nearest beyond it
+        assert [i for _, i in sorted(found[q])][:2] == _brute(rows, q, 2)

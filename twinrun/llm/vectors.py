@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ LIST_SIZE, MOST_LISTS, SAMPLE_PER_LIST = 128, 4096, 24
 COPIES, REACH = 4, 1.15
 #: How much farther than its nearest centroid the lists are that a query reads.
 PRUNE = 1.18
+#: Rows a query reads at least, as a multiple of those that hold k others for certain; a query that still finds fewer
+#: reads WIDER times as many, and again.
+SEEN, WIDER = 4, 16
 #: Neighbours of a centroid in the graph, near and random; beam for placing a vector; for a query the beam is at least
 #: LEAST_BEAM and a share of all lists, so that what it can reach keeps pace with their number.
 NEAR, RANDOM, HOME_BEAM, LEAST_BEAM, BEAM_SHARE = 24, 8, 16, 64, 6
@@ -132,10 +136,13 @@ class CentroidGraph:
         at, d = at[:, :COPIES], d[:, :COPIES]
         return np.where(d <= REACH * np.maximum(d[:, :1], self.spread), at, -1)
 
-    def probes(self, x: np.ndarray) -> np.ndarray:
-        """Lists a query reads, -1 where there is none: those found whose centroid is within PRUNE of the nearest."""
-        at, d = self.search(x, max(LEAST_BEAM, len(self.centers) // BEAM_SHARE))
-        return np.where(d <= PRUNE * np.maximum(d[:, :1], self.spread), at, -1)
+    def probes(self, x: np.ndarray, sizes: np.ndarray, enough: int, wide: bool = False) -> np.ndarray:
+        """Lists a query reads, -1 where there is none: those found whose centroid is within PRUNE of the nearest, and
+        the nearest until they hold ``enough`` rows. ``wide`` finds all lists."""
+        at, d = self.search(x, len(self.centers) if wide else max(LEAST_BEAM, len(self.centers) // BEAM_SHARE))
+        rows = sizes[at]
+        before = np.cumsum(rows, 1) - rows
+        return np.where((rows > 0) & ((d <= PRUNE * np.maximum(d[:, :1], self.spread)) | (before < enough)), at, -1)
 
 
 @dataclass
@@ -145,6 +152,8 @@ class VectorIndex:
     postings: DataFrame
     graph: CentroidGraph
     dimension: int
+    #: Rows of each list.
+    sizes: np.ndarray
 
     @classmethod
     def build(cls, rows: DataFrame, vector: str = "embedding", list_size: int = LIST_SIZE) -> VectorIndex | None:
@@ -177,28 +186,55 @@ class VectorIndex:
                     yield pa.record_batch([out["vec_id"], out["vector"], pa.array(homes[row, place], pa.int32())], names=["vec_id", "vector", "list"])
 
         schema = T.StructType([*good.schema.fields, T.StructField("list", T.IntegerType())])
-        return cls(stored(good.mapInArrow(post, schema), "postings"), graph, dimension)
+        postings = stored(good.mapInArrow(post, schema), "postings")
+        held = np.zeros(lists, np.int64)
+        for r in postings.groupBy("list").count().collect():  # at most MOST_LISTS rows
+            held[r["list"]] = r["count"]
+        return cls(postings, graph, dimension, held)
 
     def search(self, queries: DataFrame, vector: str = "embedding", k: int = 10) -> DataFrame:
         """``query_id, rank, vec_id, score``: the k nearest found of each usable query, by Euclidean distance in double
-        precision, ties to the smaller vec_id. Rows with the query's own vec_id are left out; a repeated row counts
-        once. Lists and queries that are large meet in parts, of which no row is left out."""
-        spark = queries.sparkSession
-        shared = spark.sparkContext.broadcast(self.graph)
+        precision, ties to the smaller vec_id; all candidates only where there are fewer than k. Rows with the query's
+        own vec_id are left out; a repeated row counts once. Lists and queries that are large meet in parts, of which no
+        row is left out.
+
+        A vector stands in at most COPIES lists, so COPIES * (k + 1) rows hold k other ids. Only ids with many vectors
+        can leave a query with fewer: it searches again, wider, at last over all lists."""
         asked = queries.select(F.col("vec_id").alias("query_id"), F.col(vector).alias("q")).where("query_id IS NOT NULL")
         asked = asked.where(usable(F.col("q"), self.dimension)).distinct()
+        enough, lists, found = SEEN * COPIES * (k + 1), int((self.sizes > 0).sum()), []
+        while True:
+            probes = self._probes(asked, enough, wide=bool(found))
+            found.append(stored(_ranked(self._near(probes, k), k), "neighbours"))
+            have = found[-1].groupBy("query_id").agg(F.count("*").alias("have"))
+            few = probes.groupBy("query_id").agg(F.countDistinct("list").alias("read")).join(have, "query_id", "left")
+            few = few.where((F.coalesce("have", F.lit(0)) < k) & (F.col("read") < lists)).select("query_id")
+            if few.isEmpty():
+                break
+            asked, enough = asked.join(few, "query_id", "left_semi"), enough * WIDER
+        if len(found) == 1:
+            return found[0]
+        return _ranked(reduce(DataFrame.union, found), k)
+
+    def _probes(self, asked: DataFrame, enough: int, wide: bool) -> DataFrame:
+        """``query_id, q, list``: the lists that each query reads."""
+        shared = asked.sparkSession.sparkContext.broadcast((self.graph, self.sizes))
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a in range(0, len(batch), 1024):
                     part = batch.slice(a, 1024)
-                    lists = shared.value.probes(matrix(part["q"]))
+                    graph, sizes = shared.value
+                    lists = graph.probes(matrix(part["q"]), sizes, enough, wide)
                     row, place = np.nonzero(lists >= 0)
                     out = part.take(pa.array(row))
                     yield pa.record_batch([out["query_id"], out["q"], pa.array(lists[row, place], pa.int32())], names=["query_id", "q", "list"])
 
         schema = T.StructType([*asked.schema.fields, T.StructField("list", T.IntegerType())])
-        probes = stored(asked.mapInArrow(probe, schema), "probes")
+        return stored(asked.mapInArrow(probe, schema), "probes")
+
+    def _near(self, probes: DataFrame, k: int) -> DataFrame:
+        """``query_id, vec_id, score``: the k nearest in each part of each list that a query reads."""
         # At most MOST_LISTS rows: how many parts the rows and the queries of each list have.
         sizes = self.postings.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
         loads = probes.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
@@ -231,11 +267,15 @@ class VectorIndex:
             return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
         keys = ["list", "chunk", "block"]
-        near = rows.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(nearest, "query_id bigint, vec_id bigint, score double")
-        by_query = Window.partitionBy("query_id").orderBy("score", "vec_id")
-        ranked = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-        ranked = ranked.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
-        return ranked.select("query_id", "rank", "vec_id", "score")
+        return rows.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(nearest, "query_id bigint, vec_id bigint, score double")
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k nearest of each query, of each vec_id its least score."""
+    by_query = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    ranked = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = ranked.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def nearest_neighbours(rows: DataFrame, queries: DataFrame, vector: str = "embedding", k: int = 10) -> DataFrame:
