@@ -64,3 +64,23 @@ def test_whole_table(spark):
     want = sorted((d, lines[x]) for d, text in zip(docs.doc_id, docs.text) for x in text.split("\n") if x in lines)
     got = sorted((r.doc_id, r.license) for r in op9_license_scan(spark, "/root/testdata/sf0.001").collect())
     assert got == want and want
+
+
+def test_common_licenses_and_version_spellings():
+    cases = {
+        "Licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 3.0": "GPL-3.0",
+        "This work is licensed under the GNU General Public License v3 or later": "GPL-3.0-or-later",
+        "This work is licensed under the GNU Affero General Public License, version 3": "AGPL-3.0",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+        "Licensed under the Apache License, Version 2": "Apache-2.0",
+        "Licensed under the ISC License": "ISC",
+        "Released under the Unlicense": "Unlicense",
+        "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+        "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+    }
+    assert {t: [n["license"] for n in notices(f"some text\n{t}\nmore text")] for t in cases} == {t: [of] for t, of in cases.items()}
+    names = {t.license for t in TEMPLATES}
+    assert {"GPL-2.0", "AGPL-3.0", "LGPL-2.1", "ISC", "Unlicense", "GPL-2.0-or-later", "AGPL-3.0-or-later"} <= names
+    assert notices("Licensed under the GNU General Public License, version 4.") == []
+    assert [n["license"] for n in notices("SPDX-License-Identifier: ISC mit")] == ["ISC"]

@@ -19,21 +19,91 @@ from twinrun.llm.common import table
 COVERAGE = 0.8
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
+VERSION = re.compile(r"v?([0-9]+(?:\.[0-9]+)*?)(?:\.0)*")
+
 
 @dataclass(frozen=True)
 class Template:
-    """A notice. ``needed`` are words without which it is another notice; they have to be among the aligned ones."""
+    """A notice. ``needed`` are words without which it is another notice; they have to be among the aligned ones. With
+    one of the ``barred`` words between its first and last word it is another notice, too."""
 
     license: str
     text: str
     needed: tuple[str, ...]
+    barred: tuple[str, ...] = ()
 
     @cached_property
     def words(self) -> list[str]:
-        return WORD.findall(self.text.lower())
+        return [canonical(w) for w in WORD.findall(self.text.lower())]
+
+    @cached_property
+    def needed_words(self) -> tuple[str, ...]:
+        return tuple(map(canonical, self.needed))
+
+
+def canonical(word: str) -> str:
+    """One spelling of a version: ``v3``, ``3.0`` and ``v3.0`` are ``3``."""
+    if word[0] not in "v0123456789":
+        return word
+    found = VERSION.fullmatch(word)
+    return found[1] if found else word
+
+
+_NOT_GPL = ("lesser", "library", "affero")
+_REDISTRIBUTION = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+    "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+    "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+    "with the distribution. "
+)
+_NO_ENDORSEMENT = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+    "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+
+
+def _gnu(short: str, name: str, version: str, dated: str, years: str) -> tuple[Template, ...]:
+    """Notices of a GNU license, for one version alone or later ones too, and the heading of its full text."""
+    own = [w for w in name.lower().split() if w in _NOT_GPL]
+    needed, barred = ("gnu", "public", *own, version), () if own else _NOT_GPL
+    only, later = f"{short}-{version if '.' in version else version + '.0'}", "later"
+    full = f"GNU {name} General Public License".replace("  ", " ")
+    free = "This program is free software: you can redistribute it and/or modify it under the terms of the " + full
+    free += " as published by the Free Software Foundation,"
+    head = f"{full} Version {version}, {dated} Copyright (C) {years} Free Software Foundation, Inc. {_VERBATIM}"
+    return (
+        *[Template(only, f"{start} under the {full}, version {version}.", needed, barred) for start in _STARTS],
+        *[Template(f"{only}-or-later", f"{start} under the {full}, version {version} or later.", (*needed, later), barred) for start in _STARTS],
+        Template(only, f"{free} version {version} of the License.", (*needed, "redistribute"), (*barred, "later")),
+        Template(f"{only}-or-later", f"{free} either version {version} of the License, or (at your option) any later version.", (*needed, "redistribute", "later"), barred),
+        Template(only, head, (*needed, "verbatim"), barred),
+    )
 
 
-# Notices as the licenses ask for them, or as they are commonly shortened.
+#: The identifier follows this word at once, and no other notice of fewer than SHORT words reaches across it.
+TAG, SHORT = "spdx-license-identifier", 15
+_STARTS = ("Licensed", "This work is licensed")
+
+#: Identifiers of SPDX and the license each names.
+_SPDX = (
+    "MIT Apache-2.0 ISC Unlicense BSD-2-Clause BSD-3-Clause MPL-2.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC0-1.0 GPL-2.0 GPL-3.0 "
+    "LGPL-2.1 LGPL-3.0 AGPL-3.0 GPL-2.0-or-later GPL-3.0-or-later LGPL-2.1-or-later LGPL-3.0-or-later AGPL-3.0-or-later"
+).split()
+_SPDX_NAMES = [(i, i) for i in _SPDX] + [(f"{i}-only", i) for i in _SPDX if "GPL" in i and not i.endswith("later")]
+
+# Notices as the licenses ask for them, or as they are commonly shortened; full texts of the short licenses
+# and the headings of the long ones.
 TEMPLATES = (
     Template("MIT", "Released under the MIT License.", ("mit", "license")),
     Template("MIT", "This project is licensed under the terms of the MIT license.", ("mit", "license")),
@@ -57,13 +127,14 @@ TEMPLATES = (
         "the specific language governing permissions and limitations under the License.",
         ("apache", "2.0", "compliance"),
     ),
-    Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "public", "3")),
+    Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "public", "3"), _NOT_GPL),
     Template(
         "GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version.",
         ("gnu", "redistribute", "3", "later"),
+        _NOT_GPL,
     ),
     Template("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3.", ("gnu", "lesser", "3")),
     Template("BSD-3-Clause", "Licensed under the BSD 3-Clause License.", ("bsd", "3-clause")),
@@ -73,6 +144,42 @@ TEMPLATES = (
     Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ("cc", "by-sa", "4.0")),
     Template("CC-BY-4.0", "Licensed under CC BY 4.0.", ("cc", "by", "4.0")),
     Template("CC0-1.0", "Released into the public domain under CC0 1.0.", ("cc0", "1.0")),
+    *_gnu("GPL", "", "2", "June 1991", "1989, 1991"),
+    *_gnu("GPL", "", "3", "29 June 2007", "2007"),
+    *_gnu("LGPL", "Lesser", "2.1", "February 1999", "1991, 1999"),
+    *_gnu("LGPL", "Lesser", "3", "29 June 2007", "2007"),
+    *_gnu("AGPL", "Affero", "3", "19 November 2007", "2007"),
+    Template("ISC", "Licensed under the ISC License.", ("licensed", "under", "the", "isc", "license")),
+    Template(
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        ("permission", "fee", "appear"),
+    ),
+    Template("Unlicense", "Released under the Unlicense.", ("unlicense",)),
+    Template(
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means.",
+        ("unencumbered", "domain"),
+    ),
+    Template("BSD-3-Clause", _REDISTRIBUTION + _NO_ENDORSEMENT + _BSD_DISCLAIMER, ("redistributions", "endorse")),
+    Template("BSD-2-Clause", _REDISTRIBUTION + _BSD_DISCLAIMER, ("redistributions", "disclaimer"), ("endorse",)),
+    Template("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0.", ("mozilla", "2.0")),
+    Template(
+        "MPL-2.0",
+        "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that "
+        "creates, contributes to the creation of, or owns Covered Software.",
+        ("mozilla", "2.0", "contributor"),
+    ),
+    Template(
+        "Apache-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, "
+        "REPRODUCTION, AND DISTRIBUTION",
+        ("apache", "2.0", "2004", "reproduction"),
+    ),
+    *[Template(of, f"SPDX-License-Identifier: {name}", ("spdx-license-identifier", name.lower())) for name, of in _SPDX_NAMES],
 )
 
 
@@ -135,17 +242,17 @@ def notices(text: str, templates: tuple[Template, ...] = TEMPLATES, coverage: fl
     stays (of equals the better covered, then the first template).
     """
     found = list(WORD.finditer(text.lower())) if len(text.lower()) == len(text) else list(WORD.finditer(text))
-    words = [w.group().lower() for w in found]
+    words = [canonical(w.group().lower()) for w in found]
     here: dict[str, list[int]] = {}
-    asked = {w for t in templates for w in t.needed}
+    asked = {w for t in templates for w in t.needed_words}
     for k, w in enumerate(words):
         if w in asked:
             here.setdefault(w, []).append(k)
     hits = []
     for number, t in enumerate(templates):
-        if any(w not in here for w in t.needed):
+        if any(w not in here for w in t.needed_words):
             continue
-        rare = min(t.needed, key=lambda w: len(here[w]))
+        rare = min(t.needed_words, key=lambda w: len(here[w]))
         size, slack = len(t.words), max(2, len(t.words) // 4)
         offsets = [k for k, w in enumerate(t.words) if w == rare]
         last = None
@@ -156,8 +263,12 @@ def notices(text: str, templates: tuple[Template, ...] = TEMPLATES, coverage: fl
             low, high = max(0, start - slack), min(len(words), start + size + slack + slack // 2)
             pairs = aligned(words[low:high], t.words)
             got = {t.words[b] for _, b in pairs}
-            if pairs and len(pairs) >= coverage * size and got.issuperset(t.needed):
+            if pairs and len(pairs) >= coverage * size and got.issuperset(t.needed_words):
                 a, b = low + pairs[0][0], low + pairs[-1][0]
+                between = set(words[a : b + 1])
+                across = b - a >= size if TAG in t.needed else size < SHORT and TAG in between
+                if across or not between.isdisjoint(t.barred):
+                    continue
                 hits.append((-len(pairs), -len(pairs) / size, number, a, b))
     out, taken = [], []
     for matched, covered, number, a, b in sorted(hits):
