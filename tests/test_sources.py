@@ -53,6 +53,14 @@ def test_hidden_names_are_not_listed(spark, tmp_path):
     assert [r.name for r in readers.list_files(spark, str(tmp_path)).collect()] == ["a/x.csv"]
 
 
+def test_hidden_names_are_counted(spark, tmp_path):
+    for name in ("a/x.csv", "a/_SUCCESS", "_tmp/y.csv", "_tmp/b/z.csv", ".w/v.csv", "_k=1/x.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("1")
+    for root in (str(tmp_path), f"file://{tmp_path}/", f"file:{tmp_path}"):
+        assert readers.count_hidden(spark, root) == 4 and readers.list_files(spark, root).count() == 2
+
+
 def test_corpus_is_one_row_per_file(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.yml").write_text("x:\n  y: 1\n")
