@@ -163,3 +163,18 @@ def test_place_follows_the_sums_of_squares():
         assert o == 20 - bins[b] and bins[b] >= s
         bins[b] -= s
         assert cost(bins) == min(options)
+
+
+def test_copies_of_a_row_spread_over_blocks(spark, tmp_path):
+    from twinrun.llm.blocks import in_blocks
+    from twinrun.llm.counts import file_place, op8_token_counts
+
+    rows = [(7, "one row many times " * 5)] * 600 + [(None, "no id " * 9)] * 300 + [(k, f"text {k}") for k in range(300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    blocks, n = in_blocks(docs, "text", block_bytes=4000, place=file_place())
+    per_block = [r["count"] for r in blocks.groupBy("block").count().collect()]
+    assert n > 10 and blocks.columns == ["doc_id", "text", "block"] and max(per_block) < 3 * len(rows) / n
+    got = op8_token_counts(spark, str(tmp_path)).groupBy("doc_id").count().collect()
+    want = {7: 601, None: 300} | {k: 1 for k in range(300) if k != 7}
+    assert {r.doc_id: r["count"] for r in got} == want

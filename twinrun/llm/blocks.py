@@ -25,17 +25,19 @@ ASK = "bucket int, block int, payload binary"
 ANSWER = "block int, bucket int, kind int, payload binary"
 
 
-def in_blocks(docs: DataFrame, text: str, *more: Column, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def in_blocks(docs: DataFrame, text: str, *more: Column, block_bytes: int = BLOCK_BYTES, place: Column | None = None) -> tuple[DataFrame, int]:
     """``doc_id, text, block`` and further columns, dealt by block, and the number of blocks.
 
-    The block is a hash of doc_id and text, so rows without an id spread as well.
+    The block is a hash of doc_id and text, so rows without an id spread as well. Full copies of a row share a block,
+    unless ``place`` tells them apart: a value that a row has again whenever it is read again.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    chosen = docs.select(F.col("doc_id").alias("doc_id"), body.alias("text"), *more)
-    block = F.pmod(row_key(F.col("doc_id"), F.col("text"))[0], F.lit(n)).cast("int")
-    return chosen.withColumn("block", block).repartition(shuffle_partitions(docs.sparkSession), "block"), n
+    salt = [] if place is None else [F.col("place")]
+    chosen = docs.select(F.col("doc_id").alias("doc_id"), body.alias("text"), *more, *[] if place is None else [place.alias("place")])
+    block = F.pmod(row_key(F.col("doc_id"), F.col("text"), *salt)[0], F.lit(n)).cast("int")
+    return chosen.withColumn("block", block).drop("place").repartition(shuffle_partitions(docs.sparkSession), "block"), n
 
 
 def asked(blocks: DataFrame, keys_of: Callable[[pa.Table], list[tuple[int, bytes]]]) -> DataFrame:

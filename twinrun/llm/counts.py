@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -119,16 +119,22 @@ class _Block:
         return out
 
 
-def token_counts(docs: DataFrame, path: str, text: str = "text", block_bytes: int = COUNT_BLOCK_BYTES) -> DataFrame:
+def file_place() -> Column:
+    """File and number of a row that is read from a Parquet file."""
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
+
+
+def token_counts(docs: DataFrame, path: str, text: str = "text", block_bytes: int = COUNT_BLOCK_BYTES, place: Column | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` (long) of whole texts, one row for each row of the input.
 
     Blocks of documents send each distinct pre-token once to its bucket, the bucket counts the pieces of each distinct
     pre-token once, and the blocks sum the counts over their texts. NULL and empty texts have 0 bytes and tokens;
     repeated rows are counted each; other columns are left out. Special strings count as the library takes them.
+    ``place`` tells full copies of a row apart, so that they spread over the blocks (``file_place`` for a table in files).
     """
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(WordVocabulary(Path(path).read_text()))
-    dealt, n = in_blocks(docs, text, block_bytes=block_bytes)
+    dealt, n = in_blocks(docs, text, block_bytes=block_bytes, place=place)
     id_type = dealt.schema["doc_id"].dataType.simpleString()
 
     def keys_of(rows: pa.Table) -> list[tuple[int, bytes]]:
@@ -156,5 +162,5 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", block_bytes: in
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
-    counted = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary))
+    counted = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary), place=file_place())
     return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT)
