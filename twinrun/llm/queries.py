@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinrun.llm import bpe, counts, licenses, lines, ngrams, packing, quality, substrings, vectors, warc
+from twinrun.llm import bpe, counts, licenses, lines, merkle, ngrams, packing, quality, substrings, vectors, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": counts.op8_token_counts,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op3_line_dedup": lines.SQL,
     "op5_quality_rules": quality.SQL,
     "op7_substring_dedup": substrings.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
