@@ -44,7 +44,7 @@ def test_measures_of_any_text(texts):
 
 def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
     """With one hash for all words, the bytes decide."""
-    monkeypatch.setattr(transducer._Words, "_hashes", lambda self: np.zeros(len(self.starts), np.uint64))
+    monkeypatch.setattr(transducer.Words, "_hashes", lambda self: np.zeros(len(self.starts), np.uint64))
     r = random.Random(5)
     texts = [" ".join(r.choice(["a", "b", "aa", "long" * 30, "long" * 30 + "x", "é"]) for _ in range(40)) for _ in range(5)]
     assert all_measured(texts) == [plainly(t) for t in texts]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinrun.llm import audit, bpe, counts, licenses, lines, merkle, ngrams, packing, quality, substrings, vectors, warc
+from twinrun.llm import audit, bpe, counts, licenses, lines, merkle, ngrams, packing, quality, substrings, toxicity, vectors, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_filter_audit": audit.op13_filter_audit,
 }
 

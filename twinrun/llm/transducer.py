@@ -58,9 +58,9 @@ def _by_text(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(places, offsets))
 
 
-def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = CLASS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What each byte emits, and starts and ends of the words. A text begins between words and ends its last word."""
-    classes = CLASS[data]
+    classes = table[data]
     after = NEXT[classes]
     state = np.empty(len(data), np.uint8)
     state[1:] = after[:-1]
@@ -73,7 +73,7 @@ def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return emitted, starts, np.sort(np.concatenate([np.flatnonzero(emitted & ENDS), open_ends]))
 
 
-class _Words:
+class Words:
     """The words of a slice of texts, and a hash table of the distinct ones of each text."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray):
@@ -150,14 +150,14 @@ def measured(texts: pa.Array) -> list[np.ndarray]:
         return [np.zeros(n, np.int64) for _ in MEASURES]
     data = np.frombuffer(content, np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    emitted, starts, ends = _spans(data, offsets)
+    emitted, starts, ends = spans(data, offsets)
     found = {bit: _by_text(np.flatnonzero(emitted & bit), offsets) for bit in (IS_CAPITAL, IS_SYMBOL, FOLLOWS)}
     words = _by_text(starts, offsets)
-    distinct = _Words(data, starts, ends, np.repeat(np.arange(n), words)).distinct(n)
+    distinct = Words(data, starts, ends, np.repeat(np.arange(n), words)).distinct(n)
     return [words, distinct, found[IS_CAPITAL], np.diff(offsets) - found[FOLLOWS], found[IS_SYMBOL]]
 
 
-def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(texts):
@@ -179,7 +179,7 @@ def measures(docs: DataFrame, text: str, *others: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for part in _slices(batch[text].cast(pa.large_string())):
+            for part in slices(batch[text].cast(pa.large_string())):
                 rest = [batch[c].slice(done, len(part)) for c in names]
                 done += len(part)
                 yield pa.record_batch([*rest, *map(pa.array, measured(part))], names=[*names, *MEASURES])
