@@ -319,10 +319,9 @@ def broken_leaf(spark, sf):
 
 @query
 def each_run_report(spark, sf):
-    """A plan per run: one run without outputs, one that fails, one that differs, and equal ones."""
+    """A plan per run, several batches at a time: one run without outputs, one that fails, one that differs, and equal ones."""
     events = src.event_runs(spark, sf)
-    listed = events.groupBy("run_id").agg(F.to_date(F.min("ts")).alias("run_date"), F.lit("/raw").alias("raw_path"))
-    runs = listed.where("run_date < DATE'2024-01-06'")
+    runs = events.groupBy("run_id").agg(F.to_date(F.min("ts")).alias("run_date"), F.lit("/raw").alias("raw_path"))
 
     def read(_, run):
         return {"events": events.where(F.col("run_id") == run.run_id).select("user_id", "event_type")}
@@ -337,7 +336,7 @@ def each_run_report(spark, sf):
         return {k: df.where("user_id % 50 <> 7") for k, df in out.items()} if run.run_id.endswith("03") else out
 
     folder = f"{scratch_dir(spark) or tempfile.mkdtemp()}/each-run-{uuid.uuid4()}"
-    found = compare.compare_each_run(spark, compare.Pipeline(read, old, new), runs, folder, batch_size=3)
+    found = compare.compare_each_run(spark, compare.Pipeline(read, old, new), runs, folder, batch_size=10, parallel=3)
     return flat(found, "run_id", "run_date", "raw_path")
 
 

@@ -376,7 +376,7 @@ SELECT run_id, {_verdict('$.users')} FROM counts UNION ALL SELECT run_id, {_verd
 UNION ALL SELECT run_id, '$.lost', 'ERROR', x, x, x, x, x, b, b, t,
   'Mismatch at $.lost: ValueError: column ''run_id'' must occur once in [''user_id'', ''event_type'']' FROM counts, none""",
     "each_run_report": f"""
-WITH a AS (SELECT {_RUN} AS run_id, user_id, event_type FROM events WHERE ts < DATE '2024-01-06'),
+WITH a AS (SELECT {_RUN} AS run_id, user_id, event_type FROM events),
 b AS (SELECT * FROM a WHERE NOT (user_id % 50 = 7 AND run_id LIKE '%03')), {_counts('run_id')},
 d AS (SELECT *, CAST(substr(run_id, 5) AS DATE) AS run_date, '/raw' AS raw_path FROM counts),
 none AS (SELECT CAST(NULL AS BIGINT) AS x, CAST(NULL AS BOOLEAN) AS b, CAST(NULL AS VARCHAR) AS t)

@@ -1,5 +1,6 @@
 import os
 import tempfile
+import threading
 import time
 
 import pytest
@@ -136,10 +137,10 @@ def pipeline():
     return Pipeline(read, left, right, {"factor": 2})
 
 
-@pytest.mark.parametrize("batch_size", [1, 4, 50])
-def test_each_run_isolates_failures(spark, batch_size):
+@pytest.mark.parametrize("batch_size, parallel", [(1, 1), (4, 1), (50, 1), (1, 3), (2, 4)])
+def test_each_run_isolates_failures(spark, batch_size, parallel):
     runs = runs_of(spark, "good", "bad", "boom", "early", "wide", "last")
-    out = compare.compare_each_run(spark, pipeline(), runs, fresh(), batch_size=batch_size)
+    out = compare.compare_each_run(spark, pipeline(), runs, fresh(), batch_size=batch_size, parallel=parallel)
     got = {r.run_id: r for r in out.collect()}
     assert {k: r.status for k, r in got.items()} == {
         "good": "PASS",
@@ -170,6 +171,84 @@ def test_no_runs_is_not_a_pass(spark):
         compare.compare_each_run(spark, pipeline(), runs_of(spark).limit(0), fresh(), fail_fast=True)
 
 
+def test_a_batch_written_twice_is_there_once(spark, monkeypatch):
+    """The outcome of a commit gets lost after the rows are written: the batch is split and written again."""
+    commit, lost = compare._commit, []
+
+    def unlucky(rows, path):
+        commit(rows, path)
+        if len(lost) < 2:
+            lost.append(path)
+            raise ConnectionError("no answer")
+
+    monkeypatch.setattr(compare, "_commit", unlucky)
+    path = fresh()
+    out = compare.compare_each_run(spark, pipeline(), runs_of(spark, "a", "b", "bad", "c"), path)
+    assert sorted((r.run_id, r.status) for r in out.collect()) == [("a", "PASS"), ("b", "PASS"), ("bad", "FAIL"), ("c", "PASS")]
+    assert len(lost) == 2
+    again = compare.compare_each_run(spark, pipeline(), runs_of(spark, "a", "d"), path, resume=True)
+    assert sorted(r.run_id for r in again.collect()) == ["a", "b", "bad", "c", "d"]
+
+
+def test_run_ids_come_back_as_they_were(spark):
+    """Ids that look like dates, numbers or paths stay text, in a report that is partitioned by run."""
+    ids = ["2024-01-05", "007", "a/b=c", "x y%", "null", "__HIVE_DEFAULT_PARTITION__"]
+    path = fresh()
+    out = compare.compare_each_run(spark, pipeline(), runs_of(spark, *ids), path)
+    assert out.columns == ["run_id", "run_date", "raw_path", *[n for n, _ in compare.REPORT]]
+    assert sorted(r.run_id for r in out.collect()) == sorted(ids) == sorted(r.run_id for r in spark.read.parquet(path).collect())
+
+
+def test_batches_run_side_by_side(spark):
+    """Four batches that wait for each other: one after the other they would never end."""
+    meet = threading.Barrier(4, timeout=60)
+    pools = set()
+
+    def read(spark, run):
+        meet.wait()
+        pools.add(spark.sparkContext.getLocalProperty("spark.scheduler.pool"))
+        return {"in": spark.range(3)}
+
+    same = lambda inputs, run: inputs["in"]
+    out = compare.compare_each_run(spark, Pipeline(read, same, same), runs_of(spark, *"abcdefgh"), fresh(), batch_size=1, parallel=4)
+    assert sorted((r.run_id, r.status) for r in out.collect()) == [(k, "PASS") for k in "abcdefgh"]
+    assert pools == {f"twinrun-{n}" for n in range(4)} and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
+def test_fail_fast_begins_no_more_batches(spark):
+    path = fresh()
+    ids = ["bad", *[f"r{n}" for n in range(8)]]
+    with pytest.raises(AssertionError, match="bad"):
+        compare.compare_each_run(spark, pipeline(), runs_of(spark, *ids), path, batch_size=1, fail_fast=True, parallel=2)
+    written = {r.run_id for r in compare.read_report(spark, path).collect()}
+    assert "bad" in written and len(written) < len(ids)
+
+
+def test_timeout_reaches_all_threads(spark):
+    def slow(inputs, run):
+        return spark.range(200, numPartitions=1).select(F.expr("java_method('java.lang.Thread', 'sleep', 300L)").alias("x"))
+
+    start = time.time()
+    found = compare.compare_each_run(
+        spark, Pipeline(lambda s, r: {}, slow, slow), runs_of(spark, *"abcde"), fresh(), timeout_minutes=0.05, batch_size=1, parallel=2
+    )
+    assert {(r.run_id, r.status, r.error) for r in found.collect()} == {(k, "ERROR", compare.OUT_OF_TIME) for k in "abcde"}
+    assert time.time() - start < 40
+
+
+def test_plain_leaves_of_any_kind(spark):
+    import numpy as np
+
+    class Odd:
+        def __eq__(self, other):
+            raise TypeError("cannot compare")
+
+    left = {"a": np.arange(3), "b": np.arange(3), "c": Odd(), "d": 1}
+    right = {"a": np.arange(3), "b": np.arange(3) + 1, "c": Odd(), "d": 1}
+    got = {r.path: r.status for r in compare.compare_outputs(spark, left, right).collect()}
+    assert got == {"$.a": "PASS", "$.b": "FAIL", "$.c": "ERROR", "$.d": "PASS"}
+
+
 def test_timeout_cancels_the_jobs(spark):
     def slow(inputs, run):
         return spark.range(200, numPartitions=1).select(F.expr("java_method('java.lang.Thread', 'sleep', 300L)").alias("x"))

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import islice
+from queue import SimpleQueue
 from threading import Event, Timer
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -145,10 +149,13 @@ def _plain(spark: SparkSession, pair: Pair, runs: DataFrame | None) -> DataFrame
     """Leaves that are plain values on both sides, or absent from one. They hold for every run."""
     if pair.left is MISSING_LEAF or pair.right is MISSING_LEAF:
         status, error = MISSING, f"Mismatch at {pair.path}: left={pair.left!r}, right={pair.right!r}"
-    elif pair.left == pair.right:
-        status, error = PASS, None
     else:
-        status, error = FAIL, f"Mismatch at {pair.path}: value left={pair.left!r}, right={pair.right!r}"
+        try:
+            same = pair.left == pair.right
+            status = PASS if (same if isinstance(same, bool) else bool(np.all(same))) else FAIL
+            error = None if status == PASS else f"Mismatch at {pair.path}: value left={pair.left!r}, right={pair.right!r}"
+        except Exception as problem:  # noqa: BLE001 - values of other libraries compare as they like; other leaves go on
+            status, error = ERROR, f"Mismatch at {pair.path}: {type(problem).__name__}: {problem}"
     rows = spark.range(1, numPartitions=1).drop("id") if runs is None else runs
     return rows.withColumns({"path": F.lit(pair.path), "status": F.lit(status), "error": F.lit(error)})
 
@@ -343,45 +350,115 @@ def compare_each_run(
     check_metadata: bool = False,
     keyed: bool = False,
     resume: bool = False,
+    parallel: int = 1,
 ) -> DataFrame:
     """For pipelines whose data does not carry a run id: a plan per run, ``batch_size`` runs to a job.
 
-    Equal leaves of a batch share one grouped comparison. Each batch is appended to the report table at ``report_path``
-    (which must not exist yet, unless ``resume`` asks for the runs that have no rows there). Every run gets at least one
-    row. A run whose plan cannot be built gets an ERROR row at once; a job that fails is split, with the plans it has,
-    until the run at fault is alone. Inputs that were fixed are removed when their batch is done. With
-    ``timeout_minutes`` running jobs are then cancelled, and the runs not compared get ERROR rows that say so.
-    ``fail_fast`` raises after the first batch with a run that does not pass, once its rows are written; so does an
-    empty list of runs, which proves nothing.
+    Equal leaves of a batch share one grouped comparison. The report at ``report_path`` (which must not exist yet, unless
+    ``resume`` asks for the runs that have no rows there) has one partition for each run, and a batch replaces those of
+    its runs: written twice, each row is there once. Every run gets at least one row. A run whose plan cannot be built
+    gets an ERROR row at once; a job that fails is split, with the plans it has, until the run at fault is alone. Inputs
+    that were fixed are removed when their batch is done.
+
+    ``parallel`` batches are under way at a time, each in a thread and a scheduler pool of its own (pools share the
+    cluster evenly where ``spark.scheduler.mode`` is FAIR, as in ``get_session``); the pipeline's functions have to bear
+    being called from several threads then. Only so many runs are on the driver at a time.
+
+    With ``timeout_minutes`` running jobs are then cancelled, and the runs not compared get ERROR rows that say so.
+    ``fail_fast`` raises after the first batch with a run that does not pass, once its rows and those of batches that
+    were under way are written; so does an empty list of runs, which proves nothing.
     """
     there = _is_table(spark, report_path)
     if there and not resume:
         raise ValueError(f"there is a report at {report_path} already")
     asked = runs.select("run_id", "run_date", "raw_path")
     if there:
-        done = spark.read.parquet(report_path).where(F.col("status") != NO_RUNS).select("run_id").distinct()
+        done = read_report(spark, report_path).where(F.col("status") != NO_RUNS).select("run_id").distinct()
         asked = asked.join(done, "run_id", "left_anti")
     listed, seen = asked.toLocalIterator(), there
+
+    def compare(batch: Sequence[Row], expired: Event) -> Row | None:
+        if expired.is_set():
+            _commit(_error_rows(spark, batch, ERROR, OUT_OF_TIME), report_path)
+        else:
+            _compare_batch(spark, pipeline, batch, report_path, (check_metadata, keyed), expired)
+        if not fail_fast:
+            return None
+        report = read_report(spark, report_path).where(F.col("run_id").isin([r.run_id for r in batch]))
+        return report.where(F.col("status") != PASS).orderBy("run_id", "path").first()
+
     with deadline(spark, timeout_minutes) as expired:
-        while batch := list(islice(listed, batch_size)):
-            if expired.is_set():
-                _error_rows(spark, batch, ERROR, OUT_OF_TIME).write.mode("append").parquet(report_path)
-            else:
-                _compare_batch(spark, pipeline, batch, report_path, (check_metadata, keyed), expired)
+        for bad in _side_by_side(spark, compare, iter(lambda: list(islice(listed, batch_size)), []), parallel, expired):
             seen = True
-            if fail_fast:
-                ids = [r.run_id for r in batch]
-                report = spark.read.parquet(report_path).where(F.col("run_id").isin(ids))
-                bad = report.where(F.col("status") != PASS).orderBy("run_id", "path").first()
-                if bad is not None:
-                    raise AssertionError(f"{bad.run_id}: {bad.error}")
+            if bad is not None:
+                raise AssertionError(f"{bad.run_id}: {bad.error}")
     if not seen:
-        _error_rows(spark, [Row(run_id=None, run_date=None, raw_path=None)], NO_RUNS, "no runs to compare").write.parquet(
-            report_path
-        )
+        _commit(_error_rows(spark, [Row(run_id=None, run_date=None, raw_path=None)], NO_RUNS, "no runs to compare"), report_path)
         if fail_fast:
             raise AssertionError("no runs to compare")
-    return spark.read.parquet(report_path)
+    return read_report(spark, report_path)
+
+
+def _side_by_side(
+    spark: SparkSession,
+    work: Callable[[Sequence[Row], Event], Row | None],
+    batches: Iterator[Sequence[Row]],
+    parallel: int,
+    expired: Event,
+) -> Iterator[Row | None]:
+    """What ``work`` returns for each batch, ``parallel`` of them at a time; batches are drawn as threads become free.
+
+    Threads carry the tags and properties of this one, so a deadline reaches their jobs. When the caller stops or work
+    raises, batches under way are finished, and no others are begun.
+    """
+    if parallel <= 1:
+        for batch in batches:
+            yield work(batch, expired)
+        return
+    context = spark.sparkContext
+    free: SimpleQueue[int] = SimpleQueue()
+    for lane in range(parallel):
+        free.put(lane)
+
+    def in_pool(batch: Sequence[Row]) -> Row | None:
+        lane = free.get()
+        try:
+            context.setLocalProperty("spark.scheduler.pool", f"twinrun-{lane}")
+            return work(batch, expired)
+        finally:
+            free.put(lane)
+
+    def begun(n: int) -> set[Future]:
+        # Wrapped anew for each batch: the copy of the properties is the thread's own, so its pool is too.
+        return {threads.submit(inheritable_thread_target(spark)(in_pool), batch) for batch in islice(batches, n)}
+
+    with ThreadPoolExecutor(parallel) as threads:
+        waiting = begun(parallel)
+        while waiting:
+            done, waiting = wait(waiting, return_when=FIRST_COMPLETED)
+            for future in done:
+                yield future.result()
+            waiting |= begun(len(done))
+
+
+# A report in files has one more column, by which it is partitioned; it is text for every run id, also for none.
+_PARTITION = "run"
+_STORED = "run_id string, run_date date, raw_path string, " + ", ".join(f"{n} {k}" for n, k in REPORT)
+
+
+def _commit(rows: DataFrame, report_path: str) -> None:
+    """Write report rows in place of all that is stored of their runs; other runs stay as they are.
+
+    The rows of a run must come in one commit. A commit that is repeated, because its outcome was lost, changes nothing.
+    """
+    keyed = rows.withColumn(_PARTITION, F.concat(F.lit("run-"), F.coalesce("run_id", F.lit(""))))
+    writer = keyed.repartition(_PARTITION).write.partitionBy(_PARTITION).mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(report_path)
+
+
+def read_report(spark: SparkSession, report_path: str) -> DataFrame:
+    """The report that ``compare_each_run`` leaves."""
+    return spark.read.schema(_STORED).parquet(report_path).drop(_PARTITION)
 
 
 def _is_table(spark: SparkSession, path: str) -> bool:
@@ -423,7 +500,7 @@ def _compare_batch(
                 planned.append((run, pair_leaves(*pipeline.outputs(spark, run, written))))
             except Exception as problem:  # noqa: BLE001 - whatever a pipeline raises belongs into the report
                 text = OUT_OF_TIME if expired.is_set() else _reason(problem)
-                _error_rows(spark, [run], ERROR, text).write.mode("append").parquet(report_path)
+                _commit(_error_rows(spark, [run], ERROR, text), report_path)
         if planned:
             _write_planned(spark, planned, report_path, settings, expired)
     finally:
@@ -440,16 +517,16 @@ def _write_planned(
 ) -> None:
     runs = [run for run, _ in planned]
     try:
-        _batch_report(spark, planned, *settings).write.mode("append").parquet(report_path)
+        _commit(_batch_report(spark, planned, *settings), report_path)
     except Exception as problem:  # noqa: BLE001
         if expired.is_set():
-            _error_rows(spark, runs, ERROR, OUT_OF_TIME).write.mode("append").parquet(report_path)
+            _commit(_error_rows(spark, runs, ERROR, OUT_OF_TIME), report_path)
         elif len(planned) > 1:
             half = len(planned) // 2
             _write_planned(spark, planned[:half], report_path, settings, expired)
             _write_planned(spark, planned[half:], report_path, settings, expired)
         else:
-            _error_rows(spark, runs, ERROR, _reason(problem)).write.mode("append").parquet(report_path)
+            _commit(_error_rows(spark, runs, ERROR, _reason(problem)), report_path)
 
 
 def _batch_report(

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE splits hot join keys and sizes the shuffle partitions at run time; broadcast joins happen only below
-# Spark's own size threshold, which is left at its default.
+# Spark's own size threshold, which is left at its default. Batches compared side by side share the cluster evenly.
 SETTINGS = {
+    "spark.scheduler.mode": "FAIR",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
