@@ -1,10 +1,12 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from twinrun.operators.diff import diff_counts
 from twinrun.plans.context import assemble_context
-from twinrun.sources import readers, sinks
+from twinrun.sources import files, readers, sinks
 
 TESTDATA = "/root/testdata/sf0.001"
 
@@ -21,16 +23,42 @@ def test_read_named(spark):
     assert readers.read_named(spark, "some_table").count() == 3
 
 
-def test_list_files_gives_names_below_the_root(spark, tmp_path):
-    for name in ("feed/run_id=a-2024-01-01/x.csv", "feed/y z.csv"):
-        target = tmp_path / "root" / name
+def _touch(root, *names):
+    for name in names:
+        target = root / name
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_text("1")
+
+
+def test_list_files_gives_names_below_the_root(spark, tmp_path):
+    held = ["feed/run_id=a-2024-01-01/x.csv", "feed/y z.csv", "top.txt", "a/x.csv", "a/_SUCCESS", "_tmp/y.csv", "_tmp/b/c/d/z.csv", ".w/.v", "_k=1/x.csv"]
+    _touch(tmp_path / "root", *held)
+    (tmp_path / "root" / "empty").mkdir()
     for root in (str(tmp_path / "root"), f"file://{tmp_path}/root/", f"file:{tmp_path}/root"):
-        got = sorted(r.name for r in readers.list_files(spark, root).collect())
-        assert got == ["feed/run_id=a-2024-01-01/x.csv", "feed/y z.csv"]
-    plan = readers.list_files(spark, str(tmp_path / "root"))._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<path:string>" in plan
+        for folders in (1, 3, 64):
+            rows = files.list_files(spark, root, folders).collect()
+            assert sorted(r.name for r in rows) == sorted(held)
+            assert all(r.size == 1 and r.modified for r in rows)
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    """The plan opens the first levels alone; each folder is a partition, and those below go with theirs."""
+    _touch(tmp_path, *[f"d{n}/e{m}/f/x" for n in range(5) for m in range(3)])
+    reader = files.FolderReader(str(tmp_path), 6)
+    assert sorted((len(p.path) - len(str(tmp_path)), p.deep) for p in reader.partitions()) == [(0, False)] + [(3, True)] * 5
+    assert sorted(p.deep for p in files.FolderReader(str(tmp_path), 100).partitions()) == [False] * (1 + 5 + 15 + 15)
+    listed = files.list_files(spark, str(tmp_path), 6)
+    assert listed.select(F.spark_partition_id()).distinct().count() == 5 and listed.count() == 15
+
+
+def test_folders_that_cannot_be_listed(spark, tmp_path):
+    with pytest.raises(ValueError, match="absolute"):
+        files.list_files(spark, "relative/folder")
+    with pytest.raises(ValueError, match="read_listing"):
+        files.list_files(spark, "viewfs://store/x")
+    with pytest.raises(Exception, match="there is no folder"):
+        files.list_files(spark, str(tmp_path / "none")).collect()
+    assert files.list_files(spark, str(tmp_path)).collect() == []
 
 
 def test_saved_listing(spark, tmp_path):
@@ -45,28 +73,46 @@ def test_saved_listing_by_line_holds_every_name(spark, tmp_path):
     assert [r.name for r in readers.read_listing(spark, str(tmp_path / "l.json")).collect()] == held
 
 
-def test_hidden_names_are_not_listed(spark, tmp_path):
-    """What Spark's readers do, and what the docstring says: such names need a saved inventory."""
-    for name in ("a/x.csv", "a/_SUCCESS", "_tmp/y.csv"):
-        (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).write_text("1")
-    assert [r.name for r in readers.list_files(spark, str(tmp_path)).collect()] == ["a/x.csv"]
-
-
-def test_hidden_names_are_counted(spark, tmp_path):
-    for name in ("a/x.csv", "a/_SUCCESS", "_tmp/y.csv", "_tmp/b/z.csv", ".w/v.csv", "_k=1/x.csv"):
-        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / name).write_text("1")
-    for root in (str(tmp_path), f"file://{tmp_path}/", f"file:{tmp_path}"):
-        assert readers.count_hidden(spark, root) == 4 and readers.list_files(spark, root).count() == 2
-
-
-def test_corpus_is_one_row_per_file(spark, tmp_path):
+def test_corpus_is_one_row_per_short_file(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.yml").write_text("x:\n  y: 1\n")
+    (tmp_path / "d" / "_hidden.yml").write_text("z: 1")
+    (tmp_path / "d" / "empty.yml").write_text("")
     (tmp_path / "b.txt").write_text("no")
-    rows = readers.read_corpus(spark, str(tmp_path), "*.yml").collect()
-    assert [r.content for r in rows] == ["x:\n  y: 1\n"] and rows[0].path.endswith("/d/a.yml")
+    rows = {r.path.rsplit("/", 2)[1:][1]: (r.range, r.lines, r.content) for r in files.read_corpus(spark, str(tmp_path), "*.yml").collect()}
+    assert rows == {"a.yml": (0, 2, "x:\n  y: 1\n"), "_hidden.yml": (0, 0, "z: 1"), "empty.yml": (0, 0, "")}
+
+
+@pytest.mark.parametrize("range_bytes", [1, 2, 7, 64, 1000, 1 << 20])
+def test_ranges_are_the_file(spark, tmp_path, range_bytes):
+    r = random.Random(range_bytes)
+    texts = {
+        "a": "".join("é" * r.randrange(40) + r.choice(["\n", "\n\n", "\r\n"]) for _ in range(60)),
+        "b": "one line without an end " * 30,
+        "c": "\n" * 50,
+        "d": "x" * 300_000 + "\n" + "y",
+        "e": "",
+    }
+    if range_bytes < 64:
+        texts.pop("d")
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    corpus = files.read_corpus(spark, str(tmp_path), range_bytes=range_bytes, tasks=3)
+    rows = corpus.orderBy("path", "range").collect()
+    assert {k: "".join(x.content for x in rows if x.path.endswith(f"/{k}")) for k in texts} == texts
+    assert all(x.content.endswith("\n") for x, y in zip(rows, rows[1:]) if x.path == y.path)  # whole lines only
+    assert all(len(x.content.split("\n")[0].encode()) + 1 >= 1 and (x.content or x.path.endswith("/e")) for x in rows)
+    number = {(x.path, x.range): x.first_line for x in files.first_lines(corpus).collect()}
+    done = {}
+    for x in rows:
+        assert number[x.path, x.range] == done.get(x.path, 0) + 1
+        done[x.path] = done.get(x.path, 0) + x.content.count("\n")
+    assert {x.path[-1]: x.content for x in files.whole_files(corpus).collect()} == texts
+
+
+def test_broken_bytes_are_marked(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"ok\n\xff\xfe x\n")
+    assert files.read_corpus(spark, str(tmp_path)).first().content == "ok\n\ufffd\ufffd x\n"
 
 
 def test_written_context_equals_the_assembled_document(spark, tmp_path):

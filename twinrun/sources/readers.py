@@ -1,9 +1,8 @@
-"""Sources: named tables, delimited files, storage listings and folders of definition files."""
+"""Sources: named tables, delimited files and saved listings. Folders of files are in ``files``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -24,39 +23,6 @@ def read_delimited(
     return reader.csv(path)
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``name`` of the files below a folder, relative to it. The content column is pruned: no file is opened.
-
-    Spark lists the folder itself, and its readers never see files below a name that begins with ``_`` or ``.`` (such as
-    ``_SUCCESS`` or ``_tmp/``): those are not listed. Where such names matter, and for very large stores, a saved
-    inventory is the source to use: ``read_listing`` takes every name that it holds. ``count_hidden`` says how many are
-    left out.
-    """
-    if not root.startswith("/") and ":" not in root:
-        raise ValueError(f"give the folder as an absolute path or URI, not {root!r}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    bare = root.split(":", 1)[-1].lstrip("/") if ":" in root else root.strip("/")
-    start = F.locate("/" + bare.rstrip("/") + "/", F.col("path")) + F.lit(len(bare.rstrip("/")) + 2)
-    return files.select(F.substr(F.col("path"), start).alias("name"))
-
-
-def _hidden(segment: str) -> bool:
-    """Names that Spark's readers pass over."""
-    shown = segment.startswith(("_common_metadata", "_metadata"))
-    return not shown and (segment.startswith(".") or segment.endswith("._COPYING_") or (segment.startswith("_") and "=" not in segment))
-
-
-def count_hidden(spark: SparkSession, root: str) -> int:
-    """How many files below a folder ``list_files`` and ``read_corpus`` leave out. The driver walks the folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    above = len(fs.getFileStatus(path).getPath().toUri().getPath().rstrip("/"))
-    files, hidden = fs.listFiles(path, True), 0
-    while files.hasNext():
-        hidden += any(map(_hidden, files.next().getPath().toUri().getPath()[above + 1 :].split("/")))
-    return hidden
-
-
 def read_listing(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A saved listing: objects of which only ``name`` is used.
 
@@ -64,10 +30,3 @@ def read_listing(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     task.
     """
     return spark.read.schema("name string").option("multiLine", multi_line).json(path)
-
-
-def read_corpus(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``path, content`` of the text files below a folder, one row per file; hidden names as in ``list_files``."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    files = reader.text(root, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
