@@ -25,6 +25,7 @@ from twinrun.functions import (
 from twinrun.operators import definitions, diff, schema, sections
 from twinrun.plans import compare, context, discovery, examples, report
 from twinrun.session import scratch_dir
+from twinrun.sources import files, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -335,11 +336,120 @@ def each_run_report(spark, sf):
         out = old(inputs, run)
         return {k: df.where("user_id % 50 <> 7") for k, df in out.items()} if run.run_id.endswith("03") else out
 
-    folder = f"{scratch_dir(spark) or tempfile.mkdtemp()}/each-run-{uuid.uuid4()}"
-    found = compare.compare_each_run(spark, compare.Pipeline(read, old, new), runs, folder, batch_size=10, parallel=3)
+    step = compare.Pipeline(read, old, new)
+    found = compare.compare_each_run(spark, step, runs, _folder(spark, "each-run"), batch_size=10, parallel=3)
     return flat(found, "run_id", "run_date", "raw_path")
 
 
+@query
+def bad_lines_report(spark, sf):
+    """Runs in delimited files, some lines of one run broken: that run has an error, and all are compared."""
+    events = src.event_runs(spark, sf)
+    folder = _folder(spark, "lines")
+    broken = F.col("run_id").endswith("05") & (F.col("event_id") % 10 == 3)
+    line = F.when(broken, F.concat(F.lit("?"), F.col("event_id"))).otherwise(F.concat_ws("|", "user_id", "event_type"))
+    events.select("run_id", line.alias("line")).repartition("run_id").write.partitionBy("run_id").text(folder)
+    runs = events.groupBy("run_id").agg(F.to_date(F.min("ts")).alias("run_date"), F.lit(None).cast("string").alias("raw_path"))
+
+    def read(spark, run):
+        at = f"{folder}/run_id={run.run_id}"
+        return {"events": readers.read_delimited(spark, at, "user_id bigint, event_type string", "|", header=False, keep_bad_lines=True)}
+
+    step = compare.Pipeline(read, lambda i, run: i["events"], lambda i, run: i["events"].where("user_id % 50 <> 7"))
+    return flat(compare.compare_each_run(spark, step, runs, _folder(spark, "each-run"), batch_size=10, parallel=3), "run_id", "run_date")
+
+
+@query
+def asserted(spark, sf):
+    """What the strict assertions say of an equal and an unequal pair and of two trees; the first line of each message."""
+    orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
+    left, right = _order_pair(spark, sf)
+
+    def said(check, *pair):
+        try:
+            check(*pair)
+        except AssertionError as found:
+            return str(found).splitlines()[0]
+        return "equal"
+
+    rows = [
+        ("same", said(compare.assert_equal, orders, orders.where("true"))),
+        ("rows", said(compare.assert_equal, left, right)),
+        ("schema", said(compare.assert_equal, customer, customer.drop("c_name"))),
+        ("tree", said(compare.assert_trees_equal, {"c": customer, "o": [left]}, {"c": customer, "o": [right]})),
+        ("same tree", said(compare.assert_trees_equal, {"c": customer, "o": [left]}, {"c": customer, "o": [left]})),
+    ]
+    return spark.createDataFrame(rows, "pair string, said string")
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+def _folder(spark, name):
+    """A new folder in the session's shared one; without that, and on one machine only, a temporary one."""
+    shared = scratch_dir(spark)
+    if shared is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return f"{(shared or tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid.uuid4()}"
+
+
+@query
+def named_table(spark, sf):
+    table(spark, sf, "orders").createOrReplaceTempView("twinrun_named_orders")
+    return readers.read_named(spark, "twinrun_named_orders").select("o_orderkey", "o_orderstatus")
+
+
+@query
+def delimited_round_trip(spark, sf):
+    """Documents without line ends as delimited text and back, compared with what they were."""
+    docs = table(spark, sf, "documents").select("doc_id", F.translate("text", "\n\r", "  ").alias("text"), "lang")
+    folder = _folder(spark, "delimited")
+    docs.write.option("sep", "|").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(folder)
+    return diff.diff_counts(docs, readers.read_delimited(spark, folder, docs.schema, "|", escape='"'), by=["lang"])
+
+
+@query
+def listed_files(spark, sf):
+    """Events written by run, and orders below a folder that begins with ``_``: the names of all files, hidden ones too."""
+    folder = _folder(spark, "store")
+    src.event_runs(spark, sf).repartition("run_id").write.partitionBy("run_id").parquet(f"{folder}/feed")
+    table(spark, sf, "orders").repartition(1).write.parquet(f"{folder}/_tmp/orders")
+    names = files.list_files(spark, folder).where("NOT name LIKE '%.crc'")  # checksums of local file systems
+    kind = F.regexp_replace("name", "part-[^/]*", "part")
+    return names.groupBy(kind.alias("name")).agg(F.count("*").alias("files"), F.min(F.col("size") >= 0).alias("sized"))
+
+
+@query
+def corpus_lines(spark, sf):
+    """All lines of the documents, written as text by language and read in ranges of 32 KB."""
+    folder = _folder(spark, "corpus")
+    table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").text(folder)
+    corpus = files.read_corpus(spark, folder, "part-*.txt", range_bytes=32 << 10)
+    lang = F.regexp_extract("path", "lang=([^/]*)/", 1)
+    line = F.explode(F.split(F.regexp_replace("content", "\n$", ""), "\n")).alias("line")
+    return corpus.select(lang.alias("lang"), line).groupBy("lang", "line").agg(F.count("*").alias("n"))
+
+
+@query
+def written_context(spark, sf):
+    """Context documents as text files, read back."""
+    parts = context.build_context(src.pipeline_config(spark, sf), src.wiki_pages(spark, sf), src.definition_files(spark, sf))
+    folder = _folder(spark, "context")
+    sinks.write_context(parts, folder)
+    return spark.read.text(folder, wholetext=True).select("pipeline", F.col("value").alias("document"))
+
+
+@query
+def written_report(spark, sf):
+    """The report stored and written as text: its lines, counted, as they stand in no order here."""
+    stored, text = _folder(spark, "report"), _folder(spark, "text")
+    sinks.write_report(_run_report(spark, sf), stored)
+    sinks.write_stored_report_text(spark, stored, text)
+    return spark.read.text(text).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 @query
 def empty_differences(spark, sf):
     """Whether a difference has any rows, for an equal and an unequal pair."""

@@ -328,7 +328,7 @@ head(section, pos, line) AS (
   UNION ALL SELECT 2, 0, '' UNION ALL SELECT 2, 1, repeat('=', 60)
   UNION ALL SELECT 2, 2, 'Passed: ' || passed || ' / ' || total FROM summary),
 blocks AS (
-  SELECT 1 AS section, run_date, run_id, path, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]) AS pos,
+  SELECT 1 AS section, run_date, run_id, path, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14]) AS pos,
     unnest([repeat('-', 60), 'run_id:     ' || run_id, 'run_date:   ' || run_date,
       'raw_data:   ' || coalesce(raw_path, '-'), 'path:       ' || path, 'status:     ' || status,
       'row counts (legacy | refactored): ' || path || ': ' || left_count || ' | ' || right_count,
@@ -336,7 +336,11 @@ blocks AS (
       || ', total differing rows: ' || differing_rows,
       '  details: left_count=' || left_count || ', right_count=' || right_count || ', only_in_left=' || only_in_left
       || ', only_in_right=' || only_in_right,
-      'schema match: ' || schema_match, 'error: ' || error]) AS line
+      'schema match: ' || schema_match, 'schema (legacy | refactored):',
+      '  ' || rpad('run_id: string (nullable=True)', 52, ' ') || ' | run_id: string (nullable=True)',
+      '  ' || rpad('user_id: bigint (nullable=True)', 52, ' ') || ' | user_id: bigint (nullable=True)',
+      '  ' || rpad('event_type: string (nullable=True)', 52, ' ') || ' | event_type: string (nullable=True)',
+      'error: ' || error]) AS line
   FROM report)
 SELECT section, CAST(NULL AS DATE) AS run_date, NULL AS run_id, NULL AS path, pos, line FROM head
 UNION ALL SELECT * FROM blocks WHERE line IS NOT NULL""",
@@ -384,6 +388,35 @@ SELECT run_id, run_date, raw_path, {_verdict('$.users')} FROM d WHERE right(run_
 UNION ALL SELECT run_id, run_date, raw_path, '$', 'PASS', x, x, x, x, x, b, b, t, t FROM d, none WHERE right(run_id, 2) = '01'
 UNION ALL SELECT run_id, run_date, raw_path, '$', 'ERROR', x, x, x, x, x, b, b, t, 'ValueError: no such version'
 FROM d, none WHERE right(run_id, 2) = '02'""",
+    "bad_lines_report": f"""
+WITH lines AS (SELECT {_RUN} AS run_id, event_id, user_id, event_type FROM events),
+bad AS (SELECT run_id, '?' || event_id AS line FROM lines WHERE run_id LIKE '%05' AND event_id % 10 = 3),
+a AS (SELECT run_id, user_id, event_type FROM lines WHERE NOT (run_id LIKE '%05' AND event_id % 10 = 3)),
+b AS (SELECT * FROM a WHERE user_id % 50 <> 7), {_counts('run_id')},
+none AS (SELECT CAST(NULL AS BIGINT) AS x, CAST(NULL AS BOOLEAN) AS b, CAST(NULL AS VARCHAR) AS t)
+SELECT run_id, CAST(substr(run_id, 5) AS DATE) AS run_date, {_verdict('$')} FROM counts
+UNION ALL
+SELECT run_id, CAST(substr(run_id, 5) AS DATE), 'inputs.events', 'ERROR', any_value(x), any_value(x), any_value(x), any_value(x),
+  any_value(x), any_value(b), any_value(b), any_value(t),
+  'inputs.events: ' || count(*) || ' lines cannot be read, such as: ' || min(line)
+FROM bad, none GROUP BY run_id""",
+    "asserted": f"""
+WITH {_ORDERS}, n AS (SELECT {_counts()}),
+m AS (SELECT 'left has ' || left_count || ' rows, right ' || right_count || '; only in left: ' || only_in_left
+        || ', only in right: ' || only_in_right AS said FROM n)
+SELECT 'same' AS pair, 'equal' AS said UNION ALL SELECT 'same tree', 'equal' UNION ALL SELECT 'rows', said FROM m
+UNION ALL SELECT 'schema', 'schema differs: column ''c_name'' only in legacy'
+UNION ALL SELECT 'tree', 'Mismatch at $.o[0]: ' || said FROM m""",
+    "named_table": "SELECT o_orderkey, o_orderstatus FROM orders",
+    "delimited_round_trip": """
+SELECT lang, count(*) AS left_count, count(*) AS right_count, CAST(0 AS BIGINT) AS only_in_left, CAST(0 AS BIGINT) AS only_in_right
+FROM documents GROUP BY lang""",
+    "listed_files": f"""
+SELECT 'feed/run_id=' || run_id || '/part' AS name, CAST(1 AS BIGINT) AS files, true AS sized
+FROM (SELECT DISTINCT {_RUN} AS run_id FROM events)
+UNION ALL SELECT unnest(['feed/_SUCCESS', '_tmp/orders/_SUCCESS', '_tmp/orders/part']), 1, true""",
+    "corpus_lines": """
+SELECT lang, line, count(*) AS n FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY ALL""",
     "schema_rows": f"WITH {_schema_values()}, {_LEAF_ROWS} SELECT * FROM fields JOIN leaf_rows USING (path)",
     "schema_diff": f"""
 WITH found(path, pos, kind, name, difference) AS (VALUES
@@ -515,3 +548,6 @@ SELECT name AS pipeline,
   || '## ghost_feed' || chr(10) || chr(10) || '(No definition found.)' || chr(10) || chr(10) AS document
 FROM page JOIN defs d ON d.key = 'part_' || (k % 50) || '_feed'""",
 }
+
+SQL["written_context"] = SQL["assemble_context"]
+SQL["written_report"] = f"SELECT line, count(*) AS n FROM ({SQL['report_text']}) GROUP BY line"

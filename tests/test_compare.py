@@ -376,13 +376,48 @@ def test_inputs_are_fixed_once_and_removed(spark, monkeypatch):
 
 
 def test_schema_lines_in_the_text_report(spark):
-    from twinrun.operators import schema
-
-    left, right = {"t": spark.sql("SELECT 'a' AS run_id, 1 AS x")}, {"t": spark.sql("SELECT 'a' AS run_id, 2L AS x")}
+    """Columns of both sides, also of leaves on one side; totals come with the write and are not worked out again."""
+    left = {"t": spark.sql("SELECT 'a' AS run_id, 1 AS x"), "only": spark.sql("SELECT 'a' AS run_id, 1 AS y")}
+    right = {"t": spark.sql("SELECT 'a' AS run_id, 2L AS x")}
     table, text = fresh(), fresh()
-    sinks.write_report(compare.compare_runs(spark, left, right).withColumns({"run_date": F.lit(None).cast("date")}), table)
-    both = schema.match_by_position(schema.schema_rows(spark, left), schema.schema_rows(spark, right))
-    sinks.write_report_text(spark.read.parquet(table), text, schemas=both)
+    found = compare.compare_runs(spark, left, right).withColumns({"run_date": F.lit(None).cast("date")})
+    assert sinks.write_report(found, table) == {"total": 1, "passed": 0}
+    sinks.write_stored_report_text(spark, table, text)
     lines = [r.value for r in spark.read.text(text).collect()]
-    at = [k for k, x in enumerate(lines) if " | " in x and x.startswith("  run_id") or x.startswith("  x")]
-    assert len(at) == 2 and at[0] > lines.index("path:       $.t") and lines[-1] == "Passed: 0 / 1"
+    pair = "  " + "x: int (nullable=False)".ljust(52) + " | x: bigint (nullable=False)"
+    alone = "  " + "y: int (nullable=False)".ljust(52) + " | (missing)"
+    assert pair in lines and alone in lines and lines.index(pair) > lines.index("path:       $.t")
+    assert lines[2] == "run_ids: 1" and lines[-1] == "Passed: 0 / 1"
+    assert spark.read.parquet(table).columns == found.columns
+    saved = spark.read.parquet(table)
+    plan = report.report_lines(saved, spark.read.parquet(f"{table}/{sinks.TOTALS}"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schema_columns#") > 0 and plan.count("Relation") == 3  # the report once, the totals for head and foot
+
+
+def test_totals_are_counted_while_writing(spark):
+    runs = runs_of(spark, "good", "bad", "wide", "last")
+    out = compare.compare_each_run(spark, pipeline(), runs, fresh())
+    assert sinks.write_report(out, fresh()) == {"total": 4, "passed": 2}
+    none = compare.compare_each_run(spark, pipeline(), runs.limit(0), fresh())
+    assert sinks.write_report(none, fresh()) == {"total": 0, "passed": 0}
+
+
+def test_bad_lines_spoil_their_run_only(spark, tmp_path):
+    from twinrun.sources.readers import read_delimited
+
+    for run, text in {"a": "1|x\n2|y\n", "b": "1|x\nzwei|y\n3\n4|z|more\n", "c": "5|v\n"}.items():
+        (tmp_path / f"{run}.csv").write_text(text)
+
+    def read(spark, run):
+        return {"in": read_delimited(spark, str(tmp_path / f"{run.run_id}.csv"), "n int, t string", "|", header=False, keep_bad_lines=True)}
+
+    same = lambda inputs, run: {"out": inputs["in"].select("t")}
+    out = compare.compare_each_run(spark, Pipeline(read, same, same), runs_of(spark, *"abc"), fresh())
+    got = {(r.run_id, r.path): (r.status, r.left_count, r.error) for r in out.collect()}
+    assert got == {
+        ("a", "$.out"): ("PASS", 2, None), ("b", "$.out"): ("PASS", 1, None), ("c", "$.out"): ("PASS", 1, None),
+        ("b", "inputs.in"): ("ERROR", None, "inputs.in: 3 lines cannot be read, such as: 3"),
+    }
+    assert [r.run_id for r in report.failed_runs(out).collect()] == ["b"]
+    with pytest.raises(ValueError, match="bad lines"):
+        Pipeline(read, same, same).outputs(spark, Row(run_id="a"))

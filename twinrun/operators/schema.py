@@ -7,6 +7,7 @@ nesting. Field metadata counts only with ``check_metadata``.
 from __future__ import annotations
 
 import json
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +90,12 @@ def same_schema(left: T.StructType, right: T.StructType, check_metadata: bool =
     return key(left) == key(right)
 
 
+def side_by_side(left: T.StructType | None, right: T.StructType | None) -> list[tuple[str, str]]:
+    """The columns of two schemas by position, in words, padded with ``(missing)``; a side that is None has none."""
+    texts = [[FIELD_TEXT % (r["name"], r["type"], r["nullable"]) for r in field_rows(s)] if s else [] for s in (left, right)]
+    return list(zip_longest(*texts, fillvalue=MISSING))
+
+
 def _field_text() -> Column:
     nullable = F.initcap(F.col("nullable").cast("string"))
     return F.format_string(FIELD_TEXT, "name", "type", nullable)

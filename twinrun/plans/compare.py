@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
@@ -17,14 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinrun.functions.runs import run_date
 from twinrun.operators.diff import NotComparable, diff_counts, diff_sample, position, quoted, side_counts
-from twinrun.operators.schema import leaf_rows, same_schema, schema_diff, schema_diff_rows
+from twinrun.operators.schema import leaf_rows, same_schema, schema_diff, schema_diff_rows, side_by_side
 from twinrun.operators.tree import MISSING_LEAF, Pair, Tree, pair_leaves
 from twinrun.session import computed_once, remove
+from twinrun.sources.readers import BAD_LINE
 
 PASS, FAIL, ERROR, MISSING, NO_RUNS = "PASS", "FAIL", "ERROR", "MISSING_LEAF", "NO_RUNS"
 
@@ -41,9 +44,12 @@ REPORT = (
     ("comparable", "boolean"),
     ("schema_differences", "array<string>"),
     ("error", "string"),
+    ("schema_columns", "array<struct<left_field:string,right_field:string>>"),
 )
 _RUN = "__run"
 OUT_OF_TIME = "not compared: out of time"
+BAD_LINES_TEXT = "%s: %d lines cannot be read, such as: %s"
+BAD_LINE_SHOWN = 200
 _COUNTS = ("left_count", "right_count", "only_in_left", "only_in_right")
 
 
@@ -56,6 +62,9 @@ class Pipeline:
     or None when all runs are compared in one plan and the data carries its run id. With ``fixed_inputs`` the inputs are
     written once to the session's shared folder, so that both versions see the same rows even where reading them is not
     deterministic; without such a folder each version reads for itself.
+
+    An input with a column ``_bad_line`` (``read_delimited(..., keep_bad_lines=True)``) is given without the rows where
+    it is set and without the column; ``compare_each_run`` reports these rows as an error of the run.
     """
 
     read: Callable[[SparkSession, Row | None], dict[str, DataFrame]]
@@ -64,11 +73,24 @@ class Pipeline:
     options: dict[str, Any] = field(default_factory=dict)
     fixed_inputs: bool = False
 
-    def outputs(self, spark: SparkSession, run: Row | None = None, written: list[str] | None = None) -> tuple[Tree, Tree]:
-        """Both output trees; the folders of fixed inputs are added to ``written``, for whoever removes them."""
+    def outputs(
+        self,
+        spark: SparkSession,
+        run: Row | None = None,
+        written: list[str] | None = None,
+        bad_lines: dict[str, DataFrame] | None = None,
+    ) -> tuple[Tree, Tree]:
+        """Both output trees; the folders of fixed inputs are added to ``written``, for whoever removes them, and the
+        bad lines of inputs that may have some to ``bad_lines``. Without that, inputs with bad lines are refused."""
         inputs = self.read(spark, run)
         if self.fixed_inputs:
             inputs = {name: computed_once(df, name, written) for name, df in inputs.items()}
+        marked = [name for name, df in inputs.items() if isinstance(df, DataFrame) and BAD_LINE in df.columns]
+        if marked and bad_lines is None:
+            raise ValueError(f"nobody asks for the bad lines of {marked}")
+        for name in marked:
+            bad_lines[name] = inputs[name].where(F.col(BAD_LINE).isNotNull())
+            inputs[name] = inputs[name].where(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
         return self.left(inputs, run, **self.options), self.right(inputs, run, **self.options)
 
 
@@ -127,7 +149,13 @@ def _compared(
     )
     status = f"CASE WHEN {_CLEAN} THEN '{PASS}' ELSE '{FAIL}' END AS status"
     error = f"CASE WHEN NOT ({_CLEAN}) THEN concat('Mismatch at ', path, ': ', {_REASON}) END AS error"
-    return facts.selectExpr("*", status, error)
+    return facts.selectExpr("*", status, error).withColumn("schema_columns", _columns(left.schema, right.schema))
+
+
+def _columns(left: T.StructType | None, right: T.StructType | None) -> Column:
+    """The columns of both sides as they stand in the report: one constant for each leaf."""
+    both = [{"left_field": l, "right_field": r} for l, r in side_by_side(left, right)]
+    return F.from_json(F.lit(json.dumps(both)), "array<struct<left_field:string,right_field:string>>")
 
 
 def _one_sided(path: str, frame: DataFrame, left: bool, by: Sequence[str], runs: DataFrame | None) -> DataFrame:
@@ -141,6 +169,7 @@ def _one_sided(path: str, frame: DataFrame, left: bool, by: Sequence[str], runs:
             "path": F.lit(path),
             "status": F.lit(MISSING),
             "error": F.lit(f"Mismatch at {path}: only in {'left' if left else 'right'}"),
+            "schema_columns": _columns(frame.schema if left else None, None if left else frame.schema),
         }
     )
 
@@ -484,6 +513,10 @@ def _reason(problem: Exception) -> str:
     return f"{type(problem).__name__}: {problem}".split("\n\nJVM stacktrace")[0]
 
 
+# A run, its leaves, and the bad lines of its inputs.
+Planned = tuple[Row, list[Pair], dict[str, DataFrame]]
+
+
 def _compare_batch(
     spark: SparkSession,
     pipeline: Pipeline,
@@ -492,12 +525,13 @@ def _compare_batch(
     settings: tuple[bool, bool],
     expired: Event,
 ) -> None:
-    planned: list[tuple[Row, list[Pair]]] = []
+    planned: list[Planned] = []
     written: list[str] = []
     try:
         for run in batch:
             try:
-                planned.append((run, pair_leaves(*pipeline.outputs(spark, run, written))))
+                bad: dict[str, DataFrame] = {}
+                planned.append((run, pair_leaves(*pipeline.outputs(spark, run, written, bad)), bad))
             except Exception as problem:  # noqa: BLE001 - whatever a pipeline raises belongs into the report
                 text = OUT_OF_TIME if expired.is_set() else _reason(problem)
                 _commit(_error_rows(spark, [run], ERROR, text), report_path)
@@ -510,12 +544,12 @@ def _compare_batch(
 
 def _write_planned(
     spark: SparkSession,
-    planned: Sequence[tuple[Row, list[Pair]]],
+    planned: Sequence[Planned],
     report_path: str,
     settings: tuple[bool, bool],
     expired: Event,
 ) -> None:
-    runs = [run for run, _ in planned]
+    runs = [run for run, *_ in planned]
     try:
         _commit(_batch_report(spark, planned, *settings), report_path)
     except Exception as problem:  # noqa: BLE001
@@ -530,11 +564,11 @@ def _write_planned(
 
 
 def _batch_report(
-    spark: SparkSession, planned: Sequence[tuple[Row, list[Pair]]], check_metadata: bool, keyed: bool
+    spark: SparkSession, planned: Sequence[Planned], check_metadata: bool, keyed: bool
 ) -> DataFrame:
     """One report plan for a batch: per path, runs whose outputs have the same two schemas are compared together."""
     groups: dict[tuple, list[tuple[Row, Pair]]] = {}
-    for run, pairs in planned:
+    for run, pairs, _ in planned:
         for pair in pairs:
             both = isinstance(pair.left, DataFrame) and isinstance(pair.right, DataFrame)
             key = (pair.path, pair.left.schema.json(), pair.right.schema.json()) if both else (pair.path, run.run_id)
@@ -556,4 +590,19 @@ def _batch_report(
         pair = Pair(path, together("left", members), together("right", members))
         report = _pair_report(spark, pair, (_RUN,), runs, differences, keyed)
         parts.append(report.withColumnRenamed(_RUN, "run_id"))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts + _bad_line_rows(spark, planned))
+
+
+def _bad_line_rows(spark: SparkSession, planned: Sequence[Planned]) -> list[DataFrame]:
+    """An ERROR row for each run and input with bad lines, in the same job as the comparison; none where there are none."""
+    found = [
+        df.select(F.lit(run.run_id).alias("run_id"), F.lit(f"inputs.{name}").alias("path"), F.col(BAD_LINE).alias("line"))
+        for run, _, bad in planned
+        for name, df in bad.items()
+    ]
+    if not found:
+        return []
+    lines = reduce(DataFrame.union, found).groupBy("run_id", "path").agg(F.count("*").alias("n"), F.min("line").alias("line"))
+    error = F.format_string(BAD_LINES_TEXT, F.col("path"), F.col("n"), F.substring("line", 1, BAD_LINE_SHOWN))
+    rows = _run_rows(spark, [run for run, *_ in planned]).join(lines, "run_id")
+    return [_report_shape(rows.withColumns({"status": F.lit(ERROR), "error": error}), ("run_id", "run_date", "raw_path"))]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinrun.plans.compare import FAIL, NO_RUNS, PASS
@@ -21,8 +21,7 @@ DETAILS_LABEL = "  details: "
 SCHEMA_LABEL = "schema match: "
 RUNS_TEXT = "run_ids: %d"
 PASSED_TEXT = "Passed: %d / %d"
-# Lines of a block before its schema differences, with room to spare.
-SCHEMA_BELOW = 20
+SCHEMA_TABLE_LABEL = "schema (legacy | refactored):"
 
 
 def run_status(report: DataFrame, key: str = "run_id") -> DataFrame:
@@ -68,16 +67,20 @@ def count_text(report: DataFrame) -> DataFrame:
     return report.withColumns({"counts": counts, "details": details, "total": total})
 
 
+def _side_by_side(left: Column, right: Column) -> Column:
+    padded = F.when(F.length(left) < SCHEMA_COLUMN_WIDTH, F.rpad(left, SCHEMA_COLUMN_WIDTH, " ")).otherwise(left)
+    return F.concat(F.lit("  "), padded, F.lit(" | "), right)
+
+
 def schema_table(matched: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
     """Side-by-side schema as text: ``*keys, ordinal, line`` from ``match_by_position`` rows, padded, never cut."""
-    left = F.col("left_field")
-    padded = F.when(F.length(left) < SCHEMA_COLUMN_WIDTH, F.rpad(left, SCHEMA_COLUMN_WIDTH, " ")).otherwise(left)
-    line = F.concat(F.lit("  "), padded, F.lit(" | "), F.col("right_field"))
+    line = _side_by_side(F.col("left_field"), F.col("right_field"))
     return matched.select(*keys, "ordinal", line.alias("line"))
 
 
 def report_blocks(report: DataFrame) -> DataFrame:
-    """The text block of every run and leaf, line by line: ``run_date, run_id, path, pos, line``."""
+    """The text block of every run and leaf, line by line: ``run_date, run_id, path, pos, line``. The columns of both
+    sides stand in it next to each other."""
     text = count_text(report)
 
     def label(name: str, value: Column) -> Column:
@@ -98,18 +101,31 @@ def report_blocks(report: DataFrame) -> DataFrame:
     )
     differences = F.coalesce("schema_differences", F.array().cast("array<string>"))
     lines = F.concat(lines, F.transform(differences, lambda d: F.concat(F.lit("    - "), d)))
+    table = F.transform("schema_columns", lambda c: _side_by_side(c["left_field"], c["right_field"]))
+    table = F.when(F.size("schema_columns") > 0, F.concat(F.array(F.lit(SCHEMA_TABLE_LABEL)), table))
+    lines = F.concat(lines, F.coalesce(table, F.array().cast("array<string>")))
     lines = F.concat(lines, F.filter(F.array(F.concat(F.lit("error: "), F.col("error"))), lambda e: e.isNotNull()))
     return text.select("run_date", "run_id", "path", F.posexplode(lines).alias("pos", "line"))
 
 
-def report_lines(report: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
+def with_run_marks(report: DataFrame, key: str = "run_id") -> DataFrame:
+    """The report with two columns more: ``counted`` in one row of each run, and ``run_passed``. Sums over them are the
+    totals, so they can be taken while the rows pass by."""
+    run = Window.partitionBy(key)
+    first = F.row_number().over(run.orderBy("path")) == 1
+    return report.withColumns({
+        "counted": first & (F.col("status") != NO_RUNS),
+        "run_passed": F.min(F.col("status") == PASS).over(run),
+    })
+
+
+def report_lines(report: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """The whole text report, newest run first: ``section, run_date, run_id, path, pos, line`` (not yet sorted).
 
-    ``report`` is read three times: give a stored one, as ``write_report`` leaves it. ``schemas`` are rows of
-    ``match_by_position`` (``path, ordinal, left_field, right_field``, and ``run_id`` where runs differ); their lines
-    stand below each block, side by side.
+    ``totals``: one row ``total, passed``, as ``write_report`` keeps it; the report is then read once. Without it they
+    are worked out from the report, which is read twice more.
     """
-    totals = summarise(report)
+    totals = summarise(report) if totals is None else totals
     rule = F.lit("=" * RULE_WIDTH)
     head = F.array(F.lit("comparison report"), rule, F.format_string(RUNS_TEXT, "total"), F.lit(""))
     foot = F.array(F.lit(""), rule, F.format_string(PASSED_TEXT, "passed", "total"))
@@ -128,12 +144,5 @@ def report_lines(report: DataFrame, schemas: DataFrame | None = None) -> DataFra
 
     real = report.where(F.col("status") != NO_RUNS)
     blocks = report_blocks(real)
-    if schemas is not None:
-        keys = [k for k in ("run_id", "path") if k in schemas.columns]
-        table = schema_table(schemas, keys)
-        # A block has fewer lines of its own than this, or a line for each schema difference more.
-        below = F.lit(SCHEMA_BELOW) + F.coalesce(F.size("schema_differences"), F.lit(0)) + F.col("ordinal")
-        placed = real.join(table, keys).select("run_date", "run_id", "path", below.cast("int").alias("pos"), "line")
-        blocks = blocks.unionByName(placed)
     blocks = blocks.select(F.lit(1).alias("section"), "*")
     return framed(0, head).unionByName(blocks).unionByName(framed(2, foot))

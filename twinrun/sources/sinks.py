@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from twinrun.plans.report import report_lines
+from twinrun.plans.report import report_lines, with_run_marks
 
-def write_report(report: DataFrame, path: str, mode: str = "error") -> None:
-    """The report table as parquet."""
-    report.write.mode(mode).parquet(path)
 
+#: Beside a stored report, under a name that readers of the report pass over: one row with the number of runs.
+TOTALS = "_totals"
 
-def write_report_text(report: DataFrame, path: str, mode: str = "error", schemas: DataFrame | None = None) -> None:
+
+def write_report(report: DataFrame, path: str, mode: str = "error") -> dict[str, int]:
+    """The report table as parquet, and ``total`` and ``passed`` runs, counted by the job that writes it."""
+    seen = Observation()
+    counts = [F.count_if("counted").alias("total"), F.count_if(F.col("counted") & F.col("run_passed")).alias("passed")]
+    with_run_marks(report).observe(seen, *counts).select(*report.columns).write.mode(mode).parquet(path)
+    totals = {name: int(n) for name, n in seen.get.items()}
+    spark = report.sparkSession
+    row = spark.createDataFrame([(totals["total"], totals["passed"])], "total bigint, passed bigint")
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{TOTALS}")
+    return totals
+
+
+def write_report_text(report: DataFrame, path: str, mode: str = "error", totals: DataFrame | None = None) -> None:
     """The text report of a stored report. Its lines are range-sorted, so the part files in name order read from top to
-    bottom; a report that is not stored would be computed for each of the readings."""
-    lines = report_lines(report, schemas).orderBy("section", F.desc("run_date"), F.desc("run_id"), "path", "pos")
+    bottom; a report that is not stored would be computed for each of the readings (see ``report_lines``)."""
+    lines = report_lines(report, totals).orderBy("section", F.desc("run_date"), F.desc("run_id"), "path", "pos")
     lines.select("line").write.mode(mode).text(path)
 
 
+def write_stored_report_text(spark: SparkSession, report_path: str, path: str, mode: str = "error") -> None:
+    """The text of what ``write_report`` left at ``report_path``, its totals taken from there."""
+    totals = spark.read.parquet(f"{report_path.rstrip('/')}/{TOTALS}")
+    write_report_text(spark.read.parquet(report_path), path, mode, totals)
+
+
 def write_context(parts: DataFrame, path: str, mode: str = "error", parts_per_volume: int | None = None) -> None:
     """Documents as ``pipeline=<name>/`` text folders from ``context_parts`` rows.
 
