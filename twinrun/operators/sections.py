@@ -39,35 +39,67 @@ def _lines(text: Column) -> Column:
     return F.split(text, _SPLIT_LINES)
 
 
-def cut_lines(docs: DataFrame, spans: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``spans`` rows (``key``, first line ``s``, line after the last ``e`` or NULL) with their stripped ``block``.
+def _with_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, lines``. Exploding an array of one keeps the split below what comes next, so lines are made once; and all
+    that asks for them by ``key`` reads one exchange."""
+    return docs.select(key, F.explode(F.array(_lines(F.col(text)))).alias("lines"))
 
-    Exploding an array of one keeps the split below the join, so the lines of a document are made once, however many
-    spans are cut from it.
-    """
-    lines = docs.select(key, F.explode(F.array(_lines(F.col(text)))).alias("lines"))
+
+def cut_lines(docs: DataFrame, spans: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``spans`` rows (``key``, first line ``s``, line after the last ``e`` or NULL) with their stripped ``block``; the
+    lines of a document are made once, however many spans are cut from it."""
     size = F.coalesce(F.col("e"), F.size("lines")) - F.col("s")
     block = strip(F.array_join(F.slice("lines", F.col("s") + 1, size), "\n"))
-    return spans.join(lines, key).withColumn("block", block).drop("lines", "s", "e")
+    return spans.join(_with_lines(docs, key, text), key).withColumn("block", block).drop("lines", "s", "e")
 
 
 # ---------------------------------------------------------------- blocks under known names
 
 
-def _heading_lines(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines that may be headings: ``key, ln, head`` (lower case), one row for each colon that may end the name.
+def _colons(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
+
+
+def _heads(line: Column, ends: Column, last: Column) -> Column:
+    """What a line may be headed by, in lower case: its text before each of the first ``ends`` colons, and all of it.
 
     A heading is a line of its own, or followed by a colon; the name may hold colons itself. A bare name on the very
     last line does not count: its line has no end.
     """
+    colons = _colons(line)
+    text = lambda k: F.lower(strip(F.call_function("substring_index", line, F.lit(":"), k)))
+    return F.transform(F.sequence(F.lit(1), F.least(colons - F.when(last, 1).otherwise(0), ends) + 1), text)
+
+
+def _headings_of_page(pages: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """Lines headed by a name of their page: ``key, ln, head``. Each page meets its names once, in its row; of its lines
+    only the headings leave it. Colons beyond those that a name of the page holds are not looked at."""
+    held = names.groupBy(key).agg(F.collect_set("head").alias("heads"))
+    most = F.array_max(F.transform("heads", _colons))
+    rows = _with_lines(pages, key, text).join(held, key).withColumn("ends", most)
+
+    def of_line(line: Column, ln: Column) -> Column:
+        last = ln == F.size("lines") - 1
+        none = last & (_colons(line) == 0)
+        heads = F.when(none, F.array().cast("array<string>")).otherwise(_heads(line, F.col("ends"), last))
+        return F.transform(heads, lambda h: F.struct(ln.alias("ln"), h.alias("head")))
+
+    found = F.flatten(F.transform("lines", of_line))
+    # Which of the names occur at all is found by hashing; lines are then compared with those alone.
+    rows = rows.select(key, "heads", F.explode(F.array(found)).alias("found"))
+    there = F.array_intersect(F.transform("found", lambda x: x["head"]), F.col("heads"))
+    rows = rows.select(key, "found", F.explode(F.array(there)).alias("there")).where(F.size("there") > 0)
+    hits = F.explode(F.filter("found", lambda x: F.array_contains("there", x["head"]))).alias("hit")
+    return rows.select(key, hits).select(key, "hit.*").distinct()
+
+
+def _heading_lines(pages: DataFrame, key: str, text: str, ends: int) -> DataFrame:
+    """All lines that may be headings, for names of no certain page: ``key, ln, head``."""
     lines = _lines(F.col(text))
     rows = pages.select(key, F.size(lines).alias("n"), F.posexplode(lines).alias("ln", "line"))
-    colons = F.size(F.split("line", ":")) - 1
-    ends = F.explode(F.sequence(F.lit(1), colons + 1)).alias("k")
-    rows = rows.select(key, "n", "ln", "line", colons.alias("colons"), ends)
-    bare_at_the_end = (F.col("ln") == F.col("n") - 1) & (F.col("k") > F.col("colons"))
-    head = F.lower(strip(F.call_function("substring_index", F.col("line"), F.lit(":"), F.col("k"))))
-    return rows.where(~bare_at_the_end).select(key, "ln", head.alias("head")).where("head <> ''")
+    last = F.col("ln") == F.col("n") - 1
+    heads = F.explode(_heads(F.col("line"), F.lit(ends), last)).alias("head")
+    return rows.where(~last | (_colons(F.col("line")) > 0)).select(key, "ln", heads).where("head <> ''").distinct()
 
 
 def named_blocks(
@@ -78,11 +110,17 @@ def named_blocks(
     ``names`` holds ``name``, and may hold ``key`` (names of one page) and ``groups`` columns (names that belong
     together, such as the tables of one pipeline). A block starts at the first line headed by its name, in either case,
     and ends before the next line headed by another name of the same group; its own name repeated does not end it. A
-    name may hold colons; one with a line end never has a block.
+    name may hold colons; one with a line end never has a block. With ``key`` in ``names`` a page's names are looked up in
+    the page's row, and its lines move once, to meet them; work grows with the length of the lines times the most colons
+    in a name.
     """
     per_page = [key] if key in names.columns else []
     known = names.select(*groups, *per_page, "name", F.lower("name").alias("head")).distinct()
-    heads = _heading_lines(pages, key, text).join(known, [*per_page, "head"])
+    if per_page:
+        heads = _headings_of_page(pages, known.where("head <> ''"), key, text).join(known, [key, "head"])
+    else:
+        most = known.agg(F.max(_colons(F.col("head")))).first()[0] or 0
+        heads = _heading_lines(pages, key, text, most).join(known, "head")
     # Walking up from the bottom, each heading remembers the closest line below it that is headed by another name. Of
     # names that a line may be headed by, one going on after the colon of another, the longest counts.
     page = Window.partitionBy(*groups, key).orderBy(F.desc("ln"), F.desc(F.length("head")))
