@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from twinrun.llm import counts, packing
-from twinrun.llm.bpe import ByteBpe, PerfectHash, merged, op1_byte_bpe
+from twinrun.llm.bpe import ByteBpe, Kept, Merges, PerfectHash, _Tables, op1_byte_bpe
 from twinrun.llm.chunks import Memo, ids_by_chunk, slices
 
 SF = "/root/testdata/sf0.001"
@@ -51,10 +51,10 @@ def test_perfect_hash(ranks):
 
 def test_merges_of_random_pieces(ranks):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    r = random.Random(7)
+    r, merges = random.Random(7), Merges(ranks)
     for _ in range(3000):
         piece = "".join(r.choices("aabcdeilnorstéü' 1.", k=r.randint(1, 30))).encode()
-        assert merged(piece, ranks) == library._encode_bytes(piece) or piece.count(b" ") or b"'" in piece or b"." in piece or b"1" in piece
+        assert merges.merged(piece) == library._encode_bytes(piece) or piece.count(b" ") or b"'" in piece or b"." in piece or b"1" in piece
 
 
 def test_bpe_equals_library(spark, ranks, texts):
@@ -69,6 +69,23 @@ def test_bpe_equals_library(spark, ranks, texts):
         assert bytes(r.d) == bytes(r.decoded) == text.encode()
 
 
+def test_texts_of_every_character(ranks):
+    """Words that hold or end in white space of all kinds, next to each other in one slice."""
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tables = _Tables(ranks)
+    texts = every_character() + [f"x{chr(c)}" for c in range(0x3100)] + [f"y {chr(c)}z {chr(c)}" for c in range(0x3100)] + [t or "" for t in ODD]
+    got = [x for part in slices(pa.array(texts)) for x in tables.texts(part)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == library.encode_ordinary_batch(texts, num_threads=2)
+
+
+def test_memo_keeps_what_is_asked_for():
+    asked = []
+    known = Kept(lambda k: asked.append(k) or k.upper(), size=3, longest=4)
+    for k in ["a", "b", "a", "c", "d", "a", "e", "f", "a", "longer", "longer"]:
+        assert known[k] == k.upper()
+    assert asked == ["a", "b", "c", "d", "e", "f", "longer", "longer"] and len(known) + len(known.older) <= 6
+
+
 def test_chunks_of_every_character(ranks):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     pack = lambda t: np.asarray(library.encode_ordinary(t), "<u4").tobytes()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections.abc import Iterator
 from functools import cached_property
 from pathlib import Path
@@ -11,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import Broadcast
@@ -18,93 +20,152 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinrun.llm.chunks import Memo, ids_by_chunk, packed, slices
+from twinrun.llm.chunks import SPACE_AFTER_WHITE, slices
 from twinrun.llm.common import table
 
 #: Keys in a bucket of the perfect hash, on average.
 BUCKET = 4
-_LOW = (1 << 32) - 1
+#: Displacements that are tried at once, and matches in a generation of the memo.
+TRIED = 64
+KEPT = 250_000
+_LOW, _ALL = (1 << 32) - 1, (1 << 64) - 1
+_GOLD, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 class PerfectHash:
     """A minimal perfect hash: n keys have the slots 0 to n-1, by one 64-bit hash and one displacement per bucket.
 
-    Buckets choose in order of their size the first displacement that puts all their keys into free slots. A lookup
-    compares the key in its slot, so strings that are no keys are told apart.
+    Buckets choose in order of their size the first displacement that puts all their keys into free slots, many tried
+    at once; a bucket of one key takes a slot that is left and notes it. A lookup compares the key in its slot, so
+    strings that are no keys are told apart.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         n = max(1, len(ranks))
         self.n_slots, self.n_buckets = n, max(1, n // BUCKET)
-        buckets: dict[int, list[tuple[int, bytes]]] = {}
-        for key in ranks:
-            h = xxhash.xxh3_64_intdigest(key)
-            buckets.setdefault(h % self.n_buckets, []).append((h, key))
+        keys = list(ranks)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+        bucket = (hashes % np.uint64(self.n_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        found, starts = np.unique(bucket[order], return_index=True)
+        members = dict(zip(found.tolist(), np.split(order, starts[1:]) if len(found) else []))
+        free = np.ones(n, bool)
+        place = np.zeros(len(keys), np.int64)
         self.moves = [0] * self.n_buckets
-        self.keys: list[bytes | None] = [None] * n
-        self.ranks = [-1] * n
-        for at, members in sorted(buckets.items(), key=lambda b: -len(b[1])):
+        alone = []
+        for at, own in sorted(members.items(), key=lambda b: -len(b[1])):
+            if len(own) == 1:
+                alone.append((at, own[0]))
+                continue
             move = 0
             while True:
-                slots = [self._slot(h, move) for h, _ in members]
-                if len(set(slots)) == len(slots) and all(self.keys[s] is None for s in slots):
-                    break
-                move += 1
-            self.moves[at] = move
-            for slot, (_, key) in zip(slots, members):
-                self.keys[slot], self.ranks[slot] = key, ranks[key]
-
-    def _slot(self, h: int, move: int) -> int:
-        # The displacement enters through a product, so that all low bits of the hash matter for every value of it.
-        return ((h ^ (move * 0x9E3779B97F4A7C15)) * 0xD6E8FEB86659FD93 & ((1 << 64) - 1)) * self.n_slots >> 64
+                tried = np.arange(move, move + TRIED, dtype=np.uint64)[:, None]
+                slots = self._slots(hashes[own], tried)
+                fits = free[slots].all(axis=1)
+                for i in np.flatnonzero(fits):
+                    if len(set(slots[i].tolist())) == len(own):
+                        break
+                else:
+                    move += TRIED
+                    continue
+                break
+            self.moves[at] = move + int(i)
+            place[own], free[slots[i]] = slots[i], False
+        for (at, own), slot in zip(alone, np.flatnonzero(free).tolist()):
+            self.moves[at], place[own] = -slot - 1, slot
+        self.keys: list[bytes | None] = [None] * n
+        self.ranks = [-1] * n
+        for key, slot in zip(keys, place.tolist()):
+            self.keys[slot], self.ranks[slot] = key, ranks[key]
+
+    def _slots(self, hashes: np.ndarray, moves: np.ndarray) -> np.ndarray:
+        # The displacement enters through a product, so that all low bits of the hash matter for every value of it; the
+        # upper 32 bits of the outcome, times the number of slots, give the slot.
+        mixed = (hashes ^ (moves * np.uint64(_GOLD))) * np.uint64(_MIX)
+        return ((mixed >> np.uint64(32)) * np.uint64(self.n_slots) >> np.uint64(32)).astype(np.int64)
 
     def rank(self, key: bytes) -> int:
         """The rank of a key; -1 for any other string."""
         h = xxhash.xxh3_64_intdigest(key)
-        slot = self._slot(h, self.moves[h % self.n_buckets])
+        move = self.moves[h % self.n_buckets]
+        slot = ((((h ^ (move * _GOLD & _ALL)) * _MIX & _ALL) >> 32) * self.n_slots >> 32) if move >= 0 else -move - 1
         return self.ranks[slot] if self.keys[slot] == key else -1
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a piece: its bytes are linked, and the pair of neighbours of least rank (leftmost of equals) merges next.
+class Merges:
+    """What merges: the id of each byte, and of each pair of ids whose bytes together are a token."""
 
-    A heap holds the pairs, so n bytes take O(n log n). A pair is outdated when its left part is gone or its right
-    part ends elsewhere now.
-    """
-    n, rank = len(piece), ranks.get
-    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
-    alive = bytearray(b"\1") * n
-    heap = []
-    for i in range(n - 1):
-        r = rank(piece[i : i + 2])
-        if r is not None:
-            heap.append((r, i, i + 2))
-    heapq.heapify(heap)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = after[i]
-        if not alive[i] or j >= n or end[j] != stop:
-            continue
-        alive[j] = 0
-        k, p = after[j], before[i]
-        end[i], after[i] = stop, k
-        if k < n:
-            before[k] = i
-            r = rank(piece[i : end[k]])
-            if r is not None:
-                heapq.heappush(heap, (r, i, end[k]))
-        if p >= 0:
-            r = rank(piece[p:stop])
-            if r is not None:
-                heapq.heappush(heap, (r, p, stop))
-    out, i = [], 0
-    while i < n:
-        r = rank(piece[i : end[i]])
-        if r is None:
-            raise ValueError(f"byte {piece[i]} is not in the vocabulary")
-        out.append(r)
-        i = after[i]
-    return out
+    def __init__(self, ranks: dict[bytes, int]):
+        self.of_byte = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = rank
+
+    def merged(self, piece: bytes) -> list[int]:
+        """Ids of a piece: its bytes are linked, and the pair of neighbours of least rank (leftmost of equals) merges next.
+
+        A heap holds the pairs as rank and place in one number, so n bytes take O(n log n). ``now`` has the rank of the
+        pair that begins at each place; one in the heap that differs is outdated.
+        """
+        n, pair = len(piece), self.pairs.get
+        ids = [self.of_byte[b] for b in piece]
+        if -1 in ids:
+            raise ValueError(f"byte {piece[ids.index(-1)]} is not in the vocabulary")
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        now = [pair(a << 32 | b, -1) for a, b in zip(ids, ids[1:])]
+        now.append(-1)
+        heap = [r << 32 | i for i, r in enumerate(now) if r >= 0]
+        heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        while heap:
+            top = pop(heap)
+            r, i = top >> 32, top & _LOW
+            if now[i] != r:
+                continue
+            j = after[i]
+            ids[i], now[j] = r, -1
+            k, p = after[j], before[i]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                now[i] = new = pair(r << 32 | ids[k], -1)
+                if new >= 0:
+                    push(heap, new << 32 | i)
+            else:
+                now[i] = -1
+            if p >= 0:
+                now[p] = new = pair(ids[p] << 32 | r, -1)
+                if new >= 0:
+                    push(heap, new << 32 | p)
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = after[i]
+        return out
+
+
+class Kept(dict):
+    """Answers by short strings in two generations: when the newer is full it becomes the older, and what was older and
+    not asked for since is gone. Memory stays bounded, and frequent strings stay."""
+
+    def __init__(self, make, size: int = KEPT, longest: int = 64):
+        super().__init__()
+        self.make, self.size, self.longest, self.older = make, size, longest, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class _Tables:
@@ -132,23 +193,52 @@ class _Tables:
     def ids_of_pretoken(self, pretoken: str) -> bytes:
         piece = pretoken.encode("utf-8", "surrogatepass")
         r = self.hash.rank(piece)
-        return packed([r] if r >= 0 else merged(piece, self.ranks))
+        ids = (r,) if r >= 0 else self.merges.merged(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     @cached_property
-    def ranks(self) -> dict[bytes, int]:
-        """Ranks of what merges: the second tier looks up every pair of neighbours."""
-        return dict(zip(self.hash.keys, self.hash.ranks))
+    def merges(self) -> Merges:
+        return Merges({k: r for k, r in zip(self.hash.keys, self.hash.ranks) if k is not None})
 
     @cached_property
-    def pretokens(self) -> Memo:
-        return Memo(self.ids_of_pretoken)
+    def pretokens(self) -> Kept:
+        return Kept(self.ids_of_pretoken)
 
     def whole(self, text: str) -> bytes:
         return b"".join(map(self.pretokens.__getitem__, self.finder.findall(text)))
 
-    @cached_property
-    def chunks(self) -> Memo:
-        return Memo(self.whole)
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space before them, none of which holds one. The pattern goes over all of them in one
+        string: a space after a character that is no white space begins a match, so matches end with the words."""
+        pieces = self.finder.findall(" " + " ".join(words)) if words else []
+        ids = list(map(self.pretokens.__getitem__, pieces))
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        last = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)) + 1
+        firsts = [0, *last[:-1].tolist()]
+        return [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip(firsts, last.tolist())]
+
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of each text. Texts are cut at spaces and each distinct word is looked up once; a text in which a
+        space follows white space is taken whole."""
+        odd = pc.match_substring_regex(texts, SPACE_AFTER_WHITE)
+        lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        coded = lists.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        index = coded.indices.to_numpy(zero_copy_only=False).tolist()
+        ends = lists.offsets.to_numpy().tolist()
+        # A word that ends in white space is the last of its text; next to another word it would be matched otherwise.
+        whole = [not w or w[-1].isspace() or w[-1] == "\u180e" for w in words]
+        together = iter(self.of_words([w for w, alone in zip(words, whole) if not alone]))
+        ids = [self.whole(" " + w) if alone else next(together) for w, alone in zip(words, whole)]
+        out = []
+        for row, long_way in enumerate(odd.to_pylist()):
+            if long_way:
+                out.append(self.whole(texts[row].as_py()))
+                continue
+            a, b = ends[row], ends[row + 1]
+            first = words[index[a]] if b > a else ""
+            out.append((self.whole(first) if first else b"") + b"".join(map(ids.__getitem__, index[a + 1 : b])))
+        return out
 
     def __getstate__(self) -> dict:
         return {"hash": self.hash, "pattern": self.pattern}
@@ -170,8 +260,9 @@ class ByteBpe:
         unsigned 32-bit integers; with ``decoded`` also the bytes that the ids stand for, made from the ids.
 
         Each match of the pattern is looked up in the perfect hash first; a miss is merged byte by byte. Answers for
-        short chunks are remembered in a bounded memo. NULL and empty texts have no ids. Long texts and long words take
-        linear memory and O(n log n) time. Repeated rows are encoded each; other columns stay inside ``row``.
+        short matches are remembered in a bounded memo. NULL and empty texts have no ids. Long texts and long words take
+        linear memory and O(n log n) time. Repeated rows are encoded each; other columns stay inside ``row``. An empty
+        table gives no rows.
         """
         tables = self.tables
         others = [F.col(f"`{c}`") for c in docs.columns if c != text]
@@ -182,7 +273,7 @@ class ByteBpe:
             for batch in batches:
                 done = 0
                 for part in slices(batch["text"]):
-                    ids = ids_by_chunk(part, t.chunks, t.whole)
+                    ids = t.texts(part)
                     columns = [batch["row"].slice(done, len(ids)), pa.array(ids, pa.binary())]
                     if decoded:
                         columns.append(pa.array(map(t.text_of, ids), pa.binary()))

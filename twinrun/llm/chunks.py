@@ -20,6 +20,7 @@ MEMO_KEY = 64
 
 # Characters that any library involved treats as white space.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACE_AFTER_WHITE = _WHITE + " "
 
 
 class Memo(dict):
@@ -52,7 +53,7 @@ def slices(texts: pa.Array) -> Iterator[pa.Array]:
 
 def ids_by_chunk(texts: pa.Array, ids_of: Memo, whole: Callable[[str], bytes]) -> list[bytes]:
     """Packed ids of each text of one slice: ``ids_of[chunk]`` for texts that can be cut, ``whole(text)`` for the others."""
-    odd = pc.match_substring_regex(texts, _WHITE + " ")
+    odd = pc.match_substring_regex(texts, SPACE_AFTER_WHITE)
     lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
     coded = lists.values.dictionary_encode()
     words = coded.dictionary.to_pylist()
