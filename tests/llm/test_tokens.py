@@ -57,6 +57,21 @@ def test_merges_of_random_pieces(ranks):
         assert merges.merged(piece) == library._encode_bytes(piece) or piece.count(b" ") or b"'" in piece or b"." in piece or b"1" in piece
 
 
+def test_merges_together_equal_merges_one_by_one(ranks):
+    """Also with a vocabulary where a merge makes a pair of lower rank than its own, and with repeated pairs."""
+    r = random.Random(11)
+    letters = [bytes([b]) for b in b"abc"]
+    small = {b: n for n, b in enumerate(letters)}
+    made = [a + b for a in letters for b in letters] + [b"aaa", b"aab", b"abab", b"caa", b"abc", b"bca", b"aaaa", b"cabc"]
+    for vocabulary in (ranks, *[small | {t: n + 3 for n, t in enumerate(r.sample(made, len(made)))} for _ in range(20)]):
+        merges = Merges(vocabulary)
+        alphabet = "abc" if len(vocabulary) < 100 else "aabcdeilnorstéü'1.日"
+        pieces = ["".join(r.choices(alphabet, k=r.randint(1, 24))).encode() for _ in range(1500)]
+        pieces += [b"a" * n for n in range(1, 30)] + [b"abab" * 6]
+        assert [np.frombuffer(x, "<u4").tolist() for x in merges.merged_together(pieces)] == [merges.merged(p) for p in pieces]
+    assert Merges(ranks).merged_together([]) == []
+
+
 def test_bpe_equals_library(spark, ranks, texts):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     bpe = ByteBpe.load(spark, P.path("byte_bpe_multi_50k.tiktoken"))

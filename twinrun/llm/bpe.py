@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 from pathlib import Path
 
@@ -28,6 +28,8 @@ BUCKET = 4
 #: Displacements that are tried at once, and matches in a generation of the memo.
 TRIED = 64
 KEPT = 250_000
+#: From so many new matches on, those that miss merge together.
+TOGETHER = 2_000
 _LOW, _ALL = (1 << 32) - 1, (1 << 64) - 1
 _GOLD, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -147,6 +149,92 @@ class Merges:
         return out
 
 
+    @cached_property
+    def _sorted_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.fromiter(self.pairs.keys(), np.int64, len(self.pairs))
+        order = np.argsort(keys)
+        return keys[order], np.fromiter(self.pairs.values(), np.int64, len(self.pairs))[order]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, -1 for none."""
+        keys, ranks = self._sorted_pairs
+        asked = left << 32 | right
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return np.where(keys[at] == asked, ranks[at], -1)
+
+    def merged_together(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of many short pieces, none of them empty, as ``merged`` gives them one by one.
+
+        One heap serves all: it holds ranks, and with each rank go the places in the linked bytes of all pieces where a
+        pair has it. The least rank is taken; of its places each piece merges its first, all pieces at once, and the
+        others wait. New pairs go to their ranks. As pieces share nothing, each sees its merges in its own order.
+        """
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        ids = np.asarray(self.of_byte, np.int64)[data]
+        if (ids < 0).any() or not self.pairs:
+            return [struct.pack(f"<{len(x)}I", *x) for x in map(self.merged, pieces)]
+        n = len(ids)
+        piece = np.repeat(np.arange(len(pieces)), sizes)
+        ends = np.cumsum(sizes)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1], before[ends - sizes] = -1, -1
+        now = np.full(n, -1, np.int64)
+        first = np.flatnonzero(after >= 0)
+        now[first] = self._ranks(ids[first], ids[first + 1])
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray, ranks: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            starts = [0, *cuts.tolist(), len(ranks)]
+            for a, b, r in zip(starts, starts[1:], ranks[starts[:-1]].tolist()):
+                if r in waiting:
+                    waiting[r].append(places[a:b])
+                else:
+                    waiting[r] = [places[a:b]]
+                    heapq.heappush(heap, r)
+
+        pairs = np.flatnonzero(now >= 0)
+        if len(pairs):
+            wait(pairs, now[pairs])
+        while heap:
+            rank = heapq.heappop(heap)
+            found = waiting.pop(rank)
+            at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            at = at[now[at] == rank]
+            if not len(at):
+                continue
+            own = piece[at]
+            again = np.flatnonzero(own[1:] == own[:-1]) + 1
+            if len(again):
+                waiting[rank] = [at[again]]
+                heapq.heappush(heap, rank)
+                at = np.delete(at, again)
+            gone = after[at]
+            ids[at], now[gone], alive[gone] = rank, -1, False
+            right = after[gone]
+            after[at], now[at] = right, -1
+            near, right = at[right >= 0], right[right >= 0]
+            before[right] = near
+            left = before[at]
+            left = left[left >= 0]
+            here = np.concatenate([near, left])
+            if not len(here):
+                continue
+            new = self._ranks(ids[here], ids[after[here]])
+            now[here] = new
+            valid = new >= 0
+            if valid.any():
+                wait(here[valid], new[valid])
+        out = ids[alive].astype("<u4").tobytes()
+        stops = (np.cumsum(np.bincount(piece[alive], minlength=len(pieces))) * 4).tolist()
+        return [out[a:b] for a, b in zip([0, *stops], stops)]
+
+
 class Kept(dict):
     """Answers by short strings in two generations: when the newer is full it becomes the older, and what was older and
     not asked for since is gone. Memory stays bounded, and frequent strings stay."""
@@ -161,11 +249,18 @@ class Kept(dict):
             value = self.make(key)
             if len(key) > self.longest:
                 return value
+        self.keep(key, value)
+        return value
+
+    def keep(self, key: str, value) -> None:
         if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
         self[key] = value
-        return value
+
+    def lacks(self, keys: Iterable[str]) -> list[str]:
+        """Those of distinct keys that have no answer yet, long ones left out."""
+        return [k for k in keys if k not in self and k not in self.older and len(k) <= self.longest]
 
 
 class _Tables:
@@ -211,12 +306,29 @@ class _Tables:
         """Ids of words with a space before them, none of which holds one. The pattern goes over all of them in one
         string: a space after a character that is no white space begins a match, so matches end with the words."""
         pieces = self.finder.findall(" " + " ".join(words)) if words else []
+        self._learn(set(pieces))
         ids = list(map(self.pretokens.__getitem__, pieces))
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         last = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)) + 1
         firsts = [0, *last[:-1].tolist()]
         return [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip(firsts, last.tolist())]
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Put the answers for many new pieces into the memo; for few it is not worth while."""
+        new = self.pretokens.lacks(pieces)
+        if len(new) < TOGETHER:
+            return
+        rank, missed = self.hash.rank, []
+        for text in new:
+            raw = text.encode("utf-8", "surrogatepass")
+            r = rank(raw)
+            if r >= 0:
+                self.pretokens.keep(text, r.to_bytes(4, "little"))
+            else:
+                missed.append((text, raw))
+        for (text, _), ids in zip(missed, self.merges.merged_together([raw for _, raw in missed])):
+            self.pretokens.keep(text, ids)
+
     def texts(self, texts: pa.Array) -> list[bytes]:
         """Packed ids of each text. Texts are cut at spaces and each distinct word is looked up once; a text in which a
         space follows white space is taken whole."""
