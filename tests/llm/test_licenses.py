@@ -1,11 +1,12 @@
 """License scans: alignment against brute force, planted notices, and a scan of a whole table."""
 
 import random
+import time
 from itertools import combinations
 
 import pandas as pd
 
-from twinrun.llm.licenses import TEMPLATES, aligned, increasing, license_scan, notices, op9_license_scan
+from twinrun.llm.licenses import TEMPLATES, WORD, aligned, canonical, increasing, license_scan, notices, op9_license_scan
 
 
 def test_longest_increasing_subsequence():
@@ -48,6 +49,65 @@ def test_planted_notices():
     assert notices("license " * 3000 + "mit " * 3000) == []
 
 
+def test_adjacent_notices_are_found_each():
+    for t in TEMPLATES:
+        for k in (1, 2, 3, 4, 7, 20):
+            text = "\n".join([t.text] * k)
+            got = notices(text)
+            assert [n["license"] for n in got] == [t.license] * k, (t, k)
+            assert all(x["end"] <= y["start"] for x, y in zip(got, got[1:]))
+    r = random.Random(4)
+    for _ in range(60):
+        chosen = [r.choice(TEMPLATES[:12]) for _ in range(r.randint(2, 8))]
+        assert [n["license"] for n in notices(" . ".join(t.text for t in chosen))] == [t.license for t in chosen]
+
+
+def test_expressions_of_identifiers():
+    line = "# SPDX-License-Identifier: "
+    assert [n["license"] for n in notices(line + "MIT OR Apache-2.0")] == ["MIT", "Apache-2.0"]
+    got = notices(f"{line}(MIT OR Apache-2.0) AND BSD-3-Clause\n{line}ISC\ncode here")
+    assert [n["license"] for n in got] == ["MIT", "Apache-2.0", "BSD-3-Clause", "ISC"]
+    assert [n["license"] for n in notices(line + "MIT some other words Apache-2.0")] == ["MIT"]
+
+
+def plain_notices(text):
+    """All passages of exactly a template's length that equal it; of overlapping ones the longest, then the first."""
+    words = [canonical(w.lower()) for w in WORD.findall(text)]
+    hits = [
+        (-len(t.words), n, a) for n, t in enumerate(TEMPLATES) for a in range(len(words)) if words[a : a + len(t.words)] == t.words
+    ]
+    taken = []
+    for size, n, a in sorted(hits):
+        if all(a - size <= c or a >= d for c, d, _ in taken):
+            taken.append((a, a - size, n))
+    return [TEMPLATES[n].license for _, _, n in sorted(taken)]
+
+
+def test_equals_plain_scan_on_whole_notices():
+    """Whole notices in any order, between words that no notice holds."""
+    r = random.Random(9)
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(0, 8)):
+            parts += [r.choice(TEMPLATES).text] if r.random() < 0.6 else [" ".join(r.choices(["zebra", "xylo", "quark"], k=r.randint(1, 40)))]
+        text = "\n".join(parts)
+        exact = [n["license"] for n in notices(text) if n["coverage"] == 1.0]
+        assert exact == plain_notices(text)
+
+
+def test_many_notices_take_linear_time():
+    def seconds(k):
+        start = time.perf_counter()
+        assert len(notices("Released under the MIT License. " * k)) == k
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(16_000) < 12 * max(seconds(4_000), 0.05)
+    start = time.perf_counter()
+    assert notices("permission sublicense " * 20_000) == []
+    assert time.perf_counter() - start < 60
+
+
 def test_spans_and_rows(spark):
     rows = [(1, "İ Released under the MIT License. x"), (2, None), (3, ""), (None, "Licensed under CC BY-NC 4.0."), (4, "Licensed under CC BY-NC 4.0."), (4, "Licensed under CC BY-NC 4.0.")]
     df = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], "doc_id bigint, text string, license string, start int")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -101,6 +102,9 @@ _SPDX = (
     "LGPL-2.1 LGPL-3.0 AGPL-3.0 GPL-2.0-or-later GPL-3.0-or-later LGPL-2.1-or-later LGPL-3.0-or-later AGPL-3.0-or-later"
 ).split()
 _SPDX_NAMES = [(i, i) for i in _SPDX] + [(f"{i}-only", i) for i in _SPDX if "GPL" in i and not i.endswith("later")]
+#: Words of an expression of SPDX, and how far behind the tag its names are looked for.
+SPDX_WORDS = frozenset(["or", "and", "with", *[name.lower() for name, _ in _SPDX_NAMES]])
+SPDX_REACH = 16
 
 # Notices as the licenses ask for them, or as they are commonly shortened; full texts of the short licenses
 # and the headings of the long ones.
@@ -234,12 +238,55 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _hits(words: list[str], here: dict[str, list[int]], t: Template, number: int, coverage: float) -> list[tuple]:
+    """Passages of a text that are a template's: (aligned words, length, number of the template, first word, last word).
+
+    The rarest needed word says where a passage may begin. Passages equal to the template come first; what is left of
+    the text between them is aligned with some room around each place.
+    """
+    rare = min(t.needed_words, key=lambda w: len(here[w]))
+    size, tagged = len(t.words), TAG in t.needed
+    slack = SPDX_REACH if tagged else max(2, size // 4)
+    offsets = [k for k, w in enumerate(t.words) if w == rare]
+    starts = sorted({p - o for p in here[rare] for o in offsets})
+    out, firsts, lasts = [], [], []
+    for start in starts:
+        if start >= 0 and (not lasts or start > lasts[-1]) and words[start : start + size] == t.words:
+            out.append((-size, size, number, start, start + size - 1))
+            firsts.append(start)
+            lasts.append(start + size - 1)
+    for start in starts:
+        k = bisect_right(firsts, start)
+        if k and start <= lasts[k - 1]:
+            continue
+        low = max(0, start - slack, lasts[k - 1] + 1 if k and not tagged else 0)
+        high = min(len(words), start + size + slack + slack // 2, firsts[k] if k < len(firsts) else len(words))
+        if any((j := bisect_left(here[w], low)) == len(here[w]) or here[w][j] >= high for w in t.needed_words):
+            continue
+        pairs = aligned(words[low:high], t.words)
+        got = {t.words[b] for _, b in pairs}
+        if not pairs or len(pairs) < coverage * size or not got.issuperset(t.needed_words):
+            continue
+        a, b = low + pairs[0][0], low + pairs[-1][0]
+        between = words[a + 1 : b]
+        if tagged:
+            # Further names of an expression count where they stand, so that all names of it are found.
+            if b - a >= size and not (words[b - 1] in ("or", "and") and all(w in SPDX_WORDS for w in between)):
+                continue
+            a = b if b - a >= size else a
+        elif (size < SHORT and TAG in words[a : b + 1]) or not frozenset(t.barred).isdisjoint(words[a : b + 1]):
+            continue
+        out.append((-len(pairs), b - a + 1, number, a, b))
+    return out
+
+
 def notices(text: str, templates: tuple[Template, ...] = TEMPLATES, coverage: float = COVERAGE) -> list[dict]:
     """Notices found in a text: license, coverage (share of the template's words aligned), start, end (characters).
 
-    Where the rarest needed word of a template stands in the text, the passage around it is aligned; passages of equal
-    place are looked at once, so work is linear in the text. Of notices that overlap, the one with most aligned words
-    stays (of equals the better covered, then the first template).
+    Where the rarest needed word of a template stands in the text, the passage around it is aligned. For each such place
+    that is as much work as the template is long, and places are told apart by bisection. Of passages that overlap, the
+    one with most aligned words stays (of equals the shorter, then the first template); what stands next to each other
+    is found each.
     """
     found = list(WORD.finditer(text.lower())) if len(text.lower()) == len(text) else list(WORD.finditer(text))
     words = [canonical(w.group().lower()) for w in found]
@@ -250,31 +297,32 @@ def notices(text: str, templates: tuple[Template, ...] = TEMPLATES, coverage: fl
             here.setdefault(w, []).append(k)
     hits = []
     for number, t in enumerate(templates):
-        if any(w not in here for w in t.needed_words):
+        if all(w in here for w in t.needed_words):
+            hits += _hits(words, here, t, number, coverage)
+    # Passages that equal a template are not cut by one that is only like another, nor all together part of a lesser one.
+    crossed, inside = [0] * (len(words) + 2), [0] * (len(words) + 2)
+    for matched, length, _, a, b in hits:
+        if length == -matched:
+            crossed[a + 1] += 1
+            inside[a + 1] += 1
+            crossed[b + 1] -= 1
+            inside[b + 2] -= 1
+    crossed = list(accumulate(crossed))
+    equal = list(accumulate(min(n, 1) for n in accumulate(inside)))  # words before each place that are in such a passage
+    hits = [
+        (matched, length, number, a, b)
+        for matched, length, number, a, b in hits
+        if length == -matched or not (crossed[a] or crossed[b + 1] or equal[b + 1] - equal[a] >= -matched)
+    ]
+    out, firsts, lasts = [], [], []
+    for matched, _, number, a, b in sorted(hits):
+        k = bisect_right(firsts, b)
+        if k and lasts[k - 1] >= a:
             continue
-        rare = min(t.needed_words, key=lambda w: len(here[w]))
-        size, slack = len(t.words), max(2, len(t.words) // 4)
-        offsets = [k for k, w in enumerate(t.words) if w == rare]
-        last = None
-        for start in sorted({p - o for p in here[rare] for o in offsets}):
-            if last is not None and start <= last + slack // 2:
-                continue
-            last = start
-            low, high = max(0, start - slack), min(len(words), start + size + slack + slack // 2)
-            pairs = aligned(words[low:high], t.words)
-            got = {t.words[b] for _, b in pairs}
-            if pairs and len(pairs) >= coverage * size and got.issuperset(t.needed_words):
-                a, b = low + pairs[0][0], low + pairs[-1][0]
-                between = set(words[a : b + 1])
-                across = b - a >= size if TAG in t.needed else size < SHORT and TAG in between
-                if across or not between.isdisjoint(t.barred):
-                    continue
-                hits.append((-len(pairs), -len(pairs) / size, number, a, b))
-    out, taken = [], []
-    for matched, covered, number, a, b in sorted(hits):
-        if all(b < c or a > d for c, d in taken):
-            taken.append((a, b))
-            out.append({"license": templates[number].license, "coverage": -covered, "words": -matched, "start": found[a].start(), "end": found[b].end()})
+        firsts.insert(k, a)
+        lasts.insert(k, b)
+        share = -matched / len(templates[number].words)
+        out.append({"license": templates[number].license, "coverage": share, "words": -matched, "start": found[a].start(), "end": found[b].end()})
     return sorted(out, key=lambda x: x["start"])
 
 
@@ -282,7 +330,7 @@ def license_scan(docs: DataFrame, text: str = "text", templates: tuple[Template,
     """One row for each notice in whole texts: ``doc_id, license, coverage, words, start, end, notice``.
 
     ``start`` and ``end`` are characters, ``notice`` is the text between. NULL and empty texts have none; repeated rows
-    are scanned each; other columns are left out. The templates are a fixed small table; nothing is shuffled.
+    are scanned each; an empty table gives no rows; other columns are left out. The templates are a fixed small table; nothing is shuffled.
     """
     given = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     added = "license string, coverage double, words int, start int, end int, notice string"
