@@ -206,6 +206,23 @@ def wide_parity(spark, sf):
     return diff.diff_counts(*_line_pair(spark, sf))
 
 
+@query
+def hash_parity(spark, sf):
+    """The same rows by sums of hashes, and exactly where these differ; and a side against itself in another order."""
+    left, right = _line_pair(spark, sf)
+    same = diff.diff_counts_by_hash(left, left.repartition(7), by=["l_returnflag"]).withColumn("pair", F.lit("equal"))
+    return diff.diff_counts_by_hash(left, right, by=["l_returnflag"]).withColumn("pair", F.lit("changed")).unionByName(same)
+
+
+@query
+def bucketed_parity(spark, sf):
+    """The same rows from tables that are bucketed by order."""
+    names = [f"twinrun_{side}_{uuid.uuid4().hex}" for side in ("left", "right")]
+    for name, df in zip(names, _line_pair(spark, sf)):
+        sinks.save_bucketed(df, name, _folder(spark, name), "l_orderkey", 8)
+    return diff.diff_counts(*[spark.table(n) for n in names], by=["l_linestatus"])
+
+
 @query
 def text_parity(spark, sf):
     """Whole documents as rows, long texts included. The seeded difference: a character more in some texts."""

@@ -275,6 +275,11 @@ EXCEPT ALL
 SELECT o_custkey % 50, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 10 <> 3""",
     "diff_counts": f"WITH {_EVENTS} SELECT {_counts()}",
     "wide_parity": f"WITH {_LINES} SELECT {_counts()}",
+    "hash_parity": f"""
+WITH {_LINES}, {_counts("l_returnflag")}
+SELECT *, 'changed' AS pair FROM counts
+UNION ALL SELECT l_returnflag, count(*), count(*), 0, 0, 'equal' FROM a GROUP BY l_returnflag""",
+    "bucketed_parity": f"WITH {_LINES}, {_counts('l_linestatus')} SELECT * FROM counts",
     "text_parity": f"""
 WITH a AS (SELECT * FROM documents),
 b AS (SELECT * REPLACE (CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END AS text) FROM documents), {_counts("lang")}

@@ -29,6 +29,9 @@ def test_counts_equal_except_all(spark, a, b):
     expected = (len(a), len(b), left.exceptAll(right).count(), right.exceptAll(left).count())
     assert counts(left, right) == [expected]
     assert counts(left, right, keyed=True) == [expected]
+    assert [tuple(r) for r in diff.diff_counts_by_hash(left, right, buckets=7).collect()] == [expected]
+    grouped = [sorted(map(repr, f(left, right, by=["s"]).collect())) for f in (diff.diff_counts, diff.diff_counts_by_hash)]
+    assert grouped[0] == grouped[1]
 
 
 @pytest.mark.parametrize("keyed", [False, True])
@@ -44,6 +47,40 @@ def test_equal_values_with_other_bits(spark, keyed):
         "array(map('k', -0.0F)) AS am, 'abc' COLLATE UTF8_LCASE AS t FROM range(50)"
     )
     assert counts(left, right, keyed=keyed) == [(50, 50, 0, 0)]
+    for pair in ((left, right), (left.drop("t"), right.drop("t"))):  # with collated text, and without
+        assert [tuple(r) for r in diff.diff_counts_by_hash(*pair).collect()] == [(50, 50, 0, 0)]
+
+
+def test_equal_sides_by_hash_shuffle_no_rows(spark):
+    left = spark.range(1000).select("id", F.concat(F.lit("long text "), "id").alias("t"))
+    equal = diff.diff_counts_by_hash(left, left.orderBy(F.desc("id")))
+    assert tuple(equal.first()) == (1000, 1000, 0, 0)
+    assert "long text" not in equal._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+    one = diff.diff_counts_by_hash(left, left.withColumn("t", F.when(F.col("id") == 7, "x").otherwise(F.col("t"))))
+    assert tuple(one.first()) == (1000, 1000, 1, 1)
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket" in plan and plan.count("Union") >= 2
+    twice = diff.diff_counts_by_hash(left.union(left.where("id = 3")), left.union(left.where("id = 4")))
+    assert tuple(twice.first()) == (1001, 1001, 1, 1)
+    with pytest.raises(diff.NotComparable):
+        diff.diff_counts_by_hash(left, left.select("id"))
+
+
+def test_bucketed_sides_are_counted_where_they_lie(spark, tmp_path):
+    from twinrun.sources.sinks import save_bucketed
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    for name, df in {"bucketed_a": rows, "bucketed_b": rows.where("l_orderkey <> 1")}.items():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        save_bucketed(df, name, str(tmp_path / name), "l_orderkey", 4)
+    a, b = spark.table("bucketed_a"), spark.table("bucketed_b")
+    for by in ([], ["l_returnflag"]):
+        found = diff.diff_counts(a, b, by=by)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, diff.diff_counts(rows, rows.where("l_orderkey <> 1"), by=by).collect()))
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange") == 1 and "Exchange" not in plan[plan.index(", v9#") :]  # what moves are the sums
+    for name in ("bucketed_a", "bucketed_b"):
+        spark.sql(f"DROP TABLE {name}")
 
 
 def test_null_nan_and_zero_are_equal_to_themselves(spark):

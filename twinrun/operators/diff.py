@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinrun.session import computed_once
+
 COUNTS = ("left_count", "right_count", "only_in_left", "only_in_right")
 
 _TEXT_LIKE = (T.StringType, T.VarcharType, T.CharType)
@@ -117,20 +119,29 @@ def _tagged(df: DataFrame, by: Sequence[str], as_text: Sequence[bool], left: boo
     return flat.select(*[F.expr(c) if isinstance(c, str) else c for c in (*picked, *tags)])
 
 
-def _tally(left: DataFrame, right: DataFrame, by: Sequence[str], keyed: bool = False) -> DataFrame:
-    """Distinct rows as ``by0.., v0..`` with ``n_left`` and ``n_right``. One shuffle of both sides.
-
-    When most rows are unique (``keyed``) counting them before the shuffle finds little to merge, so the rows are
-    shuffled first and counted once. Without that knowledge copies are merged first, so a hot row stays harmless.
-    """
+def _union(left: DataFrame, right: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Both sides tagged and united by position, and the columns that make up a row."""
     l_types = [left.schema.fields[i].dataType for i in _split_columns(left, by)[1]]
     r_types = [right.schema.fields[i].dataType for i in _split_columns(right, by)[1]]
     if len(l_types) != len(r_types):
         raise NotComparable(f"{len(l_types)} columns against {len(r_types)}")
     as_text = [_needs_text(a, b) for a, b in zip(l_types, r_types)]
-    try:  # analysis only: types without a common one, or without equality, are refused here
+    try:  # analysis only: types without a common one are refused here
         both = _tagged(left, by, as_text, True).union(_tagged(right, by, as_text, False))
-        keys = [c for c in both.columns if c not in ("n_left", "n_right")]
+        return both, [c for c in both.columns if c not in ("n_left", "n_right")]
+    except AnalysisException as refused:
+        raise NotComparable(str(refused)) from refused
+
+
+def _tally(left: DataFrame, right: DataFrame, by: Sequence[str], keyed: bool = False) -> DataFrame:
+    """Distinct rows as ``by0.., v0..`` with ``n_left`` and ``n_right``. One shuffle of both sides.
+
+    When most rows are unique (``keyed``) counting them before the shuffle finds little to merge, so the rows are
+    shuffled first and counted once. Without that knowledge copies are merged first, so a hot row stays harmless. Sides
+    that are bucketed alike by some of their columns (``save_bucketed``) are counted where they lie, without a shuffle.
+    """
+    both, keys = _union(left, right, by)
+    try:  # analysis only: types without equality are refused here
         both = both.repartition(*keys) if keyed else both
         return both.groupBy(*keys).agg(F.expr("sum(n_left) AS n_left"), F.expr("sum(n_right) AS n_right"))
     except AnalysisException as refused:
@@ -170,6 +181,82 @@ def diff_counts(left: DataFrame, right: DataFrame, by: Sequence[str] = (), keyed
     return counts.toDF(*by, *COUNTS)
 
 
+# ---------------------------------------------------------------- proof by hashes
+
+#: Buckets of the first pass, and the bits of the two 64-bit row hashes that are summed as one number each.
+HASH_BUCKETS = 4096
+_PIECES = ((0, 24), (24, 24), (48, 16))
+
+
+def _hashable(value: Column, dtype: T.DataType) -> Column:
+    """A value whose hash is equal for equal values: a MAP by its sorted entries."""
+    if isinstance(dtype, T.MapType):
+        entries = F.transform(
+            F.map_entries(value),
+            lambda e: F.struct(_hashable(e["key"], dtype.keyType).alias("k"), _hashable(e["value"], dtype.valueType).alias("v")),
+        )
+        return F.array_sort(entries)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: _hashable(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        parts = [_hashable(value[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(dtype.fields)]
+        return F.when(value.isNotNull(), F.struct(*parts))
+    return value
+
+
+def _collated(dtype: T.DataType) -> bool:
+    """Text that is equal by a collation, which hashes do not know of."""
+    if isinstance(dtype, T.ArrayType):
+        return _collated(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _collated(dtype.keyType) or _collated(dtype.valueType)
+    if isinstance(dtype, T.StructType):
+        return any(_collated(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, T.StringType) and not dtype.isUTF8BinaryCollation()
+
+
+def diff_counts_by_hash(left: DataFrame, right: DataFrame, by: Sequence[str] = (), buckets: int = HASH_BUCKETS) -> DataFrame:
+    """``diff_counts`` for large sides that are equal for the most part: equality of a bucket is proved by hashes.
+
+    The first pass, run at once, deals rows to buckets by their hash and sums 128 bits of hash over each bucket and side;
+    a task sends one row for each bucket and group, no matter how long rows are. Where sums and counts are equal, rows are
+    taken as equal. The rows of the other buckets are compared exactly, in a second pass that reads the rows of those
+    alone into the shuffle. Two different multisets pass as equal with a chance of about 2**-128, unless somebody makes
+    rows for that purpose; ``diff_counts`` is exact, and is what collated text gets. NULL, NaN, zeros, MAP and VARIANT are
+    treated as there.
+    """
+    both, _ = _union(left, right, by)
+    if _collated(both.schema):
+        return diff_counts(left, right, by)
+    groups = [f"by{i}" for i in range(len(by))]
+    rows = [f for f in both.schema.fields if f.name not in ("n_left", "n_right")]
+    values = [part for f in rows for part in (F.col(f.name).isNull(), _hashable(F.col(f.name), f.dataType))]
+    # Of two seeds; the bucket is a hash of its own, or else the rows of a bucket would share bits of the sums.
+    hashed = both.withColumns({f"h{n}": F.xxhash64(F.lit(n), *values) for n in range(2)})
+    hashed = hashed.withColumn("bucket", F.pmod(F.hash("h0", "h1"), F.lit(buckets)))
+    sums = [
+        F.sum(F.shiftrightunsigned(f"h{n}", start).bitwiseAND((1 << bits) - 1) * (F.col("n_left") - F.col("n_right"))).alias(f"s{n}_{start}")
+        for n in range(2)
+        for start, bits in _PIECES
+    ]
+    proof = hashed.groupBy(*groups, "bucket").agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"), *sums)
+    proof = computed_once(proof, "proof")
+    equal = reduce(Column.__and__, [F.col(f"s{n}_{start}") == 0 for n in range(2) for start, _ in _PIECES])
+    open_buckets = [r.bucket for r in proof.where(~(equal & (F.col("n_left") == F.col("n_right")))).select("bucket").distinct().collect()]
+
+    named = [F.col(g) for g in groups]
+    totals = proof.select(*named, "n_left", "n_right", F.lit(0).cast("bigint").alias("l"), F.lit(0).cast("bigint").alias("r"))
+    if open_buckets:
+        differ = hashed.where(F.col("bucket").isin(open_buckets)).groupBy(*[f.name for f in rows])
+        tallied = differ.agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
+        none = F.lit(0).cast("bigint")
+        more = [F.greatest(F.col(a) - F.col(b), none) for a, b in (("n_left", "n_right"), ("n_right", "n_left"))]
+        totals = totals.union(tallied.select(*named, none, none, *more))
+    columns = ("n_left", "n_right", "l", "r")
+    counts = totals.groupBy(*groups).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for c, n in zip(columns, COUNTS)])
+    return counts.toDF(*by, *COUNTS)
+
+
 def side_counts(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The two row counts alone, for sides whose rows cannot be compared; the differences are NULL."""
     keys = [quoted(k) for k in by]

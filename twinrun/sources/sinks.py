@@ -37,6 +37,12 @@ def write_stored_report_text(spark: SparkSession, report_path: str, path: str, m
     write_report_text(spark.read.parquet(report_path), path, mode, totals)
 
 
+def save_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int, mode: str = "error") -> None:
+    """A table of the catalog whose files at ``path`` are dealt by ``key``. Two sides saved with the same key and number of
+    buckets are compared without a shuffle of their rows, as often as they are compared."""
+    df.repartition(buckets, key).write.mode(mode).option("path", path).bucketBy(buckets, key).format("parquet").saveAsTable(name)
+
+
 def write_context(parts: DataFrame, path: str, mode: str = "error", parts_per_volume: int | None = None) -> None:
     """Documents as ``pipeline=<name>/`` text folders from ``context_parts`` rows.
 
