@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,24 @@ def test_html_to_text(spark, html, expected):
     assert one(spark, fn.html_to_text(F.lit(html))) == expected
 
 
+def test_tags_go_as_by_pattern(spark):
+    """Against the patterns that say what a tag is, on texts made of what tags are made of."""
+    r = random.Random(6)
+    cases = ["".join(r.choices(["<", ">", "<b", "/", "</p>", "<br />", "a", " ", "\n", "é"], k=r.randint(0, 25))) for _ in range(400)]
+    got = {x.t: x.g for x in spark.createDataFrame([(c,) for c in cases], "t string").select("t", fn.html_to_text("t").alias("g")).collect()}
+    for case in cases:
+        text = re.sub(r"(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|tr)>", "\n", case)
+        assert got[case] == re.sub(r"\n{3,}", "\n\n", re.sub(r"<[^>]+>", "", text)).strip(), repr(case)
+
+
+@pytest.mark.parametrize("piece", ["<", "<a ", "< <b", "<!-- x ", "a>"])
+def test_tags_that_never_end_take_linear_time(spark, piece):
+    html = piece * (1_000_000 // len(piece))
+    start = time.time()
+    assert one(spark, fn.html_to_text(F.lit(html))).startswith(piece.strip()[:1])
+    assert time.time() - start < 10
+
+
 def test_html_to_text_without_scripts(spark):
     html = "<script type='x'>a</b>\n</script>keep<STYLE>p{}</STYLE>"
     assert one(spark, fn.html_to_text(F.lit(html), drop_scripts=True)) == "keep"
@@ -370,3 +389,68 @@ def test_definition_text_is_stripped_by_its_lines(spark):
     )
     rows = spark.createDataFrame([(text, want), ("t:", "t:"), ("", ""), (None, None), ("t: {path: 1}", "t: {path: 1}")], "text string, want string")
     assert [r for r in rows.select(strip_definition_text("text").alias("got"), "want").collect() if r.got != r.want] == []
+
+
+def _plain_strip(text):
+    """Definitions line by line, with what is open kept in variables."""
+    from twinrun.operators.definitions import DROPPED_ATTRIBUTES
+
+    head, *lines = text.split("\n")
+    out, attr, col, cattr, mode, every, told, telling = [head], None, None, None, "", [], [], False
+
+    def close():
+        nonlocal every, told
+        out.extend([every[0], *told] if told else every)
+        every, told = [], []
+
+    for line in lines:
+        if not line.strip(" "):
+            continue
+        indent, item = len(line) - len(line.lstrip(" ")), line.lstrip(" ").startswith("-")
+        found = re.match(r"^[ \t]*([^:]+?)[ \t]*:", line)
+        name = found[1].strip("'\"") if found else ""
+        if attr is None or indent < attr or (indent == attr and not item):
+            close()
+            attr, col = indent if attr is None else attr, None
+            mode = "drop" if name in DROPPED_ATTRIBUTES else "schema" if name == "schema" else "keep"
+            if mode != "drop":
+                out.append(line)
+        elif mode == "keep":
+            out.append(line)
+        elif mode == "schema" and (col is None or (indent <= col and not item)):
+            close()
+            col, cattr, telling, every = indent if col is None else col, None, False, [line]
+        elif mode == "schema":
+            cattr = indent if cattr is None else cattr
+            if indent <= cattr and not item:
+                telling = name == "description"
+            every.append(line)
+            if telling:
+                told.append(line)
+    close()
+    return "\n".join(out)
+
+
+def test_definitions_are_stripped_as_by_a_plain_reader(spark):
+    from twinrun.operators.definitions import strip_definition_text
+
+    r = random.Random(8)
+    keys = ["path:", "schema:", "description: x", "'description': y", "owner: z", "type: int", "- a: b", "- c", "", "  ", "primary_key:", "plain text"]
+    cases = ["\n".join(["t:", *[" " * r.choice([0, 2, 2, 4, 4, 6, 8]) + r.choice(keys) for _ in range(r.randint(0, 30))]]) for _ in range(300)]
+    rows = spark.createDataFrame([(c,) for c in cases], "t string").select("t", strip_definition_text("t").alias("g")).collect()
+    for row in rows:
+        assert row.g == _plain_strip(row.t), row.t
+
+
+def test_long_definitions_take_linear_time(spark):
+    from twinrun.operators.definitions import strip_definition_text
+
+    def seconds(n):
+        column = "    c%d:\n      type: int\n      description: d\n"
+        text = "t:\n  schema:\n" + "".join(column % i for i in range(n)) + "  owner: x\n" * n
+        start = time.time()
+        assert one(spark, strip_definition_text(F.lit(text))).count("\n") == 1 + 2 * n + n
+        return time.time() - start
+
+    seconds(10)
+    assert seconds(20_000) < 20

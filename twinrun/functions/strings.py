@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +39,8 @@ def blank_to_null(value: Column | str) -> Column:
 def first_group(value: Column | str, pattern: str, group: int = 1) -> Column:
     """``regexp_extract`` that gives NULL instead of an empty string when nothing matches."""
     return blank_to_null(F.regexp_extract(column(value), pattern, group))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinrun.functions.strings import WS, column
+from twinrun.functions.strings import WS, bound, column
 from twinrun.functions.text import output_table
 from twinrun.operators.sections import cut_lines
 
@@ -67,63 +67,69 @@ def strip_keys(definitions: DataFrame) -> DataFrame:
     )
 
 
+def _sections(rows: Column, starts: Callable[[Column, Column], Column]) -> Column:
+    """Rows cut before each row that starts a section; rows before the first of them are left out."""
+    marked = F.filter(F.transform(rows, lambda x, i: F.when(starts(x, i), i)), lambda i: i.isNotNull())
+    cut = lambda at: F.transform(
+        at, lambda p, k: F.slice(rows, p + 1, F.coalesce(F.get(at, k + 1), F.size(rows)) - p)
+    )
+    return bound(marked, cut)
+
+
+def _first_indent(rows: Column) -> Column:
+    return F.get(rows, F.lit(0))["indent"]
+
+
+def _column_lines(rows: Column) -> Column:
+    """Lines of one column: its name and the attributes that describe it, or all where none does."""
+
+    def told(body: Column) -> Column:
+        attributes = _sections(body, lambda x, _: (x["indent"] <= _first_indent(body)) & ~x["item"])
+        return F.flatten(F.filter(attributes, lambda s: F.get(s, F.lit(0))["name"] == KEPT_ATTRIBUTE))
+
+    described = bound(F.slice(rows, F.lit(2), F.size(rows)), told)
+    return bound(described, lambda d: F.when(F.size(d) > 0, F.concat(F.slice(rows, 1, 1), d)).otherwise(rows))
+
+
+def _attribute_lines(rows: Column) -> Column:
+    """Lines of one attribute of a table: none of a dropped one, the columns of ``schema``, all of any other."""
+    name = F.get(rows, F.lit(0))["name"]
+
+    def columns(body: Column) -> Column:
+        starts = lambda x, i: (i == 0) | ((x["indent"] <= _first_indent(body)) & ~x["item"])
+        return F.flatten(F.transform(_sections(body, starts), _column_lines))
+
+    kept = F.concat(F.slice(rows, 1, 1), bound(F.slice(rows, F.lit(2), F.size(rows)), columns))
+    return F.when(name.isin(*DROPPED_ATTRIBUTES), F.slice(rows, 1, 0)).when(name == "schema", kept).otherwise(rows)
+
+
 def strip_definition_text(block: Column | str) -> Column:
     """The same on the text of a definition, by its lines and their indentation: no parser is needed, and what stays
     stands as it was written.
 
     The first indented line gives the depth of the table's attributes. Below ``schema:`` the next depth holds columns,
-    the one after it their attributes. List items at the depth of their key belong to it; blank lines go. The lines of
-    one definition are folded in one pass, so this is for definitions, not for long files.
+    the one after it their attributes. List items at the depth of their key belong to it; blank lines go. Lines are cut
+    into attributes, these into columns and those into what describes them, each line once per depth.
     """
-    lines = F.split(column(block), "\n")
-    none = F.array().cast("array<string>")
-    start = F.struct(
-        none.alias("out"),
-        *[F.lit(-1).alias(n) for n in ("attr", "col", "cattr")],
-        *[F.lit(False).alias(n) for n in ("drop", "schema", "described")],
-        *[none.alias(n) for n in ("every", "told")],
-    )
 
-    def update(acc: Column, **new: Column) -> Column:
-        names = ("out", "attr", "col", "cattr", "drop", "schema", "described", "every", "told")
-        return F.struct(*[new.get(n, acc[n]).alias(n) for n in names])
-
-    def flushed(acc: Column) -> Column:
-        """The output with the column that is being read: its name and description, or all of it."""
-        short = F.concat(F.slice(acc["every"], 1, 1), acc["told"])
-        return F.concat(acc["out"], F.when(F.size(acc["told"]) > 0, short).otherwise(acc["every"]))
-
-    def step(acc: Column, line: Column) -> Column:
-        indent = F.length(line) - F.length(F.ltrim(line))
-        name = F.trim(F.regexp_extract(line, r"^\s*([^:]+?)\s*:", 1), F.lit("'\""))
-        one, item = F.array(line), F.ltrim(line).startswith("-")
-        attr = F.when(acc["attr"] < 0, indent).otherwise(acc["attr"])
-        top = update(
-            acc, out=F.concat(flushed(acc), F.when(name.isin(*DROPPED_ATTRIBUTES), none).otherwise(one)), attr=attr,
-            drop=name.isin(*DROPPED_ATTRIBUTES), schema=name == "schema", col=F.lit(-1), every=none, told=none,
-        )
-        new_column = update(
-            acc, out=flushed(acc), col=F.when(acc["col"] < 0, indent).otherwise(acc["col"]), cattr=F.lit(-1),
-            described=F.lit(False), every=one, told=none,
-        )
-        cattr = F.when(acc["cattr"] < 0, indent).otherwise(acc["cattr"])
-        tells = F.when((indent <= cattr) & ~item, name == KEPT_ATTRIBUTE).otherwise(acc["described"])
-        inside = update(
-            acc, cattr=cattr, described=tells, every=F.concat(acc["every"], one),
-            told=F.concat(acc["told"], F.when(tells, one).otherwise(none)),
-        )
-        starts = (acc["attr"] < 0) | (indent < acc["attr"]) | ((indent == acc["attr"]) & ~item)
-        return (
-            F.when(F.trim(line) == "", acc)
-            .when(starts, top)
-            .when(acc["drop"], acc)
-            .when(acc["schema"] & ((acc["col"] < 0) | ((indent <= acc["col"]) & ~item)), new_column)
-            .when(acc["schema"], inside)
-            .otherwise(update(acc, out=F.concat(acc["out"], one)))
+    def described(line: Column) -> Column:
+        return F.struct(
+            (F.length(line) - F.length(F.ltrim(line))).alias("indent"),
+            F.ltrim(line).startswith("-").alias("item"),
+            F.trim(F.regexp_extract(line, r"^\s*([^:]+?)\s*:", 1), F.lit("'\"")).alias("name"),
+            line.alias("line"),
         )
 
-    body = F.aggregate(F.slice(lines, F.lit(2), F.size(lines)), start, step, flushed)
-    return F.array_join(F.concat(F.slice(lines, 1, 1), body), "\n")
+    def body(rows: Column) -> Column:
+        depth = _first_indent(rows)
+        starts = lambda x, i: (i == 0) | (x["indent"] < depth) | ((x["indent"] == depth) & ~x["item"])
+        return F.transform(F.flatten(F.transform(_sections(rows, starts), _attribute_lines)), lambda x: x["line"])
+
+    def stripped(lines: Column) -> Column:
+        below = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda line: F.trim(line) != "")
+        return F.array_join(F.concat(F.slice(lines, 1, 1), bound(F.transform(below, described), body)), "\n")
+
+    return bound(F.split(column(block), "\n"), stripped)
 
 
 def source_tables(config: DataFrame) -> DataFrame:
