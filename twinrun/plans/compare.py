@@ -270,14 +270,15 @@ def compare_runs(
     The run id is part of the grouping key next to the row itself, so the rows of a run that holds most of the data are
     spread over all tasks. With ``runs`` (a DataFrame with the ``by`` column once per run, and whatever else is to show
     up in the report, such as ``run_date`` and ``raw_path``) exactly those are reported, a run without rows on either
-    side as equal ones; other runs are dropped before any shuffle. The list is worked out once, where the session names
-    a shared folder. A leaf whose rows do not name their run gets ERROR rows; the other leaves are compared.
+    side as equal ones; other runs are dropped before any shuffle. For several leaves the list is worked out once, where
+    the session names a shared folder. A leaf whose rows do not name their run gets ERROR rows; the other leaves are compared.
     """
     clash = {name for name, _ in REPORT} & set(runs.columns if runs is not None else [by])
     if clash:
         raise ValueError(f"the report has columns of its own named {sorted(clash)}")
 
-    if runs is not None:
+    leaves = pair_leaves(left, right)
+    if runs is not None and len(leaves) > 1:
         runs = computed_once(runs, "runs")
 
     def asked(leaf: Any) -> Any:
@@ -288,7 +289,7 @@ def compare_runs(
         return kept.toDF(*leaf.columns)
 
     pairs, broken = [], {}
-    for pair in pair_leaves(left, right):
+    for pair in leaves:
         try:
             for leaf in (pair.left, pair.right):
                 if isinstance(leaf, DataFrame):
