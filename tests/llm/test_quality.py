@@ -43,3 +43,12 @@ def test_rules(spark):
         assert r.q.failed_rules == cases[r.name][1] and r.q.kept == (not r.q.failed_rules), r
     own = (*RULES, Rule("at least 100", "n_words", low=100))
     assert df.where("name = 'fine'").select(quality(F.col("text"), own)["failed_rules"]).first()[0] == ["at least 100"]
+
+
+def test_share_of_stop_words(spark):
+    """A share of the words, in any case: one stop word does not carry a long text."""
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(1000)]
+    cases = {"none": words, "few": [*words[:991], *["the"] * 9], "enough": [*words[:980], *[f"{x} filler" for x in ("The", "DER", "und", "de")] * 5], "short": words[:49]}
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in cases.items()], "name string, text string")
+    got = {r.name: (r.q.n_stop_words, "stop words" in r.q.failed_rules) for r in df.select("name", quality(F.col("text")).alias("q")).collect()}
+    assert got == {"none": (0, True), "few": (9, True), "enough": (20, False), "short": (0, False)}
