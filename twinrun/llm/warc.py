@@ -2,35 +2,99 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinrun.llm.common import table
+from twinrun.llm.common import let, table
 
 CRLF = "\r\n"
 
 # The format's version line, tags that end a line, and entities in the order they are decoded.
 VERSION = "WARC/1.1"
-HIDDEN = (r"(?is)<!--.*?-->", r"(?is)<script[^>]*>.*?</script[^>]*>", r"(?is)<style[^>]*>.*?</style[^>]*>")
-LINE_END = r"(?i)<(?:br|/p|/div|/h[1-6]|/li|/tr|/title|/article|/section|/nav|hr)[^>]*>"
+#: Elements whose content is no text, and tags that end a line (what their names begin with).
+UNSEEN = ("script", "style")
+LINE_END_TAGS = ("br", "/p", "/div", *[f"/h{n}" for n in range(1, 7)], "/li", "/tr", "/title", "/article", "/section", "/nav", "hr")
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-TITLE = r"(?is)<title[^>]*>(.*?)</title"
-LANGUAGE = r"(?is)<html[^>]* lang=\"([^\"]*)\""
 DATE = "1970-01-01T00:00:00Z"
 
 
+def _after(text: Column, mark: str) -> Column:
+    """What follows the first ``mark``; NULL without one."""
+    at = F.locate(mark, text)
+    return F.when(at > 0, F.substr(text, at + len(mark)))
+
+
+def _closed(piece: Column, name: str) -> Column:
+    """What follows the first closing tag of an element; NULL without one."""
+    return _after(F.get(F.split(piece, f"(?i)</{name}", 2), F.lit(1)), ">")
+
+
+def _without(text: Column, opening: str, closed: Callable[[Column], Column]) -> Column:
+    """A text in which passages from an opening to where they are closed are one space.
+
+    The text is cut at the openings. A piece that closes goes on behind that; one that does not, lies inside as long as
+    a later one closes. Openings that nothing closes stay as they are; ``<!-->`` opens a comment and closes none. Every
+    character is looked at a few times.
+    """
+
+    def put_together(pieces: Column, tails: Column, last: Column) -> Column:
+        def seen(tail: Column, i: Column) -> Column:
+            return F.when(tail.isNotNull(), F.concat(F.lit(" "), tail)).when(i < last, F.lit("")).otherwise(F.concat(F.lit(opening), F.get(pieces, i + 1)))
+
+        return F.concat(pieces[0], F.array_join(F.transform(tails, seen), ""))
+
+    def last_closed(tails: Column) -> Column:
+        closes = F.filter(F.transform(tails, lambda t, i: F.when(t.isNotNull(), i)), lambda i: i.isNotNull())
+        return F.coalesce(F.array_max(closes), F.lit(-1))
+
+    def cut(pieces: Column) -> Column:
+        tails = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda piece: closed(piece))
+        return F.when(F.size(pieces) == 1, pieces[0]).otherwise(let(tails, lambda t: let(last_closed(t), lambda last: put_together(pieces, t, last))))
+
+    return let(F.split(text, f"(?i){opening}"), cut)
+
+
+def _without_tags(text: Column) -> Column:
+    """A tag runs from a ``<`` to the next ``>``; some end a line, the others go without a trace."""
+    ends_line = "(?i)^(?:" + "|".join(LINE_END_TAGS) + ")"
+
+    def outside(pieces: Column) -> Column:
+        def kept(piece: Column, i: Column) -> Column:
+            last, opens = i == F.size(pieces) - 1, F.locate("<", piece)
+            tag = F.substr(piece, opens + 1)
+            shown = F.concat(F.substr(piece, F.lit(1), opens - 1), F.when(tag.rlike(ends_line), F.lit("\n")).otherwise(F.lit("")))
+            return F.when(last, piece).when(opens > 0, shown).otherwise(F.concat(piece, F.lit(">")))
+
+        return F.array_join(F.transform(pieces, kept), "")
+
+    return let(F.split(text, ">"), outside)
+
+
 def plain_text(html: Column) -> Column:
     """Text of a page: comments, scripts and styles go, some tags end a line, all others go, entities are decoded,
-    runs of blanks become one space and empty lines go. An unclosed script is read as text."""
-    text = reduce(lambda t, rx: F.regexp_replace(t, rx, " "), HIDDEN, html)
-    text = F.regexp_replace(F.regexp_replace(text, LINE_END, "\n"), r"<[^>]*>", "")
-    text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    runs of blanks become one space and empty lines go. What is not closed is read as text. Work is linear in the page,
+    also where a great many comments, scripts or tags are opened and none is closed."""
+    text = _without(html, "<!--", lambda piece: _after(piece, "-->"))
+    for name in UNSEEN:
+        text = _without(text, f"<{name}", lambda piece, name=name: _closed(piece, name))
+    text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, _without_tags(text))
     text = F.regexp_replace(F.regexp_replace(text, r"[\t\r\x0b\x0c ]+", " "), r" ?\n[ \n]*", "\n")
     return F.trim(text, F.lit(" \n"))
 
 
+def _title(html: Column) -> Column:
+    inside = F.split(_after(F.get(F.split(html, "(?i)<title", 2), F.lit(1)), ">"), "(?i)</title", 2)
+    return F.coalesce(F.when(F.size(inside) == 2, F.trim(F.regexp_replace(inside[0], r"[\t\r\n ]+", " "))), F.lit(""))
+
+
+def _language(html: Column) -> Column:
+    tag = F.substring_index(F.get(F.split(html, "(?i)<html", 2), F.lit(1)), ">", 1)
+    return F.coalesce(F.regexp_extract(tag, "(?is)^.* lang=\"([^\"]*)\"", 1), F.lit(""))
+
+
 def digest(value: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(value, 256))
 
@@ -70,10 +134,13 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
     The conversion holds the plain text. The metadata record names the source (id, HTTP status line and headers,
     digest) and what was found in it. Both refer to the response and to each other; ids follow from the response's id,
     so a repeated run or a repeated row gives the same ids. ``record`` is the whole record up to its two final line
-    ends. A NULL target is left out of the headers; NULL payloads give an empty text. Other columns are left out. One
-    projection and one explode: nothing is shuffled.
+    ends. Responses may bring ``payload_digest`` (the source's WARC-Payload-Digest, which then is the source's digest) and
+    ``warc_headers`` (its own header lines, carried as they are). A NULL target is left out of the headers; NULL payloads
+    give an empty text; without a date it is 1970. Other columns are left out; an empty table gives no rows. Work is
+    linear in a page. One projection and one explode: nothing is shuffled.
     """
     payload = F.coalesce(F.col("payload"), F.lit(""))
+    own = digest(payload)
     base = responses.select(
         F.col(key).alias("key"),
         F.col("record_id").alias("source"),
@@ -81,9 +148,10 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
         F.coalesce("date", F.lit(DATE)).alias("date"),
         F.coalesce("http_headers", F.lit("")).alias("http"),
         plain_text(payload).alias("text"),
-        digest(payload).alias("source_digest"),
-        F.trim(F.regexp_replace(F.regexp_extract(payload, TITLE, 1), r"[\t\r\n ]+", " ")).alias("title"),
-        F.regexp_extract(payload, LANGUAGE, 1).alias("language"),
+        (F.coalesce("payload_digest", own) if "payload_digest" in responses.columns else own).alias("source_digest"),
+        (F.coalesce("warc_headers", F.lit("")) if "warc_headers" in responses.columns else F.lit("")).alias("warc"),
+        _title(payload).alias("title"),
+        _language(payload).alias("language"),
     )
     ids = {kind: record_id(kind, F.col("source")) for kind in ("metadata", "conversion")}
     about = _fields(
@@ -94,8 +162,9 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
         ("text-characters", F.length("text").cast("string")),
     )
     # Source headers are kept as they came, one field for each line.
-    source_lines = F.transform(F.filter(F.split("http", CRLF), lambda x: x != ""), lambda x: F.concat(F.lit("source-http-header: "), x, F.lit(CRLF)))
-    about = F.concat(about, F.array_join(source_lines, ""))
+    for name, of in (("warc", "source-warc-header"), ("http", "source-http-header")):
+        given = F.filter(F.split(name, CRLF), lambda x: x != "")
+        about = F.concat(about, F.array_join(F.transform(given, lambda x: F.concat(F.lit(f"{of}: "), x, F.lit(CRLF))), ""))
 
     def record(kind: str, other: str, content_type: str, block: Column) -> Column:
         head = _fields(
@@ -145,10 +214,10 @@ def _uuid(kind: str, name: str) -> str:
 
 
 def _sql() -> str:
-    text = "payload"
-    for rx in HIDDEN:
+    text, line_end = "payload", "(?i)<(?:" + "|".join(LINE_END_TAGS) + ")[^>]*>"
+    for rx in ("(?is)<!--.*?-->", *[f"(?is)<{name}[^>]*>.*?</{name}[^>]*>" for name in UNSEEN]):
         text = f"regexp_replace({text}, '{rx}', ' ', 'g')"
-    text = f"regexp_replace(regexp_replace({text}, '{LINE_END}', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '{line_end}', chr(10), 'g'), '<[^>]*>', '', 'g')"
     for entity, character in ENTITIES:
         text = f"replace({text}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
     text = f"regexp_replace(regexp_replace({text}, '[\\t\\r\\x0b\\x0c ]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
@@ -172,8 +241,8 @@ def _sql() -> str:
     found AS (
         SELECT *, {_uuid("response", "coalesce(url, '') || '|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || sha256(payload)")} AS source,
                'sha256:' || sha256(payload) AS source_digest, trim({text}, ' ' || chr(10)) AS t,
-               trim(regexp_replace(regexp_extract(payload, '{TITLE}', 1), '[\\t\\r\\n ]+', ' ', 'g'), ' ') AS title,
-               regexp_extract(payload, '{LANGUAGE.replace(chr(92) + '"', '"')}', 1) AS language
+               trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1), '[\\t\\r\\n ]+', ' ', 'g'), ' ') AS title,
+               regexp_extract(payload, '(?is)<html[^>]* lang="([^"]*)"', 1) AS language
         FROM pages_in
     ), whole AS (
         SELECT *, {_uuid("metadata", "source")} AS metadata_id, {_uuid("conversion", "source")} AS conversion_id,
