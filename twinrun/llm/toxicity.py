@@ -35,6 +35,8 @@ ROUNDS = 6
 #: Voters depend on each other if they share more than this (nats) within the classes; below, agreement is put down to the class.
 TIED = 0.05
 TRUST = 0.98
+#: Log-odds that a posterior counts at most next to the label of a row: voters that agree do not outvote it.
+SUREST = 2.0
 THRESHOLD = 0.3
 
 # Words of abuse by kind and language, for the lexicon voters.
@@ -439,8 +441,8 @@ def learned(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tup
         got = fit.collect()
         parts = _unpacked([r.votes for r in got], [r.found for r in got], v)
         target = model.posterior(parts[3])
-        # The label of a training row is one more vote, with the trust that the label model gives it.
-        odds = np.log(target / (1 - target + 1e-12) + 1e-12) + np.where([r.toxic == 1 for r in got], 1, -1) * np.log(TRUST / (1 - TRUST))
+        # The label of a training row is one more vote, which weighs more than the posterior.
+        odds = np.clip(np.log((target + 1e-12) / (1 - target + 1e-12)), -SUREST, SUREST) + np.where([r.toxic == 1 for r in got], 1, -1) * np.log(TRUST / (1 - TRUST))
         target = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         weights = _fitted(*_features(*parts, voters.voter), target, len(voters.keys) + v)
     else:
