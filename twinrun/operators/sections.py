@@ -7,6 +7,7 @@ once, next to the sections asked for, and never once per name.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -145,7 +146,7 @@ def named_blocks(
 # Which form a piece of text belongs to; the first is preferred.
 _MARKED, _HEADED = 1, 2
 
-_MARK_LINE = rf"(?m)(?d)^{WS_INLINE}*{''.join(chr(92) + c for c in SECTION_MARK)}{WS_INLINE}*\n"
+_MARK_LINE = rf"(?m)(?d)^{WS_INLINE}*{re.escape(SECTION_MARK)}{WS_INLINE}*\n"
 _MARKED_HEADER = rf"(?s)^{WS}*([^:]*?){WS}*:{WS_INLINE}*\n(.*)\z"
 # Hash signs and a space open a piece and end the one before. A hash directly followed by its name opens a section too,
 # but ends none: it runs from inside a piece to the end of that piece.
