@@ -16,7 +16,7 @@ CRLF = "\r\n"
 VERSION = "WARC/1.1"
 #: Elements whose content is no text, and tags that end a line (what their names begin with).
 UNSEEN = ("script", "style")
-LINE_END_TAGS = ("br", "/p", "/div", *[f"/h{n}" for n in range(1, 7)], "/li", "/tr", "/title", "/article", "/section", "/nav", "hr")
+LINE_END = r"(?i)<(?:br|/p|/div|/h[1-6]|/li|/tr|/title|/article|/section|/nav|hr)[^>]*>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 DATE = "1970-01-01T00:00:00Z"
 
@@ -27,60 +27,36 @@ def _after(text: Column, mark: str) -> Column:
     return F.when(at > 0, F.substr(text, at + len(mark)))
 
 
-def _closed(piece: Column, name: str) -> Column:
-    """What follows the first closing tag of an element; NULL without one."""
-    return _after(F.get(F.split(piece, f"(?i)</{name}", 2), F.lit(1)), ">")
+def _up_to_last(text: Column, mark: str) -> Column:
+    """The text up to the last ``mark`` and with it; empty without one."""
+    return F.substr(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, mark, -1)))
 
 
-def _without(text: Column, opening: str, closed: Callable[[Column], Column]) -> Column:
-    """A text in which passages from an opening to where they are closed are one space.
+def _replaced(text: Column, up_to: Callable[[Column], Column], pattern: str, by: str) -> Column:
+    """A pattern replaced in the part of a text behind which it cannot end. Within that part whatever begins to match does
+    match, so no search runs to the end in vain, and the work is linear."""
 
-    The text is cut at the openings. A piece that closes goes on behind that; one that does not, lies inside as long as
-    a later one closes. Openings that nothing closes stay as they are; ``<!-->`` opens a comment and closes none. Every
-    character is looked at a few times.
-    """
-
-    def put_together(pieces: Column, tails: Column, last: Column) -> Column:
-        def seen(tail: Column, i: Column) -> Column:
-            return F.when(tail.isNotNull(), F.concat(F.lit(" "), tail)).when(i < last, F.lit("")).otherwise(F.concat(F.lit(opening), F.get(pieces, i + 1)))
-
-        return F.concat(pieces[0], F.array_join(F.transform(tails, seen), ""))
-
-    def last_closed(tails: Column) -> Column:
-        closes = F.filter(F.transform(tails, lambda t, i: F.when(t.isNotNull(), i)), lambda i: i.isNotNull())
-        return F.coalesce(F.array_max(closes), F.lit(-1))
-
-    def cut(pieces: Column) -> Column:
-        tails = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda piece: closed(piece))
-        return F.when(F.size(pieces) == 1, pieces[0]).otherwise(let(tails, lambda t: let(last_closed(t), lambda last: put_together(pieces, t, last))))
-
-    return let(F.split(text, f"(?i){opening}"), cut)
-
-
-def _without_tags(text: Column) -> Column:
-    """A tag runs from a ``<`` to the next ``>``; some end a line, the others go without a trace."""
-    ends_line = "(?i)^(?:" + "|".join(LINE_END_TAGS) + ")"
+    def whole(t: Column) -> Column:
+        return let(up_to(t), lambda head: F.concat(F.regexp_replace(head, pattern, by), F.substr(t, F.length(head) + 1)))
 
-    def outside(pieces: Column) -> Column:
-        def kept(piece: Column, i: Column) -> Column:
-            last, opens = i == F.size(pieces) - 1, F.locate("<", piece)
-            tag = F.substr(piece, opens + 1)
-            shown = F.concat(F.substr(piece, F.lit(1), opens - 1), F.when(tag.rlike(ends_line), F.lit("\n")).otherwise(F.lit("")))
-            return F.when(last, piece).when(opens > 0, shown).otherwise(F.concat(piece, F.lit(">")))
+    return let(text, whole)
 
-        return F.array_join(F.transform(pieces, kept), "")
 
-    return let(F.split(text, ">"), outside)
+def _closed(name: str) -> Callable[[Column], Column]:
+    """The text up to the last closing tag of an element and with it."""
+    return lambda text: let(_up_to_last(text, ">"), lambda head: F.regexp_extract(head, f"(?is)^.*</{name}[^>]*>", 0))
 
 
 def plain_text(html: Column) -> Column:
     """Text of a page: comments, scripts and styles go, some tags end a line, all others go, entities are decoded,
     runs of blanks become one space and empty lines go. What is not closed is read as text. Work is linear in the page,
     also where a great many comments, scripts or tags are opened and none is closed."""
-    text = _without(html, "<!--", lambda piece: _after(piece, "-->"))
+    tags = lambda text: _up_to_last(text, ">")
+    text = _replaced(html, lambda t: _up_to_last(t, "-->"), "(?s)<!--.*?-->", " ")
     for name in UNSEEN:
-        text = _without(text, f"<{name}", lambda piece, name=name: _closed(piece, name))
-    text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, _without_tags(text))
+        text = _replaced(text, _closed(name), f"(?is)<{name}.*?</{name}[^>]*>", " ")
+    text = _replaced(_replaced(text, tags, LINE_END, "\n"), tags, "<[^>]*>", "")
+    text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
     text = F.regexp_replace(F.regexp_replace(text, r"[\t\r\x0b\x0c ]+", " "), r" ?\n[ \n]*", "\n")
     return F.trim(text, F.lit(" \n"))
 
@@ -214,10 +190,10 @@ def _uuid(kind: str, name: str) -> str:
 
 
 def _sql() -> str:
-    text, line_end = "payload", "(?i)<(?:" + "|".join(LINE_END_TAGS) + ")[^>]*>"
+    text = "payload"
     for rx in ("(?is)<!--.*?-->", *[f"(?is)<{name}[^>]*>.*?</{name}[^>]*>" for name in UNSEEN]):
         text = f"regexp_replace({text}, '{rx}', ' ', 'g')"
-    text = f"regexp_replace(regexp_replace({text}, '{line_end}', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '{LINE_END}', chr(10), 'g'), '<[^>]*>', '', 'g')"
     for entity, character in ENTITIES:
         text = f"replace({text}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
     text = f"regexp_replace(regexp_replace({text}, '[\\t\\r\\x0b\\x0c ]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
