@@ -32,30 +32,40 @@ def _up_to_last(text: Column, mark: str) -> Column:
     return F.substr(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, mark, -1)))
 
 
-def _replaced(text: Column, up_to: Callable[[Column], Column], pattern: str, by: str) -> Column:
-    """A pattern replaced in the part of a text behind which it cannot end. Within that part whatever begins to match does
-    match, so no search runs to the end in vain, and the work is linear."""
+def _replaced(text: Column, last: str, opening: str, pattern: str, by: str) -> Column:
+    """A pattern that begins with ``opening`` and ends with ``last`` replaced. Behind the last ``last`` it is not looked for
+    where something opens there, so no search runs to the end in vain, and the work is linear."""
 
     def whole(t: Column) -> Column:
-        return let(up_to(t), lambda head: F.concat(F.regexp_replace(head, pattern, by), F.substr(t, F.length(head) + 1)))
+        head = lambda h: F.concat(F.regexp_replace(h, pattern, by), F.substr(t, F.length(h) + 1))
+        safely = let(_up_to_last(t, last), head)
+        behind = F.substring_index(t, last, -1)
+        return F.when(~F.contains(t, F.lit(opening)), t).when(F.contains(behind, F.lit(opening)), safely).otherwise(F.regexp_replace(t, pattern, by))
 
     return let(text, whole)
 
 
-def _closed(name: str) -> Callable[[Column], Column]:
-    """The text up to the last closing tag of an element and with it."""
-    return lambda text: let(_up_to_last(text, ">"), lambda head: F.regexp_extract(head, f"(?is)^.*</{name}[^>]*>", 0))
+def _without_element(text: Column, name: str) -> Column:
+    """Passages from an opening tag to the next closing one become a space. The same care for text behind the last one."""
+    pattern = f"(?is)<{name}.*?</{name}[^>]*>"
+
+    def whole(t: Column, low: Column) -> Column:
+        closed = let(_up_to_last(t, ">"), lambda head: F.regexp_extract(head, f"(?is)^.*</{name}[^>]*>", 0))
+        safely = let(closed, lambda h: F.concat(F.regexp_replace(h, pattern, " "), F.substr(t, F.length(h) + 1)))
+        behind = F.substring_index(low, f"</{name}", -1)
+        plain = F.contains(behind, F.lit(">")) & ~F.contains(behind, F.lit(f"<{name}"))
+        return F.when(~F.contains(low, F.lit(f"<{name}")), t).when(plain, F.regexp_replace(t, pattern, " ")).otherwise(safely)
+
+    return let(text, lambda t: let(F.lower(t), lambda low: whole(t, low)))
 
 
 def plain_text(html: Column) -> Column:
     """Text of a page: comments, scripts and styles go, some tags end a line, all others go, entities are decoded,
     runs of blanks become one space and empty lines go. What is not closed is read as text. Work is linear in the page,
     also where a great many comments, scripts or tags are opened and none is closed."""
-    tags = lambda text: _up_to_last(text, ">")
-    text = _replaced(html, lambda t: _up_to_last(t, "-->"), "(?s)<!--.*?-->", " ")
-    for name in UNSEEN:
-        text = _replaced(text, _closed(name), f"(?is)<{name}.*?</{name}[^>]*>", " ")
-    text = _replaced(_replaced(text, tags, LINE_END, "\n"), tags, "<[^>]*>", "")
+    text = _replaced(html, "-->", "<!--", "(?s)<!--.*?-->", " ")
+    text = reduce(_without_element, UNSEEN, text)
+    text = _replaced(_replaced(text, ">", "<", LINE_END, "\n"), ">", "<", "<[^>]*>", "")
     text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
     text = F.regexp_replace(F.regexp_replace(text, r"[\t\r\x0b\x0c ]+", " "), r" ?\n[ \n]*", "\n")
     return F.trim(text, F.lit(" \n"))
