@@ -72,8 +72,11 @@ def plain_text(html: Column) -> Column:
 
 
 def _title(html: Column) -> Column:
-    inside = F.split(_after(F.get(F.split(html, "(?i)<title", 2), F.lit(1)), ">"), "(?i)</title", 2)
-    return F.coalesce(F.when(F.size(inside) == 2, F.trim(F.regexp_replace(inside[0], r"[\t\r\n ]+", " "))), F.lit(""))
+    def of_parts(parts: Column) -> Column:
+        return F.when(F.size(parts) == 2, F.trim(F.regexp_replace(parts[0], r"[\t\r\n ]+", " "))).otherwise(F.lit(""))
+
+    opened = F.get(F.split(html, "(?i)<title", 2), F.lit(1))
+    return F.coalesce(let(opened, lambda rest: let(F.split(_after(rest, ">"), "(?i)</title", 2), of_parts)), F.lit(""))
 
 
 def _language(html: Column) -> Column:
