@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from twinrun.llm import warc
 from twinrun.llm.warc import CRLF, ENTITIES, LINE_END, UNSEEN, derive, plain_text, responses_of, write_warc
 
 SCHEMA = "page_id bigint, url string, html string"
@@ -90,3 +91,42 @@ def test_source_headers_and_digest_are_carried(spark):
 
 def test_empty_table(spark):
     assert derive(responses_of(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_ids_and_digests_are_worked_out_before_the_explode(spark):
+    pages = spark.sql("SELECT 1L AS page_id, 'u' AS url, '<p>x</p>' AS html")
+    plan = warc.derive(warc.responses_of(pages))._jdf.queryExecution().optimizedPlan().toString()
+    generate = plan[plan.index("Generate") : plan.index("Project", plan.index("Generate"))]
+    assert "explode" in generate and "sha2(" not in generate
+
+
+def test_patterns_with_fewer_steps_find_the_same(spark):
+    parts = ["<", ">", "</", "br", "BR", "hr", "p", "h1", "h7", "title", "nav", "script", "<script", "</Script", "<STYLE", "</style", "\n", " ", "\t", "x", "é", "<html lang=\"a\""]
+    rng = random.Random(1)
+    rows = [("".join(rng.choices(parts, k=rng.randrange(25))),) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "t string")
+    pairs = {"line": (F.regexp_replace("t", warc.LINE_END, "\n"), F.regexp_replace("t", warc._LINE_END, "\n"))}
+    for name in warc.UNSEEN:
+        pairs[name] = (F.regexp_replace("t", f"(?is)<{name}.*?</{name}[^>]*>", " "), warc._without_element(F.col("t"), name))
+    text = F.col("t")
+    for by, pattern in ((" ", "(?s)<!--.*?-->"), *((" ", f"(?is)<{n}.*?</{n}[^>]*>") for n in warc.UNSEEN), ("\n", warc.LINE_END), ("", "<[^>]*>"), (" ", r"[\t\r\x0b\x0c ]+"), ("\n", r" ?\n[ \n]*")):
+        text = F.regexp_replace(text, pattern, by)
+    pairs["text"] = (F.trim(text, F.lit(" \n")), warc.plain_text(F.col("t")))
+    found = df.agg(*[F.count_if(a != b).alias(n) for n, (a, b) in pairs.items()], *[F.count_if(a != F.col("t")).alias(f"{n}_hit") for n, (a, b) in pairs.items()]).first()
+    assert all(found[n] == 0 and found[f"{n}_hit"] > 9 for n in pairs), found
+
+
+def test_title_and_language_of_the_first_tag(spark):
+    cases = {
+        "<HTML x lang=\"de\"><Title a='1'> a\n b </TITLE><title>c</title>": ("a b", "de"),
+        "<title>open <html": ("", ""),
+        "<title": ("", ""),
+        "<title no end </title> x": ("", ""),
+        "<html lang=\"a\" lang=\"b\" <title>t</title": ("t", "b"),
+        "": ("", ""),
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = df.select("t", warc._title(F.col("t")).alias("a"), warc._language(F.col("t")).alias("b")).collect()
+    assert {r.t: (r.a, r.b) for r in got} == cases
+    many = spark.range(1).select(F.repeat(F.lit("<title><html "), 100_000).alias("t"))
+    assert tuple(many.select(warc._title(F.col("t")), warc._language(F.col("t"))).first()) == ("", "")

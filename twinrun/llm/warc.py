@@ -17,6 +17,8 @@ VERSION = "WARC/1.1"
 #: Elements whose content is no text, and tags that end a line (what their names begin with).
 UNSEEN = ("script", "style")
 LINE_END = r"(?i)<(?:br|/p|/div|/h[1-6]|/li|/tr|/title|/article|/section|/nav|hr)[^>]*>"
+#: The same tags, tried with fewer steps.
+_LINE_END = r"(?i)<(?:[bh]r|/(?:p|div|h[1-6]|li|tr|title|article|section|nav))[^>]*>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 DATE = "1970-01-01T00:00:00Z"
 
@@ -47,13 +49,16 @@ def _replaced(text: Column, last: str, opening: str, pattern: str, by: str) -> C
 
 def _without_element(text: Column, name: str) -> Column:
     """Passages from an opening tag to the next closing one become a space. The same care for text behind the last one."""
-    pattern = f"(?is)<{name}.*?</{name}[^>]*>"
+    # Up to the first closing tag, in steps from one mark to the next.
+    pattern = f"(?is)<{name}[^<]*+(?:<(?!/{name})[^<]*+)*+</{name}[^>]*>"
 
     def whole(t: Column, low: Column) -> Column:
         closed = let(_up_to_last(t, ">"), lambda head: F.regexp_extract(head, f"(?is)^.*</{name}[^>]*>", 0))
         safely = let(closed, lambda h: F.concat(F.regexp_replace(h, pattern, " "), F.substr(t, F.length(h) + 1)))
-        behind = F.substring_index(low, f"</{name}", -1)
-        plain = F.contains(behind, F.lit(">")) & ~F.contains(behind, F.lit(f"<{name}"))
+        def plainly(behind: Column) -> Column:
+            return F.contains(behind, F.lit(">")) & ~F.contains(behind, F.lit(f"<{name}"))
+
+        plain = let(F.substring_index(low, f"</{name}", -1), plainly)
         return F.when(~F.contains(low, F.lit(f"<{name}")), t).when(plain, F.regexp_replace(t, pattern, " ")).otherwise(safely)
 
     return let(text, lambda t: let(F.lower(t), lambda low: whole(t, low)))
@@ -65,23 +70,23 @@ def plain_text(html: Column) -> Column:
     also where a great many comments, scripts or tags are opened and none is closed."""
     text = _replaced(html, "-->", "<!--", "(?s)<!--.*?-->", " ")
     text = reduce(_without_element, UNSEEN, text)
-    text = _replaced(_replaced(text, ">", "<", LINE_END, "\n"), ">", "<", "<[^>]*>", "")
+    text = _replaced(_replaced(text, ">", "<", _LINE_END, "\n"), ">", "<", "<[^>]*>", "")
     text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
-    text = F.regexp_replace(F.regexp_replace(text, r"[\t\r\x0b\x0c ]+", " "), r" ?\n[ \n]*", "\n")
+    # A space or line end that stands alone stays as it is, and is not replaced by itself.
+    text = F.regexp_replace(text, r"[\t\r\x0b\x0c][\t\r\x0b\x0c ]*| [\t\r\x0b\x0c ]+", " ")
+    text = F.regexp_replace(text, r" \n[ \n]*|\n[ \n]+", "\n")
     return F.trim(text, F.lit(" \n"))
 
 
 def _title(html: Column) -> Column:
-    def of_parts(parts: Column) -> Column:
-        return F.when(F.size(parts) == 2, F.trim(F.regexp_replace(parts[0], r"[\t\r\n ]+", " "))).otherwise(F.lit(""))
-
-    opened = F.get(F.split(html, "(?i)<title", 2), F.lit(1))
-    return F.coalesce(let(opened, lambda rest: let(F.split(_after(rest, ">"), "(?i)</title", 2), of_parts)), F.lit(""))
+    # The first opening tag alone is tried, so the work is linear.
+    inside = F.regexp_extract(html, "(?is)\\A(?>.*?<title)(?>[^>]*>)(.*?)</title", 1)
+    return F.trim(F.regexp_replace(inside, r"[\t\r\n ]+", " "))
 
 
 def _language(html: Column) -> Column:
-    tag = F.substring_index(F.get(F.split(html, "(?i)<html", 2), F.lit(1)), ">", 1)
-    return F.coalesce(F.regexp_extract(tag, "(?is)^.* lang=\"([^\"]*)\"", 1), F.lit(""))
+    tag = F.regexp_extract(html, "(?is)\\A(?>.*?<html)([^>]*)", 1)
+    return F.regexp_extract(tag, "(?is)^.* lang=\"([^\"]*)\"", 1)
 
 
 def digest(value: Column) -> Column:
@@ -155,36 +160,42 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
         given = F.filter(F.split(name, CRLF), lambda x: x != "")
         about = F.concat(about, F.array_join(F.transform(given, lambda x: F.concat(F.lit(f"{of}: "), x, F.lit(CRLF))), ""))
 
-    def record(kind: str, other: str, content_type: str, block: Column) -> Column:
+    # Ids and digests are columns of their own: in the explode they would be worked out wherever they are named.
+    base = base.withColumns({"about": about} | {f"{kind}_id": name for kind, name in ids.items()})
+    base = base.withColumns({f"{name}_digest": digest(F.col(name)) for name in ("about", "text")})
+
+    def record(kind: str, other: str, content_type: str, name: str) -> Column:
+        block, block_digest = F.col(name), F.col(f"{name}_digest")
+        own_id, other_id = F.col(f"{kind}_id"), F.col(f"{other}_id")
         head = _fields(
             ("WARC-Type", kind),
-            ("WARC-Record-ID", ids[kind]),
+            ("WARC-Record-ID", own_id),
             ("WARC-Refers-To", F.col("source")),
-            ("WARC-Concurrent-To", ids[other]),
+            ("WARC-Concurrent-To", other_id),
             ("WARC-Target-URI", F.col("uri")),
             ("WARC-Date", F.col("date")),
-            ("WARC-Block-Digest", digest(block)),
+            ("WARC-Block-Digest", block_digest),
             ("Content-Type", content_type),
             ("Content-Length", F.octet_length(block).cast("string")),
         )
         return F.struct(
             F.lit(kind).alias("warc_type"),
-            ids[kind].alias("record_id"),
+            own_id.alias("record_id"),
             F.col("source").alias("refers_to"),
-            ids[other].alias("concurrent_to"),
+            other_id.alias("concurrent_to"),
             F.col("uri").alias("target_uri"),
             F.lit(content_type).alias("content_type"),
             F.octet_length(block).cast("bigint").alias("content_length"),
-            digest(block).alias("block_digest"),
+            block_digest.alias("block_digest"),
             F.col("source_digest"),
             F.concat(F.lit(VERSION + CRLF), head, F.lit(CRLF), block).alias("record"),
         )
 
     two = F.array(
-        record("metadata", "conversion", "application/warc-fields", F.col("about")),
-        record("conversion", "metadata", "text/plain; charset=utf-8", F.col("text")),
+        record("metadata", "conversion", "application/warc-fields", "about"),
+        record("conversion", "metadata", "text/plain; charset=utf-8", "text"),
     )
-    return base.withColumn("about", about).select(F.col("key").alias(key), F.explode(two).alias("r")).select(key, "r.*")
+    return base.select(F.col("key").alias(key), F.explode(two).alias("r")).select(key, "r.*")
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "none") -> None:
