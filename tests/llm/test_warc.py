@@ -130,3 +130,25 @@ def test_title_and_language_of_the_first_tag(spark):
     assert {r.t: (r.a, r.b) for r in got} == cases
     many = spark.range(1).select(F.repeat(F.lit("<title><html "), 100_000).alias("t"))
     assert tuple(many.select(warc._title(F.col("t")), warc._language(F.col("t"))).first()) == ("", "")
+
+
+def test_text_is_found_without_a_lower_cased_copy_of_the_page(spark):
+    page = spark.sql("SELECT uuid() AS html")
+    plan = page.select(plain_text(F.col("html")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(" not in plan and plan.count("regexp_replace(") + plan.count("regexp_extract(") <= 10
+
+
+def test_blanks_and_lines_equal_patterns(spark):
+    r = random.Random(9)
+    parts = [" ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", " ", "a", "é", "<br>", "&nbsp;", "<!---->", "<script></script>"]
+    pages = ["".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(1000)]
+    for page, got in zip(pages, texts_of(spark, pages)):
+        assert got == plainly(page), repr(page)
+
+
+def test_elements_opened_and_not_closed_behind_closed_ones(spark):
+    many = 100_000
+    pages = ["<script>x</script>a" + "<script>" * many, "<style>" * many + "<script></style></script>", "<style></script></style>" + "<STYLE </style" * many]
+    start = time.time()
+    a, b, c = texts_of(spark, pages)
+    assert time.time() - start < 15 and (a, b) == ("a", "") and c == "<STYLE </style" * many

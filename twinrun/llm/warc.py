@@ -48,20 +48,27 @@ def _replaced(text: Column, last: str, opening: str, pattern: str, by: str) -> C
 
 
 def _without_element(text: Column, name: str) -> Column:
-    """Passages from an opening tag to the next closing one become a space. The same care for text behind the last one."""
-    # Up to the first closing tag, in steps from one mark to the next.
-    pattern = f"(?is)<{name}[^<]*+(?:<(?!/{name})[^<]*+)*+</{name}[^>]*>"
+    """Passages from an opening tag to the next closing one become a space. Each match begins where the last one ended, so an
+    opening tag that nothing closes is tried once and ends the search: the work is linear whatever is left open."""
+    upto = lambda mark: f"(?>[^<]*)(?:<(?!{mark})(?>[^<]*))*+"
+    pattern = f"(?i)\\G({upto(name)})<{name}{upto('/' + name)}</{name}(?>[^>]*)>"
+    return F.regexp_replace(text, pattern, "$1 ")
 
-    def whole(t: Column, low: Column) -> Column:
-        closed = let(_up_to_last(t, ">"), lambda head: F.regexp_extract(head, f"(?is)^.*</{name}[^>]*>", 0))
-        safely = let(closed, lambda h: F.concat(F.regexp_replace(h, pattern, " "), F.substr(t, F.length(h) + 1)))
-        def plainly(behind: Column) -> Column:
-            return F.contains(behind, F.lit(">")) & ~F.contains(behind, F.lit(f"<{name}"))
 
-        plain = let(F.substring_index(low, f"</{name}", -1), plainly)
-        return F.when(~F.contains(low, F.lit(f"<{name}")), t).when(plain, F.regexp_replace(t, pattern, " ")).otherwise(safely)
+def _where(text: Column, marks: tuple[str, ...], pattern: str, by: str) -> Column:
+    """A pattern replaced where one of ``marks`` is found; without them there is no match, and looking for them costs less."""
 
-    return let(text, lambda t: let(F.lower(t), lambda low: whole(t, low)))
+    def if_any(t: Column) -> Column:
+        return F.when(reduce(Column.__or__, [F.contains(t, F.lit(m)) for m in marks]), F.regexp_replace(t, pattern, by)).otherwise(t)
+
+    return let(text, if_any)
+
+
+def _tidied(text: Column) -> Column:
+    """Runs of blanks become one space; lines lose the blanks at their ends, and empty ones go."""
+    lines = F.split(_where(text, ("\t", "\r", "\x0b", "\x0c"), r"[\t\r\x0b\x0c]", " "), "\n")
+    kept = F.array_remove(F.transform(lines, lambda x: F.trim(x)), "")
+    return _where(F.array_join(kept, "\n"), ("  ",), " {2,}", " ")
 
 
 def plain_text(html: Column) -> Column:
@@ -72,10 +79,7 @@ def plain_text(html: Column) -> Column:
     text = reduce(_without_element, UNSEEN, text)
     text = _replaced(_replaced(text, ">", "<", _LINE_END, "\n"), ">", "<", "<[^>]*>", "")
     text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
-    # A space or line end that stands alone stays as it is, and is not replaced by itself.
-    text = F.regexp_replace(text, r"[\t\r\x0b\x0c][\t\r\x0b\x0c ]*| [\t\r\x0b\x0c ]+", " ")
-    text = F.regexp_replace(text, r" \n[ \n]*|\n[ \n]+", "\n")
-    return F.trim(text, F.lit(" \n"))
+    return _tidied(text)
 
 
 def _title(html: Column) -> Column:
