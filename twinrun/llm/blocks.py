@@ -3,7 +3,8 @@
 Documents are dealt to blocks of some MB by a hash. A block asks about each of its distinct keys once: it sends every
 bucket one row with all its keys that belong there, and gets one row back. So a key that stands in a third of all rows
 costs a bucket one entry per block, and the text itself is shuffled once: all passes over the blocks read the same
-exchange of one plan.
+exchange of one plan. What a block wants to know again in its next pass it sends along as a note: a question to no bucket
+(None), which comes back as it is.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def in_blocks(docs: DataFrame, text: str, *more: Column, block_bytes: int = BLOC
     return chosen.withColumn("block", block).drop("place").repartition(shuffle_partitions(docs.sparkSession), "block"), n
 
 
-def asked(blocks: DataFrame, keys_of: Callable[[pa.Table], list[tuple[int, bytes]]]) -> DataFrame:
+def asked(blocks: DataFrame, keys_of: Callable[[pa.Table], list[tuple[int | None, bytes]]]) -> DataFrame:
     """One row (bucket, block, payload) for each pair that ``keys_of`` gives for a block."""
 
     def ask(rows: pa.Table) -> pa.Table:
@@ -58,9 +59,10 @@ def asked_again(blocks: DataFrame, answers: DataFrame, keys_of: Callable[[pa.Tab
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, ASK)
 
 
-def _questions(rows: pa.Table, found: list[tuple[int, bytes]]) -> pa.Table:
+def _questions(rows: pa.Table, found: list[tuple[int | None, bytes]]) -> pa.Table:
     block = rows["block"][0].as_py() if len(rows) else 0
-    buckets = pa.array([b for b, _ in found], pa.int32())
+    # A note lies in a bucket of its block alone, below 0.
+    buckets = pa.array([-1 - block if b is None else b for b, _ in found], pa.int32())
     return pa.table(
         [buckets, pa.array([block] * len(found), pa.int32()), pa.array([p for _, p in found], pa.binary())],
         names=["bucket", "block", "payload"],
@@ -73,7 +75,9 @@ def answered(questions: DataFrame, kind: int, answer: Callable[[list[bytes], lis
     def of_bucket(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows["block"].to_numpy(), kind="stable")
         rows = rows.take(pa.array(order))
-        payloads = answer(rows["payload"].to_pylist(), rows["block"].to_pylist())
+        payloads = rows["payload"].to_pylist()
+        if rows["bucket"][0].as_py() >= 0:
+            payloads = answer(payloads, rows["block"].to_pylist())
         kinds = pa.array([kind] * len(rows), pa.int32())
         columns = [rows["block"].combine_chunks(), rows["bucket"].combine_chunks(), kinds, pa.array(payloads, pa.binary())]
         return pa.table(columns, names=["block", "bucket", "kind", "payload"])
@@ -86,8 +90,9 @@ def finished(blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table,
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
 
 
-def by_bucket(known: pa.Table, kind: int) -> dict[int, bytes]:
+def by_bucket(known: pa.Table, kind: int) -> dict[int | None, bytes]:
+    """Answers by bucket; a note by None."""
     if not len(known):
         return {}
     kinds, buckets, payloads = (known[c].to_pylist() for c in ("kind", "bucket", "payload"))
-    return {b: p for k, b, p in zip(kinds, buckets, payloads) if k == kind}
+    return {b if b >= 0 else None: p for k, b, p in zip(kinds, buckets, payloads) if k == kind}
