@@ -455,7 +455,7 @@ def written_context(spark, sf):
     parts = context.build_context(src.pipeline_config(spark, sf), src.wiki_pages(spark, sf), src.definition_files(spark, sf))
     folder = _folder(spark, "context")
     sinks.write_context(parts, folder)
-    return spark.read.text(folder, wholetext=True).select("pipeline", F.col("value").alias("document"))
+    return sinks.read_context(spark, folder)
 
 
 @query

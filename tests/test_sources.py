@@ -130,3 +130,58 @@ def test_written_context_equals_the_assembled_document(spark, tmp_path):
     for pipeline, document in want.items():
         folders = sorted((tmp_path / "volumes" / f"pipeline={pipeline}").glob("volume=*"), key=lambda f: int(f.name[7:]))
         assert len(folders) == 3 and "".join(next(f.glob("part-*.txt")).read_text() for f in folders) == document
+
+
+def _tree(folder):
+    """Bytes of the files that readers see, by folder."""
+    files = [f for f in folder.rglob("*") if f.is_file() and f.name[0] not in "._"]
+    return sorted((str(f.parent.relative_to(folder)), f.read_bytes()) for f in files)
+
+
+def test_written_context_is_what_spark_writes(spark, tmp_path):
+    names = ["a", "a/b=c%d", "é x", 'q"\'#*:?', "[x]{y}^\\", "\t\n\x7f", "%41", "C#000", " ", None]
+    rows = [(name, pos, None if pos == 2 else f"{name} {pos}é\n") for name in names for pos in range(12)]
+    parts = spark.createDataFrame(rows, "pipeline string, pos int, text string").orderBy(F.rand(3))
+    for volumes, keys in ((None, ["pipeline"]), (5, ["pipeline", "volume"])):
+        sinks.write_context(parts, str(tmp_path / f"mine{volumes}"), parts_per_volume=volumes)
+        by_key = parts.withColumn("volume", F.floor(F.col("pos") / 5)).select(*keys, "pos", "text").repartition(*keys)
+        by_key.sortWithinPartitions(*keys, "pos").drop("pos").write.partitionBy(*keys).text(str(tmp_path / f"spark{volumes}"))
+        assert _tree(tmp_path / f"mine{volumes}") == _tree(tmp_path / f"spark{volumes}")
+    assert not list(tmp_path.glob("_*")) and (tmp_path / "mineNone" / "_SUCCESS").exists()
+    assert not list((tmp_path / "mineNone").rglob(".*.crc"))  # tasks wrote it, and no process for each file
+    got = sinks.read_context(spark, str(tmp_path / "mineNone"))
+    by_spark = spark.read.text(str(tmp_path / "sparkNone"), wholetext=True).selectExpr("pipeline", "value document")
+    assert got.dtypes == by_spark.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, by_spark.collect())) and got.count() == len(names)
+
+
+def test_written_context_of_empty_names_modes_and_drafts(spark, tmp_path):
+    parts = spark.createDataFrame([("", 0, "e"), (None, 0, "n"), ("7", 0, "x"), ("7", 1, "y")], "pipeline string, pos int, text string")
+    folder = tmp_path / "ctx"
+    sinks.write_context(parts, f"file://{folder}/")
+    want = [("7", "x\ny\n"), (None, "e\n"), (None, "n\n")]
+    read = lambda: sorted(map(tuple, sinks.read_context(spark, str(folder)).collect()), key=repr)
+    assert read() == sorted(want, key=repr)
+    (folder / "pipeline=7" / ".9-0").write_text("of an attempt that was ended")
+    assert read() == sorted(want, key=repr)
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        sinks.write_context(parts, str(folder))
+    sinks.write_context(parts.where("pipeline = '7'"), str(folder), mode="append")
+    assert read() == sorted([want[0], *want], key=repr)
+    sinks.write_context(parts.where("pipeline = '7'"), str(folder), mode="overwrite")
+    assert read() == want[:1]
+    sinks.write_context(parts.limit(0), str(tmp_path / "none"))
+    assert sinks.read_context(spark, str(tmp_path / "none")).count() == 0
+    failing = parts.withColumn("text", F.when(F.col("pos") == 1, F.raise_error(F.lit("no text"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="no text"):
+        sinks.write_context(failing, str(tmp_path / "failed"))
+    assert not (tmp_path / "failed").exists()
+
+
+def test_many_documents_are_read_by_few_tasks(spark, tmp_path):
+    n = 5000
+    parts = spark.range(n).selectExpr("concat('p', id) pipeline", "0 pos", "concat('text ', id) text")
+    sinks.write_context(parts, str(tmp_path / "ctx"))
+    got = sinks.read_context(spark, str(tmp_path / "ctx"))
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # 157 by Spark's reader
+    assert {tuple(r) for r in got.collect()} == {(f"p{k}", f"text {k}\n") for k in range(n)}

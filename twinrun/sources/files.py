@@ -6,16 +6,24 @@ File systems are opened by Arrow in the tasks themselves: local and mounted fold
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import re
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
+from itertools import batched
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from twinrun.session import full_address
+
 #: Folders that are opened while the listing is planned, until there are so many to hand out.
 FOLDERS = 64
 #: Rows of a listing that a task hands over at a time, and bytes of text in a range.
@@ -177,3 +185,113 @@ def whole_files(corpus: DataFrame) -> DataFrame:
     """``path, content`` with the ranges of a file put together, for files that fit into a cell."""
     parts = F.array_sort(F.collect_list(F.struct("range", "content")))
     return corpus.groupBy("path").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "").alias("content"))
+
+
+# ---------------------------------------------------------------- many small texts in folders named by their keys
+
+# Spark's name for a key that is NULL or empty, the characters it escapes, and its mark of a whole result.
+NO_KEY = "__HIVE_DEFAULT_PARTITION__"
+_ESCAPED = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+SUCCESS = "_SUCCESS"
+
+
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """The path of a local or mounted folder; None for other file systems."""
+    place = full_address(spark, path)
+    return opened(place)[1] if place.startswith("file:") else None
+
+
+def _key_folder(names: Sequence[str], values: Sequence[object]) -> str:
+    escape = lambda value: _ESCAPED.sub(lambda c: f"%{ord(c[0]):02X}", str(value)) or NO_KEY
+    return "/".join(f"{n}={NO_KEY if v is None else escape(v)}" for n, v in zip(names, values))
+
+
+def write_key_folders(rows: DataFrame, folder: str, keys: Sequence[str]) -> None:
+    """The ``text`` of sorted rows, which hold all of a key in one partition, as lines of one file for each key, below a
+    local or mounted folder that does not exist: what Spark's ``partitionBy(*keys).text`` writes.
+
+    Spark's writer starts two processes for each file there to set its permissions, writes a checksum beside it, and the
+    driver moves one key after the other; here the tasks write files of certain names. A file is named when it is whole,
+    and the folder when all are, so a task may be repeated, and a job that fails leaves no folder. What it leaves begins
+    with ``_``.
+    """
+    parent, name = os.path.split(folder)
+    job = uuid.uuid4()
+    unfinished = f"{parent}/_{name}-{job}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt = TaskContext.get().taskAttemptId()
+        key = file = None
+        n = 0
+
+        def named() -> None:
+            if file is not None:
+                file.close()
+                place, draft = os.path.split(file.name)
+                # Empty keys share the folder of NULL.
+                os.replace(file.name, f"{place}/part-{int('' in key):05d}-{job}.txt")
+
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            for k, text in zip(zip(*(batch[c].to_pylist() for c in keys)), texts):
+                if k != key or file is None:
+                    named()
+                    place = f"{unfinished}/{_key_folder(keys, k)}"
+                    try:
+                        os.mkdir(place)
+                    except OSError:  # it is there, or deeper
+                        os.makedirs(place, exist_ok=True)
+                    key, file, n = k, open(f"{place}/.{attempt}-{int('' in k)}", "wb"), n + 1
+                file.write((text or b"") + b"\n")
+        named()
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["files"])
+
+    os.makedirs(unfinished)
+    rows.select(*keys, F.col("text").cast("binary").alias("text")).mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+    with open(f"{unfinished}/{SUCCESS}", "wb"):
+        pass
+    os.rename(unfinished, folder)
+
+
+def read_key_folders(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """``key, value`` (the whole text, as bytes) of each file in the ``key=...`` folders of a local or mounted folder.
+
+    One task lists the folder as it is read; the folders in it are opened by all tasks. Names that begin with ``_`` or
+    ``.`` and empty files are passed over, as by Spark's reader, which keeps all names on the driver and counts each file
+    as megabytes.
+    """
+    if not os.path.isdir(folder):
+        raise FileNotFoundError(f"there is no folder {folder}")
+    start = f"{key}="
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            with os.scandir(folder) as found:
+                for some in batched((x.name for x in found if x.name.startswith(start)), ROWS):
+                    yield pa.record_batch([pa.array(some, pa.string())], names=["name"])
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, values, size = [], [], 0
+
+        def full() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(names, pa.string()), pa.array(values, pa.binary())], names=[key, "value"])
+
+        for batch in batches:
+            for name in batch["name"].to_pylist():
+                value = name[len(start) :]
+                value = None if value == NO_KEY else unquote(value)
+                for file in sorted(x for x in os.listdir(f"{folder}/{name}") if x[0] not in "_."):
+                    with open(f"{folder}/{name}/{file}", "rb") as f:
+                        text = f.read()
+                    if text:
+                        names.append(value)
+                        values.append(text)
+                        size += len(text)
+                    if size >= RANGE_BYTES or len(names) >= ROWS:
+                        yield full()
+                        names, values, size = [], [], 0
+        yield full()
+
+    folders = spark.range(0, 1, 1, 1).mapInArrow(listed, "name string")
+    dealt = folders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
+    return dealt.mapInArrow(texts, f"`{key}` string, value binary")

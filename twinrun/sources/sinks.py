@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from twinrun.plans.report import report_lines, with_run_marks
+from twinrun.sources.files import local_folder, read_key_folders, write_key_folders
 
 
 #: Beside a stored report, under a name that readers of the report pass over: one row with the number of runs.
@@ -48,10 +51,27 @@ def write_context(parts: DataFrame, path: str, mode: str = "error", parts_per_vo
 
     The rows of a document are streamed to its file in order; the file equals the text ``assemble_context`` builds. With
     ``parts_per_volume`` every document, short or long, lies in ``pipeline=<name>/volume=<n>/`` folders of so many parts
-    each, which different tasks write.
+    each, which different tasks write. A new folder that is local or mounted is written by the tasks themselves
+    (``write_key_folders``), any other by Spark.
     """
     keys = ["pipeline"] if parts_per_volume is None else ["pipeline", "volume"]
     if parts_per_volume is not None:
         parts = parts.withColumn("volume", F.floor(F.col("pos") / parts_per_volume))
-    rows = parts.select(*keys, "pos", "text").repartition(*keys).sortWithinPartitions(*keys, "pos").drop("pos")
-    rows.write.mode(mode).partitionBy(*keys).text(path)
+    spark = parts.sparkSession
+    # A file costs more than its bytes, so a small result is spread as well.
+    rows = parts.select(*keys, "pos", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    rows = rows.sortWithinPartitions(*keys, "pos").drop("pos")
+    folder = local_folder(spark, path)
+    if folder is None or os.path.lexists(folder):
+        rows.write.mode(mode).partitionBy(*keys).text(path)
+    else:
+        write_key_folders(rows, folder, keys)
+
+
+def read_context(spark: SparkSession, path: str) -> DataFrame:
+    """``pipeline, document`` of what ``write_context`` wrote without volumes."""
+    folder = local_folder(spark, path)
+    if folder is None:
+        found = spark.read.text(path, wholetext=True)
+        return found.select(F.col("pipeline").cast("string").alias("pipeline"), F.col("value").alias("document"))
+    return read_key_folders(spark, folder, "pipeline").select("pipeline", F.col("value").cast("string").alias("document"))
